@@ -1,0 +1,50 @@
+"""Inverted index: term, doc_id, tf, df, doc_len."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from seekwell.functions import bind, term_counts, words
+from seekwell.session import durable
+
+HOT_SHARE = 1000
+
+
+def postings(documents: DataFrame) -> DataFrame:
+    """doc_id, doc_len, term, tf: counted inside each document's row, no shuffle."""
+    counted = bind(
+        words(F.col("text")),
+        lambda ws: F.struct(F.size(ws).cast("long").alias("doc_len"), term_counts(ws).alias("terms")),
+    )
+    return (
+        documents.select("doc_id", counted.alias("c"))
+        .select("doc_id", F.col("c.doc_len").alias("doc_len"), F.inline_outer("c.terms"))
+        .where(F.col("term").isNotNull())
+    )
+
+
+def dictionary(entries: DataFrame) -> DataFrame:
+    """term, df; map tasks count first, so a hot term is one row per task."""
+    return entries.groupBy("term").agg(F.count("*").alias("df"))
+
+
+def with_df(entries: DataFrame, terms: DataFrame) -> DataFrame:
+    """Put each term's df next to its entries; `terms` must be cheap to read twice.
+
+    A term with at least a thousandth of all entries is hot. There can be no
+    more than a thousand of those, whatever the data, so they are broadcast and
+    their entries stay where they are. All others are joined on the term, where
+    no single one can outweigh a thousandth of the data.
+    """
+    total = terms.agg(F.sum("df")).first()[0] or 0
+    hot = terms.where(F.col("df") * HOT_SHARE >= total)
+    cold = terms.where(F.col("df") * HOT_SHARE < total)
+    hot_rows = entries.join(F.broadcast(hot), "term")
+    cold_rows = entries.join(F.broadcast(hot.select("term")), "term", "left_anti").join(cold, "term")
+    return hot_rows.unionByName(cold_rows).select("term", "doc_id", "tf", "df", "doc_len")
+
+
+def inverted_index(documents: DataFrame) -> DataFrame:
+    entries = postings(documents)
+    return with_df(entries, durable(dictionary(entries)))
