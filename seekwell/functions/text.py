@@ -29,7 +29,7 @@ def words(text: Column) -> Column:
 
 
 def term_counts(tokens: Column) -> Column:
-    """array<struct<term, tf>> of a token array, counted inside the row.
+    """array<struct<term, tf, doc_len>> of a token array, counted inside the row.
 
     Sort, mark where each run of equal tokens starts, and subtract the starts:
     n log n in the row, and no shuffle to group what already lies together.
@@ -46,11 +46,12 @@ def term_counts(tokens: Column) -> Column:
                 lambda p, j: F.struct(
                     F.get(s, p).alias("term"),
                     (F.coalesce(F.get(st, j + 1), F.size(s)) - p).cast("long").alias("tf"),
+                    F.size(s).cast("long").alias("doc_len"),
                 ),
             ),
         )
 
-    return bind(F.array_sort(tokens), runs)
+    return bind(F.sort_array(tokens), runs)
 
 
 def windows(text: Column, width: int, stride: int) -> Column:

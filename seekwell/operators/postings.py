@@ -5,21 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seekwell.functions import bind, term_counts, words
+from seekwell.functions import term_counts, words
 from seekwell.session import durable
 
 HOT_SHARE = 1000
 
 
 def postings(documents: DataFrame) -> DataFrame:
-    """doc_id, doc_len, term, tf: counted inside each document's row, no shuffle."""
-    counted = bind(
-        words(F.col("text")),
-        lambda ws: F.struct(F.size(ws).cast("long").alias("doc_len"), term_counts(ws).alias("terms")),
-    )
+    """doc_id, term, tf, doc_len: counted inside each document's row, no shuffle."""
     return (
-        documents.select("doc_id", counted.alias("c"))
-        .select("doc_id", F.col("c.doc_len").alias("doc_len"), F.inline_outer("c.terms"))
+        documents.select("doc_id", term_counts(words(F.col("text"))).alias("terms"))
+        # outer, because the plain form would count once more to test for empty arrays
+        .select("doc_id", F.inline_outer("terms"))
         .where(F.col("term").isNotNull())
     )
 

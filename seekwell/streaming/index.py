@@ -16,7 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 from seekwell.operators.postings import dictionary, postings, with_df
 from seekwell.session import durable
 
-POSTINGS = "doc_id long, doc_len long, term string, tf long"
+POSTINGS = "doc_id long, term string, tf long, doc_len long"
 TERMS = "term string, df long"
 
 
