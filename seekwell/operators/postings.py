@@ -1,4 +1,4 @@
-"""Inverted index: term, doc_id, tf, df, doc_len."""
+"""Inverted index and its dictionary."""
 
 from __future__ import annotations
 
@@ -6,10 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seekwell.functions import term_counts, words
+from seekwell.operators.joins import join_facts
 from seekwell.session import durable
 
-HOT_SHARE = 1000
-
 
 def postings(documents: DataFrame) -> DataFrame:
     """doc_id, term, tf, doc_len: counted inside each document's row, no shuffle."""
@@ -21,27 +20,35 @@ def postings(documents: DataFrame) -> DataFrame:
     )
 
 
-def dictionary(entries: DataFrame) -> DataFrame:
-    """term, df; map tasks count first, so a hot term is one row per task."""
-    return entries.groupBy("term").agg(F.count("*").alias("df"))
+def dictionary(items: DataFrame, vocab: DataFrame | None = None) -> DataFrame:
+    """term, df, total_len: document frequencies in one scan.
+
+    The row of the empty term counts all items and their words. With `vocab`, a
+    table small enough to broadcast, only its terms are counted. Map tasks count
+    first, so a term that every item holds is one row per task afterwards.
+    """
+    terms = (
+        items.select(words(F.col("text")).alias("ws"))
+        .select("ws", F.size("ws").alias("len"))
+        # the array always holds the empty term, so outer adds nothing; the plain form
+        # would tokenize once more to test for empty arrays
+        .select("len", F.explode_outer(F.concat(F.array(F.lit("")), F.array_distinct("ws"))).alias("term"))
+    )
+    if vocab is not None:
+        terms = terms.join(F.broadcast(vocab), "term", "left_semi")
+    return terms.groupBy("term").agg(
+        F.count("*").alias("df"),
+        F.sum(F.when(F.col("term") == "", F.col("len"))).alias("total_len"),
+    )
 
 
 def with_df(entries: DataFrame, terms: DataFrame) -> DataFrame:
-    """Put each term's df next to its entries; `terms` must be cheap to read twice.
-
-    A term with at least a thousandth of all entries is hot. There can be no
-    more than a thousand of those, whatever the data, so they are broadcast and
-    their entries stay where they are. All others are joined on the term, where
-    no single one can outweigh a thousandth of the data.
-    """
-    total = terms.agg(F.sum("df")).first()[0] or 0
-    hot = terms.where(F.col("df") * HOT_SHARE >= total)
-    cold = terms.where(F.col("df") * HOT_SHARE < total)
-    hot_rows = entries.join(F.broadcast(hot), "term")
-    cold_rows = entries.join(F.broadcast(hot.select("term")), "term", "left_anti").join(cold, "term")
-    return hot_rows.unionByName(cold_rows).select("term", "doc_id", "tf", "df", "doc_len")
+    """term, doc_id, tf, df, doc_len: each term's df next to its entries."""
+    facts = terms.where(F.col("term") != "").select("term", "df")
+    return join_facts(entries, facts, "term", "df", F.col("doc_id")).select(
+        "term", "doc_id", "tf", "df", "doc_len"
+    )
 
 
 def inverted_index(documents: DataFrame) -> DataFrame:
-    entries = postings(documents)
-    return with_df(entries, durable(dictionary(entries)))
+    return with_df(postings(documents), durable(dictionary(documents)))

@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 from seekwell.functions import norm, words
 from seekwell.operators.best import SCORE_DIGITS, BestRows, merge_best
 from seekwell.operators.chunks import chunk_documents
+from seekwell.operators.postings import dictionary
 from seekwell.operators.queries import MAX_BLOCK_BYTES, query_blocks
 
 BM25 = "bm25"
@@ -42,27 +43,6 @@ class QueryBlock:
     b: float
 
 
-def collection_stats(items: DataFrame, text: str, vocab: DataFrame) -> DataFrame:
-    """term, df, total_len: document frequency of the terms in `vocab`, in one scan.
-
-    The row of the empty term counts all items and their words. Counting starts
-    in the map tasks, so a term in every item is one row per task afterwards.
-    """
-    wanted = vocab.select("term").union(vocab.sparkSession.createDataFrame([("",)], "term string"))
-    return (
-        items.select(words(F.col(text)).alias("ws"))
-        .select(
-            F.size("ws").alias("len"),
-            # outer, because the plain form would tokenize once more to test for empty arrays;
-            # the array always holds the empty term
-            F.explode_outer(F.concat(F.array(F.lit("")), F.array_distinct("ws"))).alias("term"),
-        )
-        .join(F.broadcast(wanted), "term", "left_semi")
-        .groupBy("term")
-        .agg(F.count("*").alias("df"), F.sum("len").alias("total_len"))
-    )
-
-
 def _query_terms(block: pa.Table) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray]:
     """(query, term, count) triples of a block, terms as positions in the vocabulary."""
     lists = block["ws"].combine_chunks()
@@ -162,12 +142,14 @@ def rank_texts(
     carry: tuple[str, ...] = (),
     k1: float = 1.2,
     b: float = 0.75,
+    stats: DataFrame | None = None,
     max_block_bytes: int = MAX_BLOCK_BYTES,
 ) -> DataFrame:
     """Best `items` (ids..., text, ...) for every one of `queries` (query, text).
 
     Returns query, method, rank, ids..., score, cost, used, carry... A row costs
-    1, or the value of `cost`; see `best` for the budget rule.
+    1, or the value of `cost`; see `best` for the budget rule. `stats` is a stored
+    `dictionary` of the items; without it, it takes one more scan of them.
     """
     spark = items.sparkSession
     methods = list(methods)
@@ -191,9 +173,13 @@ def rank_texts(
         if not terms[2]:
             continue
         # the vocabulary of a block is no larger than the block
-        vocab = spark.createDataFrame(pa.table({"term": pa.array(terms[2], pa.string())}))
-        stats = collection_stats(items, "text", vocab).collect()
-        prepared = _prepare(block, {r["term"]: (r["df"], r["total_len"]) for r in stats}, terms, k1, b)
+        vocab = spark.createDataFrame(pa.table({"term": pa.array(["", *terms[2]], pa.string())}))
+        if stats is None:
+            counted = dictionary(items, vocab)
+        else:
+            counted = stats.join(F.broadcast(vocab), "term", "left_semi")
+        known = {r["term"]: (r["df"], r["total_len"]) for r in counted.collect()}
+        prepared = _prepare(block, known, terms, k1, b)
         shared = spark.sparkContext.broadcast(prepared)
         found.append(scanned.mapInArrow(_scan(shared, methods, ids, budget), schema))
     if not found:

@@ -11,14 +11,18 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seekwell.functions import sign_planes
 from seekwell.operators.best import SCORE_DIGITS, BestRows, merge_best
+from seekwell.operators.joins import join_facts
 from seekwell.operators.queries import MAX_BLOCK_BYTES, query_blocks
+from seekwell.session import durable
 
 SLICE_CELLS = 1 << 21
+MAX_BROADCAST_BUCKETS = 1 << 20
 FOUND = "neighbour long, cost long, score double, query long"
 
 
@@ -72,21 +76,42 @@ def knn_topk(
     return best.select("query", "rank", "neighbour", "score")
 
 
-def _bands(dim: int, bits: int, bands: int):
-    """The task that puts each vector under one bucket per band."""
+def _hasher(dim: int, bits: int, bands: int):
+    """Bucket numbers of a batch: vectors x bands, the band in the high bits."""
     planes = sign_planes(bits * bands, dim)
     place = 1 << np.arange(bits, dtype=np.int64)
+    base = np.arange(bands, dtype=np.int64) << bits
+
+    def buckets(column: pa.ChunkedArray) -> np.ndarray:
+        above = _matrix(column) @ planes.T > 0
+        return above.reshape(-1, bands, bits) @ place + base
+
+    return buckets
+
+
+def _place(dim: int, bits: int, bands: int):
+    """The task that puts each vector under its bucket of every band."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        buckets = _hasher(dim, bits, bands)
         for batch in batches:
             rows = pa.Table.from_batches([batch])
-            if not rows.num_rows:
-                continue
-            above = _matrix(rows["embedding"]) @ planes.T > 0
-            keys = above.reshape(-1, bands, bits) @ place
-            for band in range(bands):
-                bucket = pa.array(keys[:, band] + (np.int64(band) << bits))
-                yield from rows.append_column("bucket", bucket).to_batches()
+            if rows.num_rows:
+                for keys in buckets(rows["embedding"]).T:
+                    yield from rows.append_column("bucket", pa.array(keys)).to_batches()
+
+    return run
+
+
+def _count(dim: int, bits: int, bands: int):
+    """The task that counts its vectors per bucket, and sends the counts alone."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        buckets = _hasher(dim, bits, bands)
+        for batch in batches:
+            if batch.num_rows:
+                keys, n = np.unique(buckets(pa.Table.from_batches([batch])["embedding"]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], ["bucket", "n"])
 
     return run
 
@@ -94,34 +119,59 @@ def _bands(dim: int, bits: int, bands: int):
 def _cell(k: int):
     """The task for one cell: the best of its two blocks for each other."""
 
-    def one_way(ids_a, a, ids_b, b):
-        scores = np.round(a @ b.T, SCORE_DIGITS)
-        scores[ids_a[:, None] == ids_b[None, :]] = -np.inf
-        rows = pa.table({"neighbour": ids_b, "cost": np.ones(len(ids_b), dtype=np.int64)})
-        best = BestRows(len(ids_a), k, ["neighbour"])
+    def one_way(a: pa.Table, b: pa.Table) -> Iterator[pa.Table]:
+        ids, others = a["vec_id"].to_numpy(), b["vec_id"].to_numpy()
+        scores = np.round(_matrix(a["embedding"]) @ _matrix(b["embedding"]).T, SCORE_DIGITS)
+        # a vector meets itself only where it stands for copies
+        alone = pc.list_value_length(a["ids"]).to_numpy() == 1
+        scores[(ids[:, None] == others[None, :]) & alone[:, None]] = -np.inf
+        rows = pa.table({"neighbour": others, "ids": b["ids"], "cost": np.ones(len(others), dtype=np.int64)})
+        best = BestRows(len(ids), k, ["neighbour"])
         best.offer(rows, scores)
         found = best.result()
         if found is not None:
-            query = pa.array(ids_a[found["query"].to_numpy()])
-            yield found.select(["neighbour", "cost", "score"]).append_column("query", query)
+            query = pa.array(ids[found["query"].to_numpy()])
+            yield found.select(["neighbour", "ids", "score"]).append_column("query", query)
 
     def run(rows: pa.Table) -> pa.Table:
-        ids, m = rows["vec_id"].to_numpy(), _matrix(rows["embedding"])
-        left = rows["block"].to_numpy() == rows["cell_i"].to_numpy()
-        if left.all():
-            found = list(one_way(ids, m, ids, m))
-        else:
-            a, b = (ids[left], m[left]), (ids[~left], m[~left])
-            found = [*one_way(*a, *b), *one_way(*b, *a)]
-        if found:
-            return pa.concat_tables(found)
-        return pa.schema(
-            [("neighbour", pa.int64()), ("cost", pa.int64()), ("score", pa.float64()), ("query", pa.int64())]
-        ).empty_table()
+        left = pc.equal(rows["block"], rows["cell_i"])
+        a, b = rows.filter(left), rows.filter(pc.invert(left))
+        found = [*one_way(a, b), *one_way(b, a)] if b.num_rows and a.num_rows else []
+        if rows["cell_i"][0] == rows["cell_j"][0]:
+            found = [*one_way(rows, rows)]
+        return pa.concat_tables(found) if found else MET_SCHEMA.empty_table()
 
     return run
 
 
+MET = "neighbour long, ids array<long>, score double, query long"
+MET_SCHEMA = pa.schema(
+    [
+        ("neighbour", pa.int64()),
+        ("ids", pa.list_(pa.int64())),
+        ("score", pa.float64()),
+        ("query", pa.int64()),
+    ]
+)
+
+
+def _distinct(vectors: DataFrame, k: int) -> DataFrame:
+    """embedding, n, vec_id, ids: each distinct vector, how many hold it, and its lowest k + 1 ids.
+
+    The lowest id stands for all copies. Both steps cut in the map tasks first,
+    so a vector that a third of the rows share is a few rows per task afterwards.
+    """
+    by_id = Window.partitionBy("embedding").orderBy("vec_id")
+    lowest = (
+        vectors.withColumn("nth", F.row_number().over(by_id))
+        .where(F.col("nth") <= k + 1)
+        .groupBy("embedding")
+        .agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
+    )
+    counted = vectors.groupBy("embedding").agg(F.count("*").alias("n"))
+    return counted.join(lowest, "embedding").select("embedding", "n", F.col("ids")[0].alias("vec_id"), "ids")
+
+
 def knn_lsh(
     vectors: DataFrame,
     k: int = 10,
@@ -135,49 +185,65 @@ def knn_lsh(
     Scores are exact; a neighbour that shares no bucket is missed. Choose `bits`
     near log2(rows / block_rows), so that a usual bucket is one cell.
 
-    A bucket of more than `block_rows` vectors is cut in blocks, and each pair
-    of blocks is a cell and a group of its own: no task holds more than two
-    blocks, and a cell sends at most k rows per vector, never its pairs.
+    Copies of a vector are hashed once. A bucket that still holds more than
+    `block_rows` vectors is cut in blocks, and each pair of blocks is a cell and
+    a group of its own: no task holds more than two blocks, and a cell sends at
+    most k + 1 rows per vector, never its pairs.
     """
-    hashed = vectors.select("vec_id", "embedding")
-    placed = hashed.mapInArrow(_bands(dim, bits, bands), "vec_id long, embedding array<float>, bucket long")
+    rows = vectors.select("vec_id", "embedding")
+    distinct = durable(_distinct(rows, k))
     sizes = (
-        placed.groupBy("bucket")
-        .agg(F.count("*").alias("n"))
+        distinct.select("embedding")
+        .mapInArrow(_count(dim, bits, bands), "bucket long, n long")
+        .groupBy("bucket")
+        .agg(F.sum("n").alias("n"))
         .where(F.col("n") > block_rows)
         .select("bucket", F.ceil(F.col("n") / block_rows).cast("int").alias("n_blocks"))
     )
     # buckets are bands x 2^bits at most, whatever the number of vectors
-    small = bands << bits <= 1 << 20
-    blocked = placed.join(F.broadcast(sizes) if small else sizes, "bucket", "left").select(
-        "vec_id",
-        "embedding",
-        "bucket",
-        F.coalesce("n_blocks", F.lit(1)).alias("n_blocks"),
-        F.pmod(F.xxhash64("vec_id"), F.coalesce("n_blocks", F.lit(1))).cast("int").alias("block"),
+    if bands << bits <= MAX_BROADCAST_BUCKETS:
+        sizes = F.broadcast(sizes)
+    placed = distinct.select("vec_id", "ids", "embedding").mapInArrow(
+        _place(dim, bits, bands), "vec_id long, ids array<long>, embedding array<float>, bucket long"
     )
-    cells = blocked.select(
-        "vec_id",
-        "embedding",
-        "bucket",
-        "block",
-        F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("other"),
-    ).select(
-        "vec_id",
-        "embedding",
-        "bucket",
-        "block",
-        F.least("block", "other").alias("cell_i"),
-        F.greatest("block", "other").alias("cell_j"),
+    n_blocks = F.coalesce("n_blocks", F.lit(1))
+    carried = ["vec_id", "ids", "embedding", "bucket", "block"]
+    cells = (
+        placed.join(sizes, "bucket", "left")
+        .withColumn("block", F.pmod(F.xxhash64("vec_id"), n_blocks).cast("int"))
+        .select(*carried, F.explode(F.sequence(F.lit(0), n_blocks - 1)).alias("other"))
+        .select(*carried, F.least("block", "other").alias("cell_i"), F.greatest("block", "other").alias("cell_j"))
     )
-    found = cells.groupBy("bucket", "cell_i", "cell_j").applyInArrow(_cell(k), FOUND)
-    # one shuffle by query serves both steps: a pair met in several bands once, then the best
-    order = Window.partitionBy("query").orderBy(F.desc("score"), "neighbour")
-    return (
-        found.repartition("query")
+    met = cells.groupBy("bucket", "cell_i", "cell_j").applyInArrow(_cell(k + 1), MET)
+    # The best k + 1 rows of a query lie in the best k + 1 distinct vectors, ordered by their
+    # lowest ids. One shuffle by query serves all of this: a pair met in several bands once,
+    # the best vectors, and their copies.
+    by_vector = Window.partitionBy("query").orderBy(F.desc("score"), "neighbour")
+    by_row = Window.partitionBy("query").orderBy(F.desc("score"), "id")
+    best = (
+        met.repartition("query")
         .groupBy("query", "neighbour")
-        .agg(F.max("score").alias("score"))
-        .withColumn("rank", F.row_number().over(order).cast("long"))
-        .where(F.col("rank") <= k)
-        .select("query", "rank", "neighbour", "score")
+        .agg(F.max("score").alias("score"), F.first("ids").alias("ids"))
+        .withColumn("nth", F.row_number().over(by_vector))
+        .where(F.col("nth") <= k + 1)
+        .select("query", "score", F.explode("ids").alias("id"))
+        .withColumn("nth", F.row_number().over(by_row))
+        .where(F.col("nth") <= k + 1)
+        .groupBy("query")
+        .agg(F.collect_list(F.struct("nth", "id", "score")).alias("best"))
+    )
+    # every copy takes the list of the vector that stands for it, and leaves itself out
+    facts = durable(
+        distinct.select("embedding", "n", F.col("vec_id").alias("query")).join(best, "query").drop("query")
+    )
+    others = F.filter(F.sort_array("best"), lambda b: b["id"] != F.col("vec_id"))
+    return (
+        join_facts(rows, facts, "embedding", "n", F.col("vec_id"))
+        .select(F.col("vec_id").alias("query"), F.posexplode(F.slice(others, 1, k)).alias("nth", "b"))
+        .select(
+            "query",
+            (F.col("nth") + 1).cast("long").alias("rank"),
+            F.col("b.id").alias("neighbour"),
+            F.col("b.score").alias("score"),
+        )
     )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from seekwell import operators as op
 from seekwell.session import shared_dir
-from seekwell.sources import read_table, stream_table
+from seekwell.sources import read_table, spread, stream_table
 from seekwell.streaming import read_index, start_index
 
 
@@ -19,7 +19,11 @@ def _questions(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
-    return read_table(spark, folder, "documents").select("doc_id", "text")
+    return spread(read_table(spark, folder, "documents").select("doc_id", "text"), "doc_id")
+
+
+def _vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return spread(read_table(spark, folder, "embeddings").select("vec_id", "embedding"), "vec_id")
 
 
 def chunk_documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -43,12 +47,11 @@ def context_pack(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def knn_topk(spark: SparkSession, folder: str) -> DataFrame:
-    vectors = read_table(spark, folder, "embeddings")
-    return op.knn_topk(vectors, vectors)
+    return op.knn_topk(_vectors(spark, folder), _vectors(spark, folder))
 
 
 def knn_lsh(spark: SparkSession, folder: str) -> DataFrame:
-    return op.knn_lsh(read_table(spark, folder, "embeddings"))
+    return op.knn_lsh(_vectors(spark, folder))
 
 
 def stream_ingest(spark: SparkSession, folder: str) -> DataFrame:

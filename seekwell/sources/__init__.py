@@ -1,3 +1,3 @@
-from seekwell.sources.tables import SCHEMAS, read_table, stream_table
+from seekwell.sources.tables import SCHEMAS, read_table, spread, stream_table
 
-__all__ = ["SCHEMAS", "read_table", "stream_table"]
+__all__ = ["SCHEMAS", "read_table", "spread", "stream_table"]

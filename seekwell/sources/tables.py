@@ -32,6 +32,16 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows over all cores when the input has fewer splits than there are cores.
+
+    A small table in one row group is one task otherwise. A large one has more
+    splits than cores and is left as it is, with no shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def stream_table(
     spark: SparkSession, folder: str, name: str, max_files_per_trigger: int = 1000
 ) -> DataFrame:

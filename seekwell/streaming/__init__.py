@@ -1,3 +1,3 @@
-from seekwell.streaming.index import read_index, start_index
+from seekwell.streaming.index import read_dictionary, read_index, start_index
 
-__all__ = ["read_index", "start_index"]
+__all__ = ["read_dictionary", "read_index", "start_index"]

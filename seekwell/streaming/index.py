@@ -15,17 +15,17 @@ from pyspark.sql.streaming import StreamingQuery
 
 from seekwell.operators.postings import dictionary, postings, with_df
 from seekwell.session import durable
+from seekwell.sources import spread
 
 POSTINGS = "doc_id long, term string, tf long, doc_len long"
-TERMS = "term string, df long"
+TERMS = "term string, df long, total_len long"
 
 
 def write_batch(root: str):
     def write(batch: DataFrame, number: int) -> None:
-        folder = f"{root}/postings/batch={number}"
-        postings(batch).write.mode("overwrite").parquet(folder)
-        written = batch.sparkSession.read.schema(POSTINGS).parquet(folder)
-        dictionary(written).write.mode("overwrite").parquet(f"{root}/terms/batch={number}")
+        rows = spread(batch, "doc_id")
+        postings(rows).write.mode("overwrite").parquet(f"{root}/postings/batch={number}")
+        dictionary(rows).write.mode("overwrite").parquet(f"{root}/terms/batch={number}")
 
     return write
 
@@ -41,8 +41,17 @@ def start_index(documents: DataFrame, root: str) -> StreamingQuery:
     )
 
 
+def read_dictionary(spark: SparkSession, root: str) -> DataFrame:
+    """term, df, total_len over all batches so far; serves as `stats` of a ranking."""
+    return (
+        spark.read.schema(TERMS)
+        .parquet(f"{root}/terms")
+        .groupBy("term")
+        .agg(F.sum("df").alias("df"), F.sum("total_len").alias("total_len"))
+    )
+
+
 def read_index(spark: SparkSession, root: str) -> DataFrame:
     """term, doc_id, tf, df, doc_len over all batches so far."""
     entries = spark.read.schema(POSTINGS).parquet(f"{root}/postings")
-    terms = spark.read.schema(TERMS).parquet(f"{root}/terms")
-    return with_df(entries, durable(terms.groupBy("term").agg(F.sum("df").alias("df"))))
+    return with_df(entries, durable(read_dictionary(spark, root)))
