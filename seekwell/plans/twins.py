@@ -20,8 +20,10 @@ select doc_id, chunk, len(part) as n_words, array_to_string(part, ' ') as text f
 """
 
 INDEX = f"""
-with tokens as (
-  select doc_id, len({_TERMS}) as doc_len, unnest({_TERMS}) as term from documents
+with split as (
+  select doc_id, {_TERMS} as ws from documents
+), tokens as (
+  select doc_id, len(ws) as doc_len, unnest(ws) as term from split
 ), entries as (
   select term, doc_id, doc_len, count(*) as tf from tokens group by all
 )
