@@ -1,0 +1,157 @@
+import math
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from seekwell.operators import bm25_topk, context_pack, rank_fusion, rank_texts
+from seekwell.operators.chunks import chunk_documents
+from seekwell.operators.postings import dictionary
+
+DOCS = [
+    (0, "the cat sat on the mat"),
+    (1, "the dog sat on the log, the log was wet"),
+    (2, "The CAT sat on the mat!"),  # same words as 0: a tie, broken by id
+    (3, ""),
+    (4, None),
+    (5, "birds sing"),
+    (6, "the the the the the the"),
+    (7, "cat cat cat dog"),
+    (8, "élan vital of the cat"),
+]
+QUERIES = [(10, "cat on the mat"), (11, "the"), (12, "no_match zzz"), (13, ""), (14, "dog dog Élan"), (15, None)]
+
+
+def words(text):
+    return [w for w in "".join(c if c.isalnum() else " " for c in (text or "").lower()).split() if w]
+
+
+def brute(queries, docs, score):
+    lists = {i: words(t) for i, t in docs}
+    n = len(lists)
+    mean = sum(map(len, lists.values())) / n
+    df = Counter(t for ws in lists.values() for t in set(ws))
+    out = {}
+    for q, text in queries:
+        asked = Counter(words(text))
+        rows = []
+        for i, ws in lists.items():
+            tf = Counter(ws)
+            shared = [t for t in asked if t in tf]
+            if shared:
+                s = sum(asked[t] * score(tf[t], df[t], len(ws), n, mean) for t in shared)
+                rows.append((-round(s, 6), i))
+        out[q] = [(i, -s) for s, i in sorted(rows)]
+    return out
+
+
+def bm25(tf, df, length, n, mean):
+    return math.log(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))
+
+
+def tfidf(tf, df, length, n, mean):
+    return math.log(1 + n / df) * (1 + math.log(tf)) / math.sqrt(length)
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(DOCS, "doc_id long, text string").repartition(4, "doc_id")
+
+
+@pytest.fixture(scope="module")
+def queries(spark):
+    return spark.createDataFrame(QUERIES, "query long, text string")
+
+
+def lists(df, method=None):
+    out = {}
+    for r in df.orderBy("query", "rank").collect():
+        if method is None or r["method"] == method:
+            out.setdefault(r["query"], []).append((r["doc_id"], r["score"]))
+            assert r["rank"] == len(out[r["query"]])
+    return out
+
+
+def close(got, want, k):
+    want = {q: rows[:k] for q, rows in want.items() if rows}
+    assert {q: [i for i, _ in rows] for q, rows in got.items()} == {
+        q: [i for i, _ in rows] for q, rows in want.items()
+    }
+    for q, rows in got.items():
+        assert [s for _, s in rows] == pytest.approx([s for _, s in want[q]], abs=1.5e-6)
+
+
+@pytest.mark.parametrize("k", [1, 2, 100])
+def test_bm25_equals_brute_force(queries, docs, k):
+    want = brute(QUERIES, DOCS, bm25)
+    assert want[12] == want[13] == [] and len(want[11]) > 2
+    close(lists(bm25_topk(queries, docs, k)), want, k)
+
+
+def test_both_methods_in_one_scan(queries, docs):
+    both = rank_texts(queries, docs, ["doc_id"], 3, methods=("bm25", "tfidf"))
+    close(lists(both, "bm25"), brute(QUERIES, DOCS, bm25), 3)
+    close(lists(both, "tfidf"), brute(QUERIES, DOCS, tfidf), 3)
+
+
+def test_queries_beyond_one_block_and_any_partitioning(queries, docs):
+    want = lists(bm25_topk(queries, docs, 5))
+    assert lists(bm25_topk(queries, docs, 5, max_block_bytes=40)) == want
+    assert lists(bm25_topk(queries.repartition(3), docs.coalesce(1), 5)) == want
+    with pytest.raises(ValueError, match="one query has"):
+        bm25_topk(queries, docs, 5, max_block_bytes=20)
+
+
+def test_stored_dictionary_gives_the_same_ranking(queries, docs):
+    assert lists(bm25_topk(queries, docs, 5, stats=dictionary(docs))) == lists(bm25_topk(queries, docs, 5))
+
+
+def test_no_queries_or_no_documents(queries, docs):
+    assert bm25_topk(queries.limit(0), docs).count() == 0
+    assert bm25_topk(queries, docs.limit(0)).count() == 0
+
+
+def test_word_of_every_document_and_a_third_copies(spark, queries):
+    """One text holds a third of all rows and "the" is in every one of them."""
+    rows = [(i, "the cat sat on the mat" if i % 3 == 0 else f"the word{i} cat{i % 7}") for i in range(900)]
+    big = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    close(lists(bm25_topk(queries, big, 20)), brute(QUERIES, rows, bm25), 20)
+
+
+def test_fusion_equals_brute_force(queries, docs):
+    for depth in (2, 100):
+        ranks = {}
+        for score in (bm25, tfidf):
+            for q, rows in brute(QUERIES, DOCS, score).items():
+                for r, (i, _) in enumerate(rows[:depth], 1):
+                    ranks.setdefault(q, {}).setdefault(i, []).append(r)
+        want = {
+            q: sorted((-round(sum(1 / (60 + r) for r in rs), 9), i) for i, rs in by.items())[:3]
+            for q, by in ranks.items()
+        }
+        got = lists(rank_fusion(queries, docs, 3, depth))
+        assert {q: [i for i, _ in v] for q, v in got.items()} == {q: [i for _, i in v] for q, v in want.items()}
+
+
+def test_pack_fits_the_budget_and_is_the_front_of_the_ranking(queries, docs):
+    chunks = chunk_documents(docs, 3, 2)
+    keyed = chunks.withColumn("doc_id", F.col("doc_id") * 100 + F.col("chunk"))
+    whole = lists(bm25_topk(queries, keyed, 1000))
+    sizes = {r["doc_id"]: (r["n_words"], r["text"]) for r in keyed.collect()}
+    some_did_not_fit = False
+    for budget in (1, 3, 7, 1000):
+        got = {}
+        for r in context_pack(queries, docs, budget, 3, 2).orderBy("query", "rank").collect():
+            key = r["doc_id"] * 100 + r["chunk"]
+            got.setdefault(r["query"], []).append((key, r["words_used"]))
+            assert (r["n_words"], r["text"]) == sizes[key]
+        for q, rows in whole.items():
+            used, want = 0, []
+            for key, _ in rows:
+                used += sizes[key][0]
+                if used > budget:
+                    some_did_not_fit = True
+                    break
+                want.append((key, used))
+            assert got.get(q, []) == want
+    assert some_did_not_fit
