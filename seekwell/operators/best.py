@@ -22,30 +22,50 @@ SCORE_DIGITS = 6
 class BestRows:
     """What a task keeps of the rows it has scored so far, for every query."""
 
-    def __init__(self, n_queries: int, budget: int, ids: list[str], max_pending: int = 1 << 20):
-        self.budget, self.ids, self.max_pending = budget, ids, max_pending
+    def __init__(self, n_queries: int, budget: int, ids: list[str], max_pending: int | None = None):
+        self.budget, self.ids = budget, ids
+        self.max_pending = max(1 << 14, n_queries * budget) if max_pending is None else max_pending
+        # the last row that stays of a query that is full: no row behind it matters
         self.bar = np.full(n_queries, -np.inf)
+        self.bar_ids = [np.zeros(n_queries, dtype=np.int64) for _ in ids]
         self.kept: list[pa.Table] = []
         self.pending = 0
 
     def offer(self, rows: pa.Table, scores: np.ndarray) -> None:
-        """`scores` is queries x rows, rounded, -inf where a row is no match."""
-        bar = self.bar
-        if scores.shape[1] > self.budget:
+        """`scores` is queries x rows, not yet rounded, -inf where a row is no match."""
+        n_queries, n = scores.shape
+        if not n:
+            return
+        near = scores >= (self.bar - 10.0**-SCORE_DIGITS)[:, None]
+        if n > self.budget and np.count_nonzero(near) > 2 * n_queries * self.budget:
             # costs are at least 1, so at most `budget` rows of these can stay
-            cut = scores.shape[1] - self.budget
-            bar = np.maximum(bar, np.partition(scores, cut, axis=1)[:, cut])
-        query, row = np.nonzero((scores >= bar[:, None]) & (scores > -np.inf))
+            cut = n - self.budget
+            least = np.partition(scores, cut, axis=1)[:, cut]
+            near &= scores >= (least - 10.0**-SCORE_DIGITS)[:, None]
+        query, row = np.divmod(np.flatnonzero(near), n)
+        score = np.round(scores[query, row], SCORE_DIGITS)
+        stay = (score > -np.inf) & ((score > self.bar[query]) | self._ties_ahead(rows, query, row, score))
+        query, row, score = query[stay], row[stay], score[stay]
         if not len(query):
             return
         picked = rows.take(pa.array(row))
         picked = picked.append_column("query", pa.array(query))
-        picked = picked.append_column("score", pa.array(scores[query, row]))
+        picked = picked.append_column("score", pa.array(score))
         self.kept.append(picked)
         self.pending += len(query)
         if self.pending > self.max_pending:
             self._compact()
 
+    def _ties_ahead(self, rows: pa.Table, query, row, score) -> np.ndarray:
+        """Of the rows that score just what the bar does, those that come first by id."""
+        ahead = np.zeros(len(query), dtype=bool)
+        open_ = score == self.bar[query]
+        for name, bar in zip(self.ids, self.bar_ids, strict=True):
+            mine, its = rows[name].to_numpy()[row], bar[query]
+            ahead |= open_ & (mine < its)
+            open_ &= mine == its
+        return ahead
+
     def _compact(self) -> None:
         rows = pa.concat_tables(self.kept)
         query, score = rows["query"].to_numpy(), rows["score"].to_numpy()
@@ -60,8 +80,10 @@ class BestRows:
         stay = better < self.budget
         full = stay & (better + cost >= self.budget)
         self.bar[query[full]] = score[full]
+        for bar, mine in zip(self.bar_ids, reversed(ids), strict=True):
+            bar[query[full]] = mine[order][full]
         self.kept = [rows.take(pa.array(order[stay]))]
-        # room for new rows on top of what must stay anyway
+        # counts new rows only: those that stay are at most `budget` per query
         self.pending = 0
 
     def result(self) -> pa.Table | None:

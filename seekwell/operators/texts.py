@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seekwell.functions import norm, words
-from seekwell.operators.best import SCORE_DIGITS, BestRows, merge_best
+from seekwell.operators.best import BestRows, merge_best
 from seekwell.operators.chunks import chunk_documents
 from seekwell.operators.postings import dictionary
 from seekwell.operators.queries import MAX_BLOCK_BYTES, query_blocks
@@ -102,7 +102,7 @@ def _score(texts: pa.Array, q: QueryBlock, vocab: pa.Array, methods: list[str])
     for method in methods:
         w = np.repeat(_term_weight(method, tf.astype(float), length[item], q), fan)
         s = np.bincount(cell, weights=w * q.weight[method][entry], minlength=n_queries * n)
-        out.append(np.where(s > 0, np.round(s, SCORE_DIGITS), -np.inf).reshape(n_queries, n))
+        out.append(np.where(s > 0, s, -np.inf).reshape(n_queries, n))
     return np.concatenate(out)
 
 

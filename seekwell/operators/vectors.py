@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seekwell.functions import sign_planes
-from seekwell.operators.best import SCORE_DIGITS, BestRows, merge_best
+from seekwell.operators.best import BestRows, merge_best
 from seekwell.operators.joins import join_facts
 from seekwell.operators.queries import MAX_BLOCK_BYTES, query_blocks
 from seekwell.session import durable
@@ -32,17 +32,27 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return flat.reshape(len(lists), -1) if len(lists) else flat.reshape(0, 0)
 
 
+def _equal(ids: np.ndarray, order: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (in ids, in others) of equal values; `order` sorts `ids`."""
+    first = np.searchsorted(ids, others, side="left", sorter=order)
+    n = np.searchsorted(ids, others, side="right", sorter=order) - first
+    at = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    return order[at], np.repeat(np.arange(len(others)), n)
+
+
 def _scan(block, budget: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, matrix = block.value
+        order = np.argsort(ids, kind="stable")
         best = BestRows(len(ids), budget, ["neighbour"])
         step = max(1, SLICE_CELLS // max(1, len(ids)))
         for batch in batches:
             rows = pa.Table.from_batches([batch])
             for start in range(0, rows.num_rows, step):
                 part = rows.slice(start, step)
-                scores = np.round(matrix @ _matrix(part["embedding"]).T, SCORE_DIGITS)
-                scores[ids[:, None] == part["neighbour"].to_numpy()[None, :]] = -np.inf
+                scores = matrix @ _matrix(part["embedding"]).T
+                query, row = _equal(ids, order, part["neighbour"].to_numpy())
+                scores[query, row] = -np.inf
                 best.offer(part.drop_columns(["embedding"]), scores)
         found = best.result()
         if found is not None:
@@ -121,7 +131,7 @@ def _cell(k: int):
 
     def one_way(a: pa.Table, b: pa.Table) -> Iterator[pa.Table]:
         ids, others = a["vec_id"].to_numpy(), b["vec_id"].to_numpy()
-        scores = np.round(_matrix(a["embedding"]) @ _matrix(b["embedding"]).T, SCORE_DIGITS)
+        scores = _matrix(a["embedding"]) @ _matrix(b["embedding"]).T
         # a vector meets itself only where it stands for copies
         alone = pc.list_value_length(a["ids"]).to_numpy() == 1
         scores[(ids[:, None] == others[None, :]) & alone[:, None]] = -np.inf
