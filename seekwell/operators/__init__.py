@@ -1,15 +1,18 @@
 from seekwell.operators.chunks import chunk_documents
-from seekwell.operators.postings import inverted_index
-from seekwell.operators.texts import bm25_topk, context_pack, rank_fusion, rank_texts
+from seekwell.operators.postings import dictionary, inverted_index, postings
+from seekwell.operators.texts import bm25_topk, context_pack, rank_fusion, rank_index, rank_texts
 from seekwell.operators.vectors import knn_lsh, knn_topk
 
 __all__ = [
     "bm25_topk",
     "chunk_documents",
     "context_pack",
+    "dictionary",
     "inverted_index",
     "knn_lsh",
     "knn_topk",
+    "postings",
     "rank_fusion",
+    "rank_index",
     "rank_texts",
 ]

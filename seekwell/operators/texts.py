@@ -7,129 +7,59 @@ is shuffled, so a word that every item holds costs nothing but arithmetic.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
 from functools import reduce
 
-import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seekwell.functions import norm, words
-from seekwell.operators.best import BestRows, merge_best
+from seekwell.operators.best import merge_best
 from seekwell.operators.chunks import chunk_documents
 from seekwell.operators.postings import dictionary
 from seekwell.operators.queries import MAX_BLOCK_BYTES, query_blocks
+from seekwell.operators.scores import BM25, TFIDF, QueryBlock, scan_entries, scan_texts
 
-BM25 = "bm25"
-TFIDF = "tfidf"
-SLICE_CELLS = 1 << 21
-
-
-@dataclass(frozen=True)
-class QueryBlock:
-    """Queries as a sparse term matrix, term by term: (query, weight) of each."""
-
-    ids: np.ndarray
-    vocab: list[str]
-    first: np.ndarray  # entries of term t are first[t] .. first[t + 1]
-    query: np.ndarray
-    weight: dict[str, np.ndarray]  # by method; idf and query count are in it
-    mean_len: float
-    k1: float
-    b: float
-
-
-def _query_terms(block: pa.Table) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray]:
-    """(query, term, count) triples of a block, terms as positions in the vocabulary."""
-    lists = block["ws"].combine_chunks()
-    query = np.repeat(np.arange(block.num_rows), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
-    encoded = pc.dictionary_encode(lists.flatten())
-    vocab = encoded.dictionary.to_pylist()
-    codes, count = np.unique(
-        encoded.indices.to_numpy(zero_copy_only=False).astype(np.int64) * max(block.num_rows, 1) + query,
-        return_counts=True,
-    )
-    return codes % max(block.num_rows, 1), codes // max(block.num_rows, 1), vocab, count
-
-
-def _prepare(block: pa.Table, stats: dict[str, tuple[int, int]], terms, k1: float, b: float) -> QueryBlock:
-    query, term, vocab, count = terms
-    n_items, total_len = stats.get("", (0, 0))
-    df = np.array([stats.get(t, (0, 0))[0] for t in vocab], dtype=float)
-    idf = {
-        BM25: np.log(1.0 + (n_items - df + 0.5) / (df + 0.5)),
-        TFIDF: np.log(1.0 + n_items / np.maximum(df, 1.0)),
-    }
-    return QueryBlock(
-        ids=block[0].to_numpy(),
-        vocab=vocab,
-        first=np.searchsorted(term, np.arange(len(vocab) + 1)),
-        query=query,
-        weight={m: count * v[term] for m, v in idf.items()},
-        mean_len=total_len / n_items if n_items else 0.0,
-        k1=k1,
-        b=b,
-    )
+FOUND = [
+    T.StructField("score", T.DoubleType()),
+    T.StructField("query", T.LongType()),
+    T.StructField("method", T.StringType()),
+]
+
+
+def _blocks(
+    queries: DataFrame,
+    count: Callable[[DataFrame], DataFrame],
+    k1: float,
+    b: float,
+    max_block_bytes: int,
+) -> Iterator[tuple[Broadcast, DataFrame]]:
+    """Broadcast blocks of queries with their weights, and the vocabulary of each.
+
+    `count` gives the dictionary rows of a vocabulary, which is no larger than
+    its block; the empty term is in it.
+    """
+    spark = queries.sparkSession
+    tokenized = queries.select(F.col("query").cast("long").alias("query"), words(F.col("text")).alias("ws"))
+    size = F.octet_length(F.array_join("ws", " ")).cast("long") + 16
+    for table in query_blocks(tokenized, "query", size, max_block_bytes):
+        block = QueryBlock.of(table)
+        if block.vocab:
+            vocab = spark.createDataFrame(pa.table({"term": pa.array(["", *block.vocab], pa.string())}))
+            known = {r["term"]: (r["df"], r["total_len"]) for r in count(vocab).collect()}
+            yield spark.sparkContext.broadcast(block.weighed(known, k1, b)), vocab
+
+
+def _stored(stats: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    return lambda vocab: stats.join(F.broadcast(vocab), "term", "left_semi")
 
 
-def _term_weight(method: str, tf: np.ndarray, length: np.ndarray, q: QueryBlock) -> np.ndarray:
-    if method == BM25:
-        return tf * (q.k1 + 1.0) / (tf + q.k1 * (1.0 - q.b + q.b * length / q.mean_len))
-    return (1.0 + np.log(tf)) / np.sqrt(length)
-
-
-def _score(texts: pa.Array, q: QueryBlock, vocab: pa.Array, methods: list[str]) -> np.ndarray:
-    """(methods x queries) x items scores, -inf where no term is shared."""
-    n, n_queries = len(texts), len(q.ids)
-    lists = pc.split_pattern(texts, " ")
-    per_item = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
-    length = np.where(pc.equal(texts, "").to_numpy(zero_copy_only=False), 0, per_item).astype(float)
-    term = pc.index_in(lists.flatten(), value_set=vocab)
-    known = term.is_valid().to_numpy(zero_copy_only=False)
-    item = np.repeat(np.arange(n), per_item)[known]
-    term = term.drop_null().to_numpy().astype(np.int64)
-    code, tf = np.unique(item * len(vocab) + term, return_counts=True)
-    item, term = code // len(vocab), code % len(vocab)
-    # every (item, term) meets the queries that hold the term
-    fan = q.first[term + 1] - q.first[term]
-    entry = np.repeat(q.first[term] - (np.cumsum(fan) - fan), fan) + np.arange(fan.sum())
-    cell = q.query[entry] * n + np.repeat(item, fan)
-    out = []
-    for method in methods:
-        w = np.repeat(_term_weight(method, tf.astype(float), length[item], q), fan)
-        s = np.bincount(cell, weights=w * q.weight[method][entry], minlength=n_queries * n)
-        out.append(np.where(s > 0, s, -np.inf).reshape(n_queries, n))
-    return np.concatenate(out)
-
-
-def _scan(block, methods: list[str], ids: list[str], budget: int):
-    """The task: score batch by batch, keep the best rows, send them at the end."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q: QueryBlock = block.value
-        vocab = pa.array(q.vocab, pa.string())
-        n_queries = len(q.ids)
-        best = BestRows(len(methods) * n_queries, budget, ids)
-        step = max(1, SLICE_CELLS // max(1, len(methods) * n_queries, len(q.query) // 8))
-        for batch in batches:
-            rows = pa.Table.from_batches([batch])
-            for start in range(0, rows.num_rows, step):
-                part = rows.slice(start, step)
-                texts = part["norm"].combine_chunks()
-                best.offer(part.drop_columns(["norm"]), _score(texts, q, vocab, methods))
-        found = best.result()
-        if found is not None:
-            code = found["query"].to_numpy()
-            found = found.drop_columns(["query"])
-            found = found.append_column("query", pa.array(q.ids[code % n_queries]))
-            found = found.append_column("method", pa.array(methods).take(pa.array(code // n_queries)))
-            yield from found.combine_chunks().to_batches()
-
-    return run
+def _merged(found: list[DataFrame], schema: T.StructType, like: DataFrame, ids: list[str], budget: int) -> DataFrame:
+    found = found or [like.sparkSession.createDataFrame([], schema)]
+    return merge_best(reduce(DataFrame.unionByName, found), ["query", "method"], ids, budget)
 
 
 def rank_texts(
@@ -151,43 +81,50 @@ def rank_texts(
     1, or the value of `cost`; see `best` for the budget rule. `stats` is a stored
     `dictionary` of the items; without it, it takes one more scan of them.
     """
-    spark = items.sparkSession
-    methods = list(methods)
     cost_col = F.lit(1) if cost is None else F.col(cost)
     scanned = items.select(
         *ids, *carry, cost_col.cast("long").alias("cost"), norm(F.col("text")).alias("norm")
     )
-    schema = T.StructType(
-        [f for f in scanned.schema.fields if f.name != "norm"]
-        + [
-            T.StructField("score", T.DoubleType()),
-            T.StructField("query", T.LongType()),
-            T.StructField("method", T.StringType()),
-        ]
-    )
-    tokenized = queries.select(F.col("query").cast("long"), words(F.col("text")).alias("ws"))
-    size = F.octet_length(F.array_join("ws", " ")).cast("long") + 16
-    found = []
-    for block in query_blocks(tokenized, "query", size, max_block_bytes):
-        terms = _query_terms(block)
-        if not terms[2]:
-            continue
-        # the vocabulary of a block is no larger than the block
-        vocab = spark.createDataFrame(pa.table({"term": pa.array(["", *terms[2]], pa.string())}))
-        if stats is None:
-            counted = dictionary(items, vocab)
-        else:
-            counted = stats.join(F.broadcast(vocab), "term", "left_semi")
-        known = {r["term"]: (r["df"], r["total_len"]) for r in counted.collect()}
-        prepared = _prepare(block, known, terms, k1, b)
-        shared = spark.sparkContext.broadcast(prepared)
-        found.append(scanned.mapInArrow(_scan(shared, methods, ids, budget), schema))
-    if not found:
-        found = [spark.createDataFrame([], schema)]
-    best = merge_best(reduce(DataFrame.unionByName, found), ["query", "method"], ids, budget)
+    schema = T.StructType([f for f in scanned.schema.fields if f.name != "norm"] + FOUND)
+    count = _stored(stats) if stats is not None else lambda vocab: dictionary(items, vocab)
+    found = [
+        scanned.mapInArrow(scan_texts(block, list(methods), ids, budget), schema)
+        for block, _ in _blocks(queries, count, k1, b, max_block_bytes)
+    ]
+    best = _merged(found, schema, items, ids, budget)
     return best.select("query", "method", "rank", *ids, "score", "cost", "used", *carry)
 
 
+def rank_index(
+    queries: DataFrame,
+    entries: DataFrame,
+    stats: DataFrame,
+    k: int = 10,
+    methods: tuple[str, ...] = (BM25,),
+    k1: float = 1.2,
+    b: float = 0.75,
+    max_block_bytes: int = MAX_BLOCK_BYTES,
+) -> DataFrame:
+    """The same ranking from a stored index and its dictionary; no text is read.
+
+    Only entries of the queries' terms are shuffled, once, by document, so that
+    no term gathers them: query, method, rank, doc_id, score.
+    """
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("cost", T.LongType()), *FOUND])
+    found = []
+    for block, vocab in _blocks(queries, _stored(stats), k1, b, max_block_bytes):
+        wanted = (
+            entries.select("doc_id", "term", "tf", "doc_len")
+            .join(F.broadcast(vocab), "term", "left_semi")
+            .repartition("doc_id")
+            .sortWithinPartitions("doc_id")
+            .select("doc_id", "term", "tf", "doc_len")
+        )
+        found.append(wanted.mapInArrow(scan_entries(block, list(methods), k), schema))
+    best = _merged(found, schema, entries, ["doc_id"], k)
+    return best.select("query", "method", "rank", "doc_id", "score")
+
+
 def bm25_topk(queries: DataFrame, documents: DataFrame, k: int = 10, **options) -> DataFrame:
     """query, rank, doc_id, score: the k best documents of every query."""
     return rank_texts(queries, documents, ["doc_id"], k, **options).select(

@@ -4,9 +4,17 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from seekwell.operators import bm25_topk, context_pack, rank_fusion, rank_texts
-from seekwell.operators.chunks import chunk_documents
-from seekwell.operators.postings import dictionary
+from seekwell.operators import (
+    bm25_topk,
+    chunk_documents,
+    context_pack,
+    dictionary,
+    inverted_index,
+    postings,
+    rank_fusion,
+    rank_index,
+    rank_texts,
+)
 
 DOCS = [
     (0, "the cat sat on the mat"),
@@ -106,6 +114,25 @@ def test_stored_dictionary_gives_the_same_ranking(queries, docs):
     assert lists(bm25_topk(queries, docs, 5, stats=dictionary(docs))) == lists(bm25_topk(queries, docs, 5))
 
 
+def test_index_gives_the_same_ranking(spark, queries, docs):
+    both = ("bm25", "tfidf")
+    want = rank_texts(queries, docs, ["doc_id"], 4, methods=both)
+    batch_rows = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for rows in (batch_rows, "1", "2", "5"):
+            # documents that begin in one batch and end in another
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+            for entries in (inverted_index(docs), postings(docs).coalesce(1)):
+                got = rank_index(queries, entries, dictionary(docs), 4, methods=both)
+                for method in both:
+                    assert lists(got, method) == lists(want, method)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch_rows)
+    split = rank_index(queries, postings(docs), dictionary(docs), 4, max_block_bytes=40)
+    assert lists(split) == lists(want, "bm25")
+    assert rank_index(queries.limit(0), postings(docs), dictionary(docs)).count() == 0
+
+
 def test_no_queries_or_no_documents(queries, docs):
     assert bm25_topk(queries.limit(0), docs).count() == 0
     assert bm25_topk(queries, docs.limit(0)).count() == 0

@@ -3,7 +3,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from seekwell.operators import bm25_topk, inverted_index
+from seekwell.operators import bm25_topk, inverted_index, rank_index
 from seekwell.session import shared_dir
 from seekwell.sources import read_table, stream_table
 from seekwell.streaming import read_dictionary, read_index, start_index
@@ -48,3 +48,5 @@ def test_batches_and_restart_equal_one_batch(spark, tmp_path):
     plain = bm25_topk(asked, documents).collect()
     stored = bm25_topk(asked, documents, stats=read_dictionary(spark, root)).collect()
     assert sorted(map(tuple, plain)) == sorted(map(tuple, stored)) and plain
+    index = rank_index(asked, read_index(spark, root), read_dictionary(spark, root)).drop("method").collect()
+    assert sorted(map(tuple, index)) == sorted(map(tuple, plain))
