@@ -10,7 +10,7 @@ LANES = 1 << 20
 
 
 def join_facts(rows: DataFrame, facts: DataFrame, key: str, weight: str, spread_by: Column) -> DataFrame:
-    """`rows` with the columns of `facts`, which has one row per `key`.
+    """`rows` with the columns of `facts`, which has at most one row per `key`; null where none.
 
     `facts[weight]` is the number of rows that hold the key. `facts` is read
     three times, so it should come from a written table.
@@ -25,7 +25,8 @@ def join_facts(rows: DataFrame, facts: DataFrame, key: str, weight: str, spread_
     is_hot = F.col(weight) * HOT_SHARE >= total
     names = [c for c in facts.columns if c != key]
     hot = facts.where(is_hot).select(key, F.struct(*names).alias("hot"))
-    cold = facts.where(~is_hot).select(key, F.struct(*names).alias("cold"), F.lit(0).cast("long").alias("lane"))
+    lane_of_cold = F.lit(0).cast("long").alias("lane")
+    cold = facts.where(~is_hot).select(key, F.struct(*names).alias("cold"), lane_of_cold)
     lane = F.when(F.col("hot").isNull(), F.lit(0)).otherwise(1 + F.pmod(F.xxhash64(spread_by), F.lit(LANES)))
     return (
         rows.join(F.broadcast(hot), key, "left")

@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seekwell.session import durable
+
 MAX_BLOCK_BYTES = 64 << 20
 
 
@@ -33,6 +35,8 @@ def query_blocks(
     if total <= max_bytes:
         yield queries.toArrow()
         return
+    if level == 0:
+        queries = durable(queries)  # read once per block from here on
     n = 2 * -(-total // max_bytes)
     part = F.pmod(F.xxhash64(id_col, F.lit(level)), F.lit(n))
     for p in range(n):

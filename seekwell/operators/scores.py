@@ -99,7 +99,7 @@ def scan_texts(shared, methods: list[str], ids: list[str], budget: int):
     """The task over items with a `norm` column: score batch by batch, send the best at the end."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q: QueryBlock = shared.value
+        q = QueryBlock(**shared.value)
         best = BestRows(len(methods) * len(q.ids), budget, ids)
         step = q.slice_rows(len(methods))
         for batch in batches:
@@ -113,7 +113,8 @@ def scan_texts(shared, methods: list[str], ids: list[str], budget: int):
                 # the split of an empty text has one piece, and no word
                 length = np.where(pc.equal(texts, "").to_numpy(zero_copy_only=False), 0, pieces).astype(float)
                 found = pc.index_in(lists.flatten(), value_set=vocab)
-                item = np.repeat(np.arange(len(texts)), pieces)[found.is_valid().to_numpy(zero_copy_only=False)]
+                known = found.is_valid().to_numpy(zero_copy_only=False)
+                item = np.repeat(np.arange(len(texts)), pieces)[known]
                 code, tf = np.unique(
                     item * len(vocab) + found.drop_null().to_numpy().astype(np.int64), return_counts=True
                 )
@@ -129,7 +130,7 @@ def scan_entries(shared, methods: list[str], budget: int):
     """The task over index entries, each document's together: the same scores, without its text."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q: QueryBlock = shared.value
+        q = QueryBlock(**shared.value)
         best = BestRows(len(methods) * len(q.ids), budget, ["doc_id"])
         step = q.slice_rows(len(methods))
 

@@ -12,7 +12,7 @@ from functools import reduce
 
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -50,15 +50,18 @@ def _blocks(
         if block.vocab:
             vocab = spark.createDataFrame(pa.table({"term": pa.array(["", *block.vocab], pa.string())}))
             known = {r["term"]: (r["df"], r["total_len"]) for r in count(vocab).collect()}
-            yield spark.sparkContext.broadcast(block.weighed(known, k1, b)), vocab
+            # plain values, which executors can read without this package
+            yield spark.sparkContext.broadcast(vars(block.weighed(known, k1, b))), vocab
 
 
 def _stored(stats: DataFrame) -> Callable[[DataFrame], DataFrame]:
     return lambda vocab: stats.join(F.broadcast(vocab), "term", "left_semi")
 
 
-def _merged(found: list[DataFrame], schema: T.StructType, like: DataFrame, ids: list[str], budget: int) -> DataFrame:
-    found = found or [like.sparkSession.createDataFrame([], schema)]
+def _merged(
+    found: list[DataFrame], schema: T.StructType, spark: SparkSession, ids: list[str], budget: int
+) -> DataFrame:
+    found = found or [spark.createDataFrame([], schema)]
     return merge_best(reduce(DataFrame.unionByName, found), ["query", "method"], ids, budget)
 
 
@@ -91,7 +94,7 @@ def rank_texts(
         scanned.mapInArrow(scan_texts(block, list(methods), ids, budget), schema)
         for block, _ in _blocks(queries, count, k1, b, max_block_bytes)
     ]
-    best = _merged(found, schema, items, ids, budget)
+    best = _merged(found, schema, items.sparkSession, ids, budget)
     return best.select("query", "method", "rank", *ids, "score", "cost", "used", *carry)
 
 
@@ -110,7 +113,8 @@ def rank_index(
     Only entries of the queries' terms are shuffled, once, by document, so that
     no term gathers them: query, method, rank, doc_id, score.
     """
-    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("cost", T.LongType()), *FOUND])
+    ids = [T.StructField("doc_id", T.LongType()), T.StructField("cost", T.LongType())]
+    schema = T.StructType(ids + FOUND)
     found = []
     for block, vocab in _blocks(queries, _stored(stats), k1, b, max_block_bytes):
         wanted = (
@@ -121,7 +125,7 @@ def rank_index(
             .select("doc_id", "term", "tf", "doc_len")
         )
         found.append(wanted.mapInArrow(scan_entries(block, list(methods), k), schema))
-    best = _merged(found, schema, entries, ["doc_id"], k)
+    best = _merged(found, schema, entries.sparkSession, ["doc_id"], k)
     return best.select("query", "method", "rank", "doc_id", "score")
 
 

@@ -1,7 +1,7 @@
 """Nearest neighbours by cosine: exact by one scan, and by sign-hyperplane buckets.
 
 Vectors are (vec_id, embedding array<float>) and have unit length, so the inner
-product is the cosine.
+product is the cosine. A null vector has no neighbours and is none.
 """
 
 from __future__ import annotations
@@ -72,8 +72,10 @@ def knn_topk(
     per query. For all vectors against all, `knn_lsh` is the way at scale.
     """
     spark = vectors.sparkSession
-    items = vectors.select(F.col("vec_id").alias("neighbour"), F.lit(1).cast("long").alias("cost"), "embedding")
-    sized = queries.select("vec_id", "embedding")
+    items = vectors.where(F.col("embedding").isNotNull()).select(
+        F.col("vec_id").alias("neighbour"), F.lit(1).cast("long").alias("cost"), "embedding"
+    )
+    sized = queries.where(F.col("embedding").isNotNull()).select("vec_id", "embedding")
     size = F.size("embedding").cast("long") * 8 + 16
     found = []
     for block in query_blocks(sized, "vec_id", size, max_block_bytes):
@@ -200,7 +202,7 @@ def knn_lsh(
     a group of its own: no task holds more than two blocks, and a cell sends at
     most k + 1 rows per vector, never its pairs.
     """
-    rows = vectors.select("vec_id", "embedding")
+    rows = vectors.where(F.col("embedding").isNotNull()).select("vec_id", "embedding")
     distinct = durable(_distinct(rows, k))
     sizes = (
         distinct.select("embedding")
@@ -208,21 +210,26 @@ def knn_lsh(
         .groupBy("bucket")
         .agg(F.sum("n").alias("n"))
         .where(F.col("n") > block_rows)
-        .select("bucket", F.ceil(F.col("n") / block_rows).cast("int").alias("n_blocks"))
+        .select("bucket", "n", F.ceil(F.col("n") / block_rows).cast("int").alias("n_blocks"))
     )
-    # buckets are bands x 2^bits at most, whatever the number of vectors
-    if bands << bits <= MAX_BROADCAST_BUCKETS:
-        sizes = F.broadcast(sizes)
     placed = distinct.select("vec_id", "ids", "embedding").mapInArrow(
         _place(dim, bits, bands), "vec_id long, ids array<long>, embedding array<float>, bucket long"
     )
+    # buckets are bands x 2^bits at most, whatever the number of vectors
+    if bands << bits <= MAX_BROADCAST_BUCKETS:
+        sized = placed.join(F.broadcast(sizes), "bucket", "left")
+    else:
+        sized = join_facts(placed, durable(sizes), "bucket", "n", F.col("vec_id"))
     n_blocks = F.coalesce("n_blocks", F.lit(1))
     carried = ["vec_id", "ids", "embedding", "bucket", "block"]
     cells = (
-        placed.join(sizes, "bucket", "left")
-        .withColumn("block", F.pmod(F.xxhash64("vec_id"), n_blocks).cast("int"))
+        sized.withColumn("block", F.pmod(F.xxhash64("vec_id"), n_blocks).cast("int"))
         .select(*carried, F.explode(F.sequence(F.lit(0), n_blocks - 1)).alias("other"))
-        .select(*carried, F.least("block", "other").alias("cell_i"), F.greatest("block", "other").alias("cell_j"))
+        .select(
+            *carried,
+            F.least("block", "other").alias("cell_i"),
+            F.greatest("block", "other").alias("cell_j"),
+        )
     )
     met = cells.groupBy("bucket", "cell_i", "cell_j").applyInArrow(_cell(k + 1), MET)
     # The best k + 1 rows of a query lie in the best k + 1 distinct vectors, ordered by their

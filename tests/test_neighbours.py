@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from seekwell.functions import sign_planes
-from seekwell.operators import knn_lsh, knn_topk
+from seekwell.operators import knn_lsh, knn_topk, vectors
 from seekwell.sources import read_table
 
 SCHEMA = "vec_id long, embedding array<float>"
@@ -85,6 +85,21 @@ def test_hashed_equals_brute_force_on_shared_buckets(spark, copies, k, block_row
     assert lists(got) == brute(ids, m, k, allowed)
 
 
+def test_hashed_with_more_buckets_than_may_be_broadcast(spark, copies, monkeypatch):
+    monkeypatch.setattr(vectors, "MAX_BROADCAST_BUCKETS", 0)
+    ids, m = copies
+    got = knn_lsh(frame(spark, ids, m), 4, dim=16, bits=3, bands=2, block_rows=7)
+    assert lists(got) == brute(ids, m, 4, same_bucket(m, 3, 2))
+
+
+def test_null_vectors_are_no_neighbours(spark, copies):
+    ids, m = copies
+    df = frame(spark, ids, m).unionByName(spark.createDataFrame([(-1, None), (-2, None)], SCHEMA))
+    assert lists(knn_topk(df, df, 3)) == brute(ids, m, 3)
+    got = knn_lsh(df, 3, dim=16, bits=3, bands=2)
+    assert lists(got) == brute(ids, m, 3, same_bucket(m, 3, 2))
+
+
 def test_hashed_with_nothing_shared(spark):
     m = np.array([[1.0, 0.0], [-1.0, 0.0]], dtype=np.float32)
     df = frame(spark, [1, 2], m)
@@ -93,11 +108,11 @@ def test_hashed_with_nothing_shared(spark):
 
 def test_recall_is_what_the_hyperplanes_promise(spark):
     """A pair at angle a shares a bucket with chance 1 - (1 - (1 - a/pi)^bits)^bands."""
-    vectors = read_table(spark, "/root/testdata/sf0.01", "embeddings").select("vec_id", "embedding")
-    pairs = knn_topk(vectors, vectors, 10).collect()
+    given = read_table(spark, "/root/testdata/sf0.01", "embeddings").select("vec_id", "embedding")
+    pairs = knn_topk(given, given, 10).collect()
     exact = {(r["query"], r["neighbour"]): r["score"] for r in pairs}
     for bits, bands in ((5, 24), (8, 8)):
-        found = {(r["query"], r["neighbour"]) for r in knn_lsh(vectors, 10, bits=bits, bands=bands).collect()}
+        found = {(r["query"], r["neighbour"]) for r in knn_lsh(given, 10, bits=bits, bands=bands).collect()}
         recall = sum(pair in found for pair in exact) / len(exact)
         side = 1 - np.arccos(np.clip(list(exact.values()), -1, 1)) / np.pi
         promised = np.mean(1 - (1 - side**bits) ** bands)
