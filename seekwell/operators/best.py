@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SCORE_DIGITS = 6
+# scores further apart than this differ after rounding as well
+APART = 2 * 10.0**-SCORE_DIGITS
 
 
 class BestRows:
@@ -36,12 +38,12 @@ class BestRows:
         n_queries, n = scores.shape
         if not n:
             return
-        near = scores >= (self.bar - 10.0**-SCORE_DIGITS)[:, None]
+        near = scores >= (self.bar - APART)[:, None]
         if n > self.budget and np.count_nonzero(near) > 2 * n_queries * self.budget:
             # costs are at least 1, so at most `budget` rows of these can stay
             cut = n - self.budget
             least = np.partition(scores, cut, axis=1)[:, cut]
-            near &= scores >= (least - 10.0**-SCORE_DIGITS)[:, None]
+            near &= scores >= (least - APART)[:, None]
         query, row = np.divmod(np.flatnonzero(near), n)
         score = np.round(scores[query, row], SCORE_DIGITS)
         stay = (score > -np.inf) & ((score > self.bar[query]) | self._ties_ahead(rows, query, row, score))

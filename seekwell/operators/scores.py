@@ -138,7 +138,10 @@ def scan_entries(shared, methods: list[str], budget: int):
             vocab = pa.array(q.vocab, rows["term"].type)
             doc, item = np.unique(rows["doc_id"].to_numpy(), return_inverse=True)
             term = pc.index_in(rows["term"], value_set=vocab).to_numpy().astype(np.int64)
-            tf, length = rows["tf"].to_numpy(), rows["doc_len"].to_numpy().astype(float)
+            # one order of adding up, whatever the order of arrival
+            order = np.lexsort((term, item))
+            item, term = item[order], term[order]
+            tf, length = rows["tf"].to_numpy()[order], rows["doc_len"].to_numpy()[order].astype(float)
             bounds = np.searchsorted(item, np.arange(0, len(doc) + step, step))
             for part, (lo, hi) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
                 some = doc[part * step : (part + 1) * step]

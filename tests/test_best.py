@@ -28,10 +28,11 @@ def rows_of(draw_rows):
 RAW = st.lists(st.tuples(st.integers(0, 2), st.integers(0, 5), st.integers(1, 4)), min_size=1, max_size=40)
 
 
-@settings(max_examples=200, deadline=None)
-@given(RAW, st.integers(1, 12), st.integers(1, 7), st.integers(0, 30))
-def test_cutting_parts_first_changes_nothing(raw, budget, step, max_pending):
-    rows = rows_of(raw)
+@settings(max_examples=300, deadline=None)
+@given(RAW, st.integers(1, 12), st.integers(1, 40), st.integers(0, 30), st.sampled_from([0.25, 4e-7]))
+def test_cutting_parts_first_changes_nothing(raw, budget, step, max_pending, unit):
+    """With the small unit, scores that differ are ties after rounding."""
+    rows = [(q, i, s * unit, c) for i, (q, s, c) in enumerate(raw)]
     best = BestRows(3, budget, ["id"], max_pending)
     for start in range(0, len(rows), step):
         part = rows[start : start + step]
@@ -42,7 +43,21 @@ def test_cutting_parts_first_changes_nothing(raw, budget, step, max_pending):
         best.offer(table, scores)
     kept = best.result().to_pylist()
     again = [(r["query"], r["id"], r["score"], r["cost"]) for r in kept]
-    assert whole(again, budget) == whole(rows, budget)
+    rounded = [(q, i, float(np.round(s, 6)), c) for q, i, s, c in rows]
+    assert whole(again, budget) == whole(rounded, budget)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(0, 6), min_size=1, max_size=40), st.integers(1, 3), st.integers(1, 40))
+def test_plain_top_k_of_one_query(raw, k, step):
+    best = BestRows(1, k, ["id"], 0)
+    for start in range(0, len(raw), step):
+        part = raw[start : start + step]
+        table = pa.table({"id": list(range(start, start + len(part))), "cost": [1] * len(part)})
+        best.offer(table, np.array([part]) * 4e-7)
+    got = [(r["score"], r["id"]) for r in best.result().to_pylist()]
+    want = sorted((-float(np.round(s * 4e-7, 6)), i) for i, s in enumerate(raw))[:k]
+    assert got == [(-s, i) for s, i in want]
 
 
 def test_a_cheap_row_does_not_slip_past_one_that_does_not_fit(spark):
