@@ -1,5 +1,5 @@
 from seekwell.operators.chunks import chunk_documents
-from seekwell.operators.postings import dictionary, inverted_index, postings
+from seekwell.operators.inverted import dictionary, inverted_index, postings
 from seekwell.operators.texts import bm25_topk, context_pack, rank_fusion, rank_index, rank_texts
 from seekwell.operators.vectors import knn_lsh, knn_topk
 

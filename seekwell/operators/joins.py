@@ -25,9 +25,11 @@ def join_facts(rows: DataFrame, facts: DataFrame, key: str, weight: str, spread_
     is_hot = F.col(weight) * HOT_SHARE >= total
     names = [c for c in facts.columns if c != key]
     hot = facts.where(is_hot).select(key, F.struct(*names).alias("hot"))
-    lane_of_cold = F.lit(0).cast("long").alias("lane")
-    cold = facts.where(~is_hot).select(key, F.struct(*names).alias("cold"), lane_of_cold)
-    lane = F.when(F.col("hot").isNull(), F.lit(0)).otherwise(1 + F.pmod(F.xxhash64(spread_by), F.lit(LANES)))
+    # lanes 0 .. LANES - 1 go by the key, and the lanes behind them hold no facts; a constant
+    # in their place would be folded into a filter, and the shuffle would go by the key alone
+    by_key = F.pmod(F.xxhash64(key), F.lit(LANES))
+    cold = facts.where(~is_hot).select(key, F.struct(*names).alias("cold"), by_key.alias("lane"))
+    lane = F.when(F.col("hot").isNull(), by_key).otherwise(LANES + F.pmod(F.xxhash64(spread_by), F.lit(LANES)))
     return (
         rows.join(F.broadcast(hot), key, "left")
         .withColumn("lane", lane)

@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from seekwell.functions import norm, words
 from seekwell.operators.best import merge_best
 from seekwell.operators.chunks import chunk_documents
-from seekwell.operators.postings import dictionary
+from seekwell.operators.inverted import dictionary
 from seekwell.operators.queries import MAX_BLOCK_BYTES, query_blocks
 from seekwell.operators.scores import BM25, TFIDF, QueryBlock, scan_entries, scan_texts
 

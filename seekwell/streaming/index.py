@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from seekwell.operators.postings import dictionary, postings, with_df
+from seekwell.operators.inverted import dictionary, postings, with_df
 from seekwell.session import durable
 from seekwell.sources import spread
 
