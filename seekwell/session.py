@@ -19,6 +19,8 @@ def local_session(app: str = "seekwell", cpus: str | int | None = None) -> Spark
         .config("spark.sql.shuffle.partitions", str(cpus))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
+        # hash instead of sort where the measured build partitions are this small
+        .config("spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold", "64MB")
         .getOrCreate()
     )
 
