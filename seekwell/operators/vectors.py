@@ -88,6 +88,26 @@ def knn_topk(
     return best.select("query", "rank", "neighbour", "score")
 
 
+def _pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The task that turns (vec_id, embedding) to (vec_id, vec): the floats as bytes.
+
+    Bytes are grouped, joined and sorted as they are; arrays of floats would be
+    normalized and compared number by number each time.
+    """
+    for batch in batches:
+        if batch.num_rows:
+            # + 0.0 makes -0.0 and 0.0 the same bytes
+            m = _matrix(pa.chunked_array([batch.column("embedding")])).astype(np.float32) + np.float32(0.0)
+            vec = pa.array([row.tobytes() for row in m], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), vec], ["vec_id", "vec"])
+
+
+def _unpack(column: pa.ChunkedArray) -> np.ndarray:
+    packed = column.to_pylist()
+    flat = np.frombuffer(b"".join(packed), dtype=np.float32).astype(np.float64)
+    return flat.reshape(len(packed), -1) if packed else flat.reshape(0, 0)
+
+
 def _hasher(dim: int, bits: int, bands: int):
     """Bucket numbers of a batch: vectors x bands, the band in the high bits."""
     planes = sign_planes(bits * bands, dim)
@@ -95,7 +115,7 @@ def _hasher(dim: int, bits: int, bands: int):
     base = np.arange(bands, dtype=np.int64) << bits
 
     def buckets(column: pa.ChunkedArray) -> np.ndarray:
-        above = _matrix(column) @ planes.T > 0
+        above = _unpack(column) @ planes.T > 0
         return above.reshape(-1, bands, bits) @ place + base
 
     return buckets
@@ -109,7 +129,7 @@ def _place(dim: int, bits: int, bands: int):
         for batch in batches:
             rows = pa.Table.from_batches([batch])
             if rows.num_rows:
-                for keys in buckets(rows["embedding"]).T:
+                for keys in buckets(rows["vec"]).T:
                     yield from rows.append_column("bucket", pa.array(keys)).to_batches()
 
     return run
@@ -122,7 +142,7 @@ def _count(dim: int, bits: int, bands: int):
         buckets = _hasher(dim, bits, bands)
         for batch in batches:
             if batch.num_rows:
-                keys, n = np.unique(buckets(pa.Table.from_batches([batch])["embedding"]), return_counts=True)
+                keys, n = np.unique(buckets(pa.Table.from_batches([batch])["vec"]), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], ["bucket", "n"])
 
     return run
@@ -133,7 +153,7 @@ def _cell(k: int):
 
     def one_way(a: pa.Table, b: pa.Table) -> Iterator[pa.Table]:
         ids, others = a["vec_id"].to_numpy(), b["vec_id"].to_numpy()
-        scores = _matrix(a["embedding"]) @ _matrix(b["embedding"]).T
+        scores = _unpack(a["vec"]) @ _unpack(b["vec"]).T
         # a vector meets itself only where it stands for copies
         alone = pc.list_value_length(a["ids"]).to_numpy() == 1
         scores[(ids[:, None] == others[None, :]) & alone[:, None]] = -np.inf
@@ -168,20 +188,20 @@ MET_SCHEMA = pa.schema(
 
 
 def _distinct(vectors: DataFrame, k: int) -> DataFrame:
-    """embedding, n, vec_id, ids: each distinct vector, how many hold it, and its lowest k + 1 ids.
+    """vec, n, vec_id, ids: each distinct vector, how many hold it, and its lowest k + 1 ids.
 
     The lowest id stands for all copies. Both steps cut in the map tasks first,
     so a vector that a third of the rows share is a few rows per task afterwards.
     """
-    by_id = Window.partitionBy("embedding").orderBy("vec_id")
+    by_id = Window.partitionBy("vec").orderBy("vec_id")
     lowest = (
         vectors.withColumn("nth", F.row_number().over(by_id))
         .where(F.col("nth") <= k + 1)
-        .groupBy("embedding")
+        .groupBy("vec")
         .agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
     )
-    counted = vectors.groupBy("embedding").agg(F.count("*").alias("n"))
-    return counted.join(lowest, "embedding").select("embedding", "n", F.col("ids")[0].alias("vec_id"), "ids")
+    counted = vectors.groupBy("vec").agg(F.count("*").alias("n"))
+    return counted.join(lowest, "vec").select("vec", "n", F.col("ids")[0].alias("vec_id"), "ids")
 
 
 def knn_lsh(
@@ -202,18 +222,19 @@ def knn_lsh(
     a group of its own: no task holds more than two blocks, and a cell sends at
     most k + 1 rows per vector, never its pairs.
     """
-    rows = vectors.where(F.col("embedding").isNotNull()).select("vec_id", "embedding")
+    given = vectors.where(F.col("embedding").isNotNull()).select("vec_id", "embedding")
+    rows = given.mapInArrow(_pack, "vec_id long, vec binary")
     distinct = durable(_distinct(rows, k))
     sizes = (
-        distinct.select("embedding")
+        distinct.select("vec")
         .mapInArrow(_count(dim, bits, bands), "bucket long, n long")
         .groupBy("bucket")
         .agg(F.sum("n").alias("n"))
         .where(F.col("n") > block_rows)
         .select("bucket", "n", F.ceil(F.col("n") / block_rows).cast("int").alias("n_blocks"))
     )
-    placed = distinct.select("vec_id", "ids", "embedding").mapInArrow(
-        _place(dim, bits, bands), "vec_id long, ids array<long>, embedding array<float>, bucket long"
+    placed = distinct.select("vec_id", "ids", "vec").mapInArrow(
+        _place(dim, bits, bands), "vec_id long, ids array<long>, vec binary, bucket long"
     )
     # buckets are bands x 2^bits at most, whatever the number of vectors
     if bands << bits <= MAX_BROADCAST_BUCKETS:
@@ -221,7 +242,7 @@ def knn_lsh(
     else:
         sized = join_facts(placed, durable(sizes), "bucket", "n", F.col("vec_id"))
     n_blocks = F.coalesce("n_blocks", F.lit(1))
-    carried = ["vec_id", "ids", "embedding", "bucket", "block"]
+    carried = ["vec_id", "ids", "vec", "bucket", "block"]
     cells = (
         sized.withColumn("block", F.pmod(F.xxhash64("vec_id"), n_blocks).cast("int"))
         .select(*carried, F.explode(F.sequence(F.lit(0), n_blocks - 1)).alias("other"))
@@ -251,11 +272,11 @@ def knn_lsh(
     )
     # every copy takes the list of the vector that stands for it, and leaves itself out
     facts = durable(
-        distinct.select("embedding", "n", F.col("vec_id").alias("query")).join(best, "query").drop("query")
+        distinct.select("vec", "n", F.col("vec_id").alias("query")).join(best, "query").drop("query")
     )
     others = F.filter(F.sort_array("best"), lambda b: b["id"] != F.col("vec_id"))
     return (
-        join_facts(rows, facts, "embedding", "n", F.col("vec_id"))
+        join_facts(rows, facts, "vec", "n", F.col("vec_id"))
         .select(F.col("vec_id").alias("query"), F.posexplode(F.slice(others, 1, k)).alias("nth", "b"))
         .select(
             "query",
