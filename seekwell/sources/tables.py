@@ -45,10 +45,12 @@ def spread(df: DataFrame, key: str) -> DataFrame:
 def stream_table(
     spark: SparkSession, folder: str, name: str, max_files_per_trigger: int = 1000
 ) -> DataFrame:
-    """The same table as a file stream: files that arrive later are picked up."""
+    """The same table as a file stream: files that arrive later are picked up.
+
+    Takes one file, a folder of part files, or several of either.
+    """
     return (
         spark.readStream.schema(SCHEMAS[name])
-        .option("pathGlobFilter", f"{name}*.parquet")
         .option("maxFilesPerTrigger", max_files_per_trigger)
-        .parquet(folder)
+        .parquet(f"{folder}/{name}*.parquet")
     )

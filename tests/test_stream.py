@@ -16,6 +16,14 @@ def rows(df):
     return sorted(tuple(r) for r in df.select("term", "doc_id", "tf", "df", "doc_len").collect())
 
 
+def test_a_folder_of_part_files_is_a_stream_too(spark, tmp_path):
+    documents = read_table(spark, FOLDER, "documents")
+    documents.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    root = f"{shared_dir(spark)}/index-{uuid.uuid4()}"
+    start_index(stream_table(spark, str(tmp_path), "documents", 2), root).awaitTermination()
+    assert rows(read_index(spark, root)) == rows(inverted_index(documents))
+
+
 def test_batches_and_restart_equal_one_batch(spark, tmp_path):
     documents = read_table(spark, FOLDER, "documents")
     root = f"{shared_dir(spark)}/index-{uuid.uuid4()}"
