@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seekwell.llm.bpe import bpe_decode, bpe_encode
 from seekwell.llm.common import documents
 from seekwell.llm.token_counts import count_tokens
 
@@ -24,7 +25,18 @@ def op1_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op3_bpe_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
+    tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    both = bpe_decode(bpe_encode(documents(spark, folder).select("doc_id", "text"), tokenizer), tokenizer)
+    return both.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_token_counts,)
+    for f in (op1_token_counts, op3_bpe_roundtrip)
 }
