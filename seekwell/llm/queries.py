@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seekwell.llm.bpe import bpe_decode, bpe_encode
-from seekwell.llm.common import documents
+from seekwell.llm.common import documents, written
+from seekwell.llm.simhash import near_components, simhash
 from seekwell.llm.token_counts import count_tokens
 
 CONTEXT = 4096
@@ -36,7 +37,12 @@ def op3_bpe_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op4_simhash_components(spark: SparkSession, folder: str) -> DataFrame:
+    prints = written(simhash(documents(spark, folder)).select("doc_id", "fingerprint"), "prints")
+    return near_components(prints).withColumn("fingerprint", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_token_counts, op3_bpe_roundtrip)
+    for f in (op1_token_counts, op3_bpe_roundtrip, op4_simhash_components)
 }
