@@ -20,13 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seekwell.llm.common import file_bytes, texts_of, worker_state
+from seekwell.llm.common import file_bytes, worker_state
 
 # Fixed value: the published pattern that cuts text into pre-tokens before any merge.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 LONGEST_KEPT = 64
-CACHE_UNITS = 500_000
-CACHE_PAIRS = 2_000_000
+CACHE_UNITS = 300_000
+CACHE_PAIRS = 500_000
 NONE = 1 << 60
 SPACE_RUN = re.compile(r"\s ")
 
@@ -38,13 +38,10 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-class Vocabulary:
-    """What a tokenizer file says: the bytes of each id, the merges, and the automaton of all tokens."""
+class TokenBytes:
+    """The bytes of each id, as a tokenizer file says; all that decoding needs."""
 
     def __init__(self, definition: bytes):
-        import ahocorasick
-        import regex
-
         parsed = json.loads(definition)
         model, split = parsed["model"], parsed["pre_tokenizer"]
         if model["type"] != "BPE" or split["type"] != "ByteLevel" or split["add_prefix_space"] or not split["use_regex"]:
@@ -54,9 +51,30 @@ class Vocabulary:
         ):
             raise ValueError("normalizers, ignored merges and stripping added tokens are not supported")
         letters = byte_letters()
-        raw = {i: bytes(map(letters.__getitem__, t)) for t, i in model["vocab"].items()}
+        self.model = model
+        self.raw = {i: bytes(map(letters.__getitem__, t)) for t, i in model["vocab"].items()}
         self.added = {a["content"]: a["id"] for a in parsed["added_tokens"]}
-        bytes_of = raw | {i: t.encode() for t, i in self.added.items()}
+        bytes_of = self.raw | {i: t.encode() for t, i in self.added.items()}
+        self.table = [bytes_of.get(i, b"") for i in range(max(bytes_of) + 1)]
+
+    def decode(self, ids: pa.Array) -> str:
+        if ids.null_count:
+            ids = ids.drop_null()
+        numbers = ids.to_numpy(zero_copy_only=False)
+        if len(numbers) and (numbers.min() < 0 or numbers.max() >= len(self.table)):
+            numbers = numbers[(numbers >= 0) & (numbers < len(self.table))]
+        return b"".join(map(self.table.__getitem__, numbers.tolist())).decode("utf-8", "replace")
+
+
+class Vocabulary(TokenBytes):
+    """The merges as well, and the automaton of all tokens."""
+
+    def __init__(self, definition: bytes):
+        import ahocorasick
+        import regex
+
+        super().__init__(definition)
+        model, raw = self.model, self.raw
         self.rank: dict[tuple[int, int], int] = {}
         # per token: the merge that makes it (NONE for single bytes) and its halves
         self.made: dict[int, int] = {}
@@ -74,7 +92,6 @@ class Vocabulary:
             if self.whole(i, len(b)):
                 self.matches.add_word(b.decode("latin-1"), (i, len(b)))
         self.matches.make_automaton()
-        self.table = [bytes_of.get(i, b"") for i in range(max(bytes_of) + 1)]
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")")
         self.words = regex.compile(PATTERN).findall
         self.units = regex.compile(r"(?<=[^\s\x1c-\x1f])(?= )")
@@ -153,14 +170,6 @@ class Vocabulary:
                     ids += self.solve(word)
         return tuple(ids)
 
-    def decode(self, ids: pa.Array) -> str:
-        if ids.null_count:
-            ids = ids.drop_null()
-        numbers = ids.to_numpy(zero_copy_only=False)
-        if len(numbers) and (numbers.min() < 0 or numbers.max() >= len(self.table)):
-            numbers = numbers[(numbers >= 0) & (numbers < len(self.table))]
-        return b"".join(map(self.table.__getitem__, numbers.tolist())).decode("utf-8", "replace")
-
 
 class Units(dict):
     """Unit of text, the space before it implied -> its ids, solved when first met."""
@@ -188,10 +197,6 @@ class Units(dict):
         return chain(self.vocabulary.encode_unit(first), chain.from_iterable(map(self.__getitem__, rest)))
 
 
-def _vocabulary(definition: bytes) -> Vocabulary:
-    return worker_state(("bpe", hash(definition)), lambda: Vocabulary(definition))
-
-
 def bpe_encode(docs: DataFrame, tokenizer: str, text: str = "text", out: str = "ids") -> DataFrame:
     """`docs` with the token ids of each whole `text` in column `out` (array of int).
 
@@ -203,10 +208,9 @@ def bpe_encode(docs: DataFrame, tokenizer: str, text: str = "text", out: str = "
 
     @F.arrow_udf("array<int>")
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        vocabulary = _vocabulary(shared.value)
-        units = worker_state(("bpe units", hash(shared.value)), lambda: Units(vocabulary))
+        units = worker_state(("bpe units", hash(shared.value)), lambda: Units(Vocabulary(shared.value)))
         for column in batches:
-            ids = [np.fromiter(units.encode(t), np.int32) for t in texts_of(column)]
+            ids = [np.fromiter(units.encode(t.as_py() or ""), np.int32) for t in column]
             ends = np.cumsum([0, *map(len, ids)])
             if ends[-1] >= 1 << 31:
                 yield pa.array(ids, pa.list_(pa.int32()))
@@ -227,8 +231,8 @@ def bpe_decode(docs: DataFrame, tokenizer: str, ids: str = "ids", out: str = "de
 
     @F.arrow_udf("string")
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        vocabulary = _vocabulary(shared.value)
+        known = worker_state(("bpe bytes", hash(shared.value)), lambda: TokenBytes(shared.value))
         for column in batches:
-            yield pa.array([vocabulary.decode(row.values) if row.is_valid else "" for row in column], pa.string())
+            yield pa.array([known.decode(row.values) if row.is_valid else "" for row in column], pa.string())
 
     return docs.withColumn(out, decode.asNondeterministic()(F.col(ids)))
