@@ -58,3 +58,12 @@ def written(df: DataFrame, what: str) -> DataFrame:
     path = fresh_folder(df.sparkSession, what)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def file_system(uri: str):
+    """The pyarrow file system of a folder name, and its path there. For files that tasks write or read themselves."""
+    from pyarrow import fs
+
+    if uri.startswith("file:/") and not uri.startswith("file://"):
+        uri = "file://" + uri[len("file:") :]
+    return fs.FileSystem.from_uri(uri) if ":" in uri else (fs.LocalFileSystem(), uri)

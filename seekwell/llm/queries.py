@@ -3,17 +3,22 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seekwell.llm.bpe import bpe_decode, bpe_encode
-from seekwell.llm.common import documents, written
+from seekwell.llm.common import documents, fresh_folder, written
+from seekwell.llm.library_ids import encode_ids
+from seekwell.llm.packing import cut_pieces, pack
 from seekwell.llm.simhash import near_components, simhash
 from seekwell.llm.token_counts import count_tokens
+from seekwell.llm.token_files import read_token_files, write_token_files
 
 CONTEXT = 4096
+END_ID = 1
 
 
 def op1_token_counts(spark: SparkSession, folder: str) -> DataFrame:
@@ -42,7 +47,22 @@ def op4_simhash_components(spark: SparkSession, folder: str) -> DataFrame:
     return near_components(prints).withColumn("fingerprint", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")))
 
 
+def op5_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    pieces = cut_pieces(documents(spark, folder), public_tokenizers.path("word_bpe_49k.json"), CONTEXT, END_ID)
+    pieces = written(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), "pieces")
+    placed = pack(pieces, CONTEXT)
+    return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def op6_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    root = fresh_folder(spark, "tokens")
+    encode = partial(encode_ids, tokenizer=public_tokenizers.path("word_bpe_49k.json"), end_id=END_ID)
+    files = write_token_files(documents(spark, folder), root, width=2, ids=encode)
+    read = read_token_files(files, root)
+    return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_token_counts, op3_bpe_roundtrip, op4_simhash_components)
+    for f in (op1_token_counts, op3_bpe_roundtrip, op4_simhash_components, op5_best_fit_packing, op6_token_files)
 }
