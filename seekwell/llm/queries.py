@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from seekwell.llm.bpe import bpe_decode, bpe_encode
 from seekwell.llm.common import documents, fresh_folder, written
+from seekwell.llm.exact_dedup import exact_copies
 from seekwell.llm.library_ids import encode_ids
 from seekwell.llm.packing import cut_pieces, pack
 from seekwell.llm.simhash import near_components, simhash
@@ -62,7 +63,11 @@ def op6_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op7_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return exact_copies(documents(spark, folder))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_token_counts, op3_bpe_roundtrip, op4_simhash_components, op5_best_fit_packing, op6_token_files)
+    for f in (op1_token_counts, op3_bpe_roundtrip, op4_simhash_components, op5_best_fit_packing, op6_token_files, op7_exact_dedup)
 }

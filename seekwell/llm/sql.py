@@ -2,4 +2,20 @@
 
 from __future__ import annotations
 
-SQL: dict[str, str] = {}
+EXACT = r"""
+with bare as (
+  select doc_id, length(coalesce(text, '')) as n_chars,
+    regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') as bare
+  from documents
+), ranked as (
+  select doc_id, bare,
+    first_value(doc_id) over (partition by bare order by n_chars desc, doc_id) as keep_id,
+    count(*) over (partition by bare) as group_size
+  from bare
+)
+select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(bare) as text_sha256 from ranked
+"""
+
+SQL: dict[str, str] = {
+    "op7_exact_dedup": EXACT,
+}
