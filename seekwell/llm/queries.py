@@ -14,12 +14,15 @@ from seekwell.llm.common import documents, fresh_folder, written
 from seekwell.llm.exact_dedup import exact_copies
 from seekwell.llm.library_ids import encode_ids
 from seekwell.llm.packing import cut_pieces, pack
+from seekwell.llm.quality import fit, fold, quality
 from seekwell.llm.simhash import near_components, simhash
 from seekwell.llm.token_counts import count_tokens
 from seekwell.llm.token_files import read_token_files, write_token_files
+from seekwell.llm.warc import read_warc, write_warc
 
 CONTEXT = 4096
 END_ID = 1
+KEEP_SCORE = 0.3
 
 
 def op1_token_counts(spark: SparkSession, folder: str) -> DataFrame:
@@ -67,7 +70,29 @@ def op7_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_copies(documents(spark, folder))
 
 
+def labels(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.schema("doc_id long, quality int, toxic int").parquet(f"{folder}/labels.parquet")
+
+
+def op8_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    scored = quality(docs, fit(docs, labels(spark, folder)))
+    return scored.select(
+        "doc_id",
+        F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= KEEP_SCORE).cast("int").alias("predicted"),
+    )
+
+
+def op9_warc(spark: SparkSession, folder: str) -> DataFrame:
+    pages = spark.read.schema("page_id long, url string, html string").parquet(f"{folder}/pages.parquet")
+    root = fresh_folder(spark, "warc")
+    records = read_warc(write_warc(pages, root), root)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_token_counts, op3_bpe_roundtrip, op4_simhash_components, op5_best_fit_packing, op6_token_files, op7_exact_dedup)
+    for f in (op1_token_counts, op3_bpe_roundtrip, op4_simhash_components, op5_best_fit_packing, op6_token_files, op7_exact_dedup, op8_quality_classifier, op9_warc)
 }

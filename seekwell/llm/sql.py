@@ -16,6 +16,22 @@ with bare as (
 select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(bare) as text_sha256 from ranked
 """
 
+WARC = """
+with payloads as (
+  select page_id, encode(coalesce(html, '')) as payload from pages
+), digests as (
+  select page_id, octet_length(payload) as payload_bytes, sha1(payload) as payload_digest, payload from payloads
+), latest as (
+  select *, case when payload_bytes >= 1000 then max(page_id) over (partition by payload) else page_id end as latest
+  from digests
+)
+select page_id, payload_bytes, payload_digest,
+  case when page_id = latest then 'response' else 'revisit' end as record_type,
+  case when page_id <> latest then latest end as refers_to
+from latest
+"""
+
 SQL: dict[str, str] = {
     "op7_exact_dedup": EXACT,
+    "op9_warc": WARC,
 }
