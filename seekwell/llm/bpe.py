@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -26,7 +27,7 @@ from seekwell.llm.common import file_bytes, worker_state
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 LONGEST_KEPT = 64
 CACHE_UNITS = 300_000
-CACHE_PAIRS = 500_000
+CACHE_PAIRS = 250_000
 NONE = 1 << 60
 SPACE_RUN = re.compile(r"\s ")
 
@@ -51,10 +52,9 @@ class TokenBytes:
         ):
             raise ValueError("normalizers, ignored merges and stripping added tokens are not supported")
         letters = byte_letters()
-        self.model = model
-        self.raw = {i: bytes(map(letters.__getitem__, t)) for t, i in model["vocab"].items()}
+        raw = {i: bytes(map(letters.__getitem__, t)) for t, i in model["vocab"].items()}
         self.added = {a["content"]: a["id"] for a in parsed["added_tokens"]}
-        bytes_of = self.raw | {i: t.encode() for t, i in self.added.items()}
+        bytes_of = raw | {i: t.encode() for t, i in self.added.items()}
         self.table = [bytes_of.get(i, b"") for i in range(max(bytes_of) + 1)]
 
     def decode(self, ids: pa.Array) -> str:
@@ -74,7 +74,9 @@ class Vocabulary(TokenBytes):
         import regex
 
         super().__init__(definition)
-        model, raw = self.model, self.raw
+        model, raw = json.loads(definition)["model"], {i: b for i, b in enumerate(self.table) if b}
+        for token in self.added.values():
+            raw.pop(token, None)
         self.rank: dict[tuple[int, int], int] = {}
         # per token: the merge that makes it (NONE for single bytes) and its halves
         self.made: dict[int, int] = {}
@@ -123,7 +125,7 @@ class Vocabulary(TokenBytes):
                 end, b = made_b + 1, self.left[b]  # right of the border: (a, b) would go before it
 
     def compatible(self, a: int, b: int) -> bool:
-        key = a << 32 | b
+        key = a + 1 << 32 | b
         known = self.pairs.get(key)
         if known is None:
             if len(self.pairs) >= CACHE_PAIRS:
@@ -133,36 +135,36 @@ class Vocabulary(TokenBytes):
 
     def solve(self, word: str) -> list[int]:
         """The ids of one pre-token."""
-        data = word.encode().decode("latin-1")
+        data = word if word.isascii() else word.encode().decode("latin-1")
         n = len(data)
-        last: list[int] = [-1] * (n + 1)
-        back = [0] * (n + 1)
-        pairs = self.pairs
+        # per prefix its last token, moved to the high half of a pair's key; 0 where there is none yet
+        last, back = [0] * (n + 1), [0] * (n + 1)
+        known, compatible = self.pairs.get, self.compatible
         for end, (token, size) in self.matches.iter(data):
             end += 1
-            if last[end] >= 0:
+            if last[end]:
                 continue
             start = end - size
             if start:
                 before = last[start]
-                if before < 0:
+                if not before:
                     continue
-                known = pairs.get(before << 32 | token)
-                if known is None:
-                    known = self.compatible(before, token)
-                if not known:
+                fits = known(before | token)
+                if fits is None:
+                    fits = compatible((before >> 32) - 1, token)
+                if not fits:
                     continue
-            last[end], back[end] = token, start
+            last[end], back[end] = token + 1 << 32, start
         ids = []
         while n:
-            ids.append(last[n])
+            ids.append((last[n] >> 32) - 1)
             n = back[n]
         return ids[::-1]
 
     def encode_unit(self, unit: str) -> tuple[int, ...]:
         """Ids of a stretch of text that no pre-token crosses, added tokens included."""
         ids: list[int] = []
-        for i, part in enumerate(self.cut.split(unit)):
+        for i, part in enumerate(self.cut.split(unit) if any(t in unit for t in self.added) else (unit,)):
             if i % 2:
                 ids.append(self.added[part])
             elif part:
@@ -210,13 +212,12 @@ def bpe_encode(docs: DataFrame, tokenizer: str, text: str = "text", out: str = "
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         units = worker_state(("bpe units", hash(shared.value)), lambda: Units(Vocabulary(shared.value)))
         for column in batches:
-            ids = [np.fromiter(units.encode(t.as_py() or ""), np.int32) for t in column]
-            ends = np.cumsum([0, *map(len, ids)])
-            if ends[-1] >= 1 << 31:
-                yield pa.array(ids, pa.list_(pa.int32()))
-                continue
-            flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
-            yield pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))
+            ids, ends = array("i"), [0]
+            for text in column:
+                ids.extend(units.encode(text.as_py() or ""))
+                ends.append(len(ids))
+            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(ids, np.int32)))
+            del ids
 
     # not to be run once more for every column that is made from the ids
     return docs.withColumn(out, encode.asNondeterministic()(F.col(text)))
