@@ -16,11 +16,13 @@ from seekwell.llm.library_ids import encode_ids
 from seekwell.llm.packing import cut_pieces, pack
 from seekwell.llm.quality import fit, fold, quality
 from seekwell.llm.simhash import near_components, simhash
+from seekwell.llm.suffix_dedup import remove_repeats
 from seekwell.llm.token_counts import count_tokens
 from seekwell.llm.token_files import read_token_files, write_token_files
 from seekwell.llm.warc import read_warc, write_warc
 
 CONTEXT = 4096
+REPEAT = 100
 END_ID = 1
 KEEP_SCORE = 0.3
 
@@ -35,6 +37,11 @@ def op1_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op2_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    left = remove_repeats(documents(spark, folder), REPEAT)
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_bpe_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     tokenizer = public_tokenizers.path("byte_bpe_50k.json")
     both = bpe_decode(bpe_encode(documents(spark, folder).select("doc_id", "text"), tokenizer), tokenizer)
@@ -94,5 +101,5 @@ def op9_warc(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_token_counts, op3_bpe_roundtrip, op4_simhash_components, op5_best_fit_packing, op6_token_files, op7_exact_dedup, op8_quality_classifier, op9_warc)
+    for f in (op1_token_counts, op2_suffix_dedup, op3_bpe_roundtrip, op4_simhash_components, op5_best_fit_packing, op6_token_files, op7_exact_dedup, op8_quality_classifier, op9_warc)
 }
