@@ -17,6 +17,8 @@ from seekwell.llm.common import file_bytes, worker_state
 
 LONGEST_KEPT = 64
 CACHE_WORDS = 400_000
+CACHE_CORES = 500_000
+LATIN_END = "\u0250"
 
 
 def load(definition: bytes):
@@ -39,18 +41,48 @@ def load(definition: bytes):
 
 
 class Words(dict):
-    """Word -> its ids as little-endian unsigned 32-bit numbers, encoded when first met."""
+    """Word -> its ids as little-endian unsigned 32-bit numbers.
+
+    A word that is new is brought to its core before it is encoded: ASCII letters in lower case where the tokenizer ignores
+    case, and a full stop or comma after Latin letters by itself, as it is a pre-token of its own there.
+    """
 
     def __init__(self, definition: bytes):
         super().__init__()
         self.tokenizer = load(definition)
+        self.cores: dict[str, bytes] = {}
+        self.added = [a["content"] for a in json.loads(definition)["added_tokens"]]
+        self.folds = self.encoded("Ab") == self.encoded("ab")
+        self.stops = {s: self.encoded(s) for s in ".," if self.encoded("ab" + s) == self.encoded("ab") + self.encoded(s)}
+
+    def encoded(self, word: str) -> bytes:
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def core(self, word: str) -> bytes:
+        ids = self.cores.get(word)
+        if ids is None:
+            ids = self.encoded(word)
+            if len(word) <= LONGEST_KEPT:
+                if len(self.cores) >= CACHE_CORES:
+                    self.cores.clear()
+                self.cores[word] = ids
+        return ids
 
-    def __missing__(self, word: bytes) -> bytes:
-        ids = np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-        if len(word) <= LONGEST_KEPT:
+    def __missing__(self, raw: bytes) -> bytes:
+        word = raw.decode()
+        if self.folds and word.isascii():
+            low = word.lower()
+            if not any(token in low for token in self.added):
+                word = low
+        stem, stop = word[:-1], self.stops.get(word[-1])
+        if stop and stem.isalpha() and max(stem) < LATIN_END:
+            ids = self.core(stem) + stop
+        else:
+            ids = self.core(word)
+        if len(raw) <= LONGEST_KEPT:
             if len(self) >= CACHE_WORDS:
                 self.clear()
-            self[word] = ids
+            self[raw] = ids
         return ids
 
 
