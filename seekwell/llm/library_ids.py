@@ -19,6 +19,7 @@ LONGEST_KEPT = 64
 CACHE_WORDS = 400_000
 CACHE_CORES = 500_000
 LATIN_END = "\u0250"
+TORN = "\u0130"  # the one Latin letter below whose lower case ends in a mark
 
 
 def load(definition: bytes):
@@ -75,7 +76,7 @@ class Words(dict):
             if not any(token in low for token in self.added):
                 word = low
         stem, stop = word[:-1], self.stops.get(word[-1])
-        if stop and stem.isalpha() and max(stem) < LATIN_END:
+        if stop and stem.isalpha() and max(stem) < LATIN_END and TORN not in stem:
             ids = self.core(stem) + stop
         else:
             ids = self.core(word)
