@@ -6,6 +6,7 @@ For tokenizers that drop white space before any merge: a text's ids are then tho
 from __future__ import annotations
 
 import json
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -57,7 +58,11 @@ class Words(dict):
         self.stops = {s: self.encoded(s) for s in ".," if self.encoded("ab" + s) == self.encoded("ab") + self.encoded(s)}
 
     def encoded(self, word: str) -> bytes:
-        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        return self.ids_to_bytes(self.tokenizer.encode(word, add_special_tokens=False).ids)
+
+    @staticmethod
+    def ids_to_bytes(ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def core(self, word: str) -> bytes:
         ids = self.cores.get(word)
@@ -71,12 +76,14 @@ class Words(dict):
 
     def __missing__(self, raw: bytes) -> bytes:
         word = raw.decode()
-        if self.folds and word.isascii():
+        plain = word.isascii()
+        if plain and self.folds:
             low = word.lower()
-            if not any(token in low for token in self.added):
+            if low.isalnum() or not any(token in low for token in self.added):
                 word = low
-        stem, stop = word[:-1], self.stops.get(word[-1])
-        if stop and stem.isalpha() and max(stem) < LATIN_END and TORN not in stem:
+        stop = self.stops.get(word[-1])
+        stem = word[:-1]
+        if stop and stem.isalpha() and (plain or max(stem) < LATIN_END and TORN not in stem):
             ids = self.core(stem) + stop
         else:
             ids = self.core(word)
