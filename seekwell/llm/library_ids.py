@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seekwell.llm.bpe import byte_letters
 from seekwell.llm.common import file_bytes, worker_state
 
 LONGEST_KEPT = 64
@@ -45,16 +46,16 @@ def load(definition: bytes):
 class Words(dict):
     """Word -> its ids as little-endian unsigned 32-bit numbers.
 
-    A word that is new is brought to its core before it is encoded: ASCII letters in lower case where the tokenizer ignores
-    case, and a full stop or comma after Latin letters by itself, as it is a pre-token of its own there.
+    A word of Latin letters that is new goes straight to the library's model, in lower case where the tokenizer ignores
+    case, and a full stop or comma after it by itself, as it is a pre-token of its own there.
     """
 
     def __init__(self, definition: bytes):
         super().__init__()
         self.tokenizer = load(definition)
         self.cores: dict[str, bytes] = {}
-        self.added = [a["content"] for a in json.loads(definition)["added_tokens"]]
-        self.folds = self.encoded("Ab") == self.encoded("ab")
+        self.letter = {b: c for c, b in byte_letters().items()}
+        self.straight = all(self.direct(w) == self.encoded(w) for w in ("ab", "Ab", "ÉÇ", "straßeŷ", "Ñandú", "ªʰə"))
         self.stops = {s: self.encoded(s) for s in ".," if self.encoded("ab" + s) == self.encoded("ab") + self.encoded(s)}
 
     def encoded(self, word: str) -> bytes:
@@ -64,10 +65,17 @@ class Words(dict):
     def ids_to_bytes(ids: list[int]) -> bytes:
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    def core(self, word: str) -> bytes:
+    def direct(self, letters: str) -> bytes:
+        """Ids of Latin letters, which are one pre-token: straight from the library's model."""
+        text = letters.lower()
+        if not text.isascii():
+            text = "".join(map(self.letter.__getitem__, text.encode()))
+        return self.ids_to_bytes([token.id for token in self.tokenizer.model.tokenize(text)])
+
+    def core(self, word: str, latin: bool) -> bytes:
         ids = self.cores.get(word)
         if ids is None:
-            ids = self.encoded(word)
+            ids = self.direct(word) if latin and self.straight else self.encoded(word)
             if len(word) <= LONGEST_KEPT:
                 if len(self.cores) >= CACHE_CORES:
                     self.cores.clear()
@@ -77,16 +85,12 @@ class Words(dict):
     def __missing__(self, raw: bytes) -> bytes:
         word = raw.decode()
         plain = word.isascii()
-        if plain and self.folds:
-            low = word.lower()
-            if low.isalnum() or not any(token in low for token in self.added):
-                word = low
-        stop = self.stops.get(word[-1])
-        stem = word[:-1]
-        if stop and stem.isalpha() and (plain or max(stem) < LATIN_END and TORN not in stem):
-            ids = self.core(stem) + stop
+        stop = self.stops.get(word[-1], b"")
+        stem = word[:-1] if stop else word
+        if stem.isalpha() and (plain or max(stem) < LATIN_END and TORN not in stem):
+            ids = self.core(stem.lower() if self.straight else stem, True) + stop
         else:
-            ids = self.core(word)
+            ids = self.core(word, False)
         if len(raw) <= LONGEST_KEPT:
             if len(self) >= CACHE_WORDS:
                 self.clear()
