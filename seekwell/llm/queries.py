@@ -16,6 +16,7 @@ from seekwell.llm.library_ids import encode_ids
 from seekwell.llm.packing import cut_pieces, pack
 from seekwell.llm.quality import fit, fold, quality
 from seekwell.llm.simhash import near_components, simhash
+from seekwell.llm.sketch import fingerprints
 from seekwell.llm.suffix_dedup import remove_repeats
 from seekwell.llm.token_counts import count_tokens
 from seekwell.llm.token_files import read_token_files, write_token_files
@@ -99,7 +100,12 @@ def op9_warc(spark: SparkSession, folder: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op10_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    found = fingerprints(documents(spark, folder))
+    return found.withColumn("edited_sha256", F.sha2("edited_text", 256)).drop("edited_text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_token_counts, op2_suffix_dedup, op3_bpe_roundtrip, op4_simhash_components, op5_best_fit_packing, op6_token_files, op7_exact_dedup, op8_quality_classifier, op9_warc)
+    for f in (op1_token_counts, op2_suffix_dedup, op3_bpe_roundtrip, op4_simhash_components, op5_best_fit_packing, op6_token_files, op7_exact_dedup, op8_quality_classifier, op9_warc, op10_fingerprints)
 }
