@@ -25,8 +25,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from seekwell.llm.common import file_system, fresh_folder, written
 
@@ -164,7 +165,6 @@ def message(owner: int, part: int, kind: int, path: str | None, payload: bytes)
 
 def _send(root: str, owners: int, length: int):
     """Documents to messages: the part's file, the copies within the part, and each owner's phrases."""
-    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.binary())])
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, folder = file_system(root)
@@ -172,18 +172,20 @@ def _send(root: str, owners: int, length: int):
         part, path = TaskContext.get().partitionId(), f"{folder}/{uuid.uuid4()}.arrow"
         doc_ids: list[int] = []
         found: list[np.ndarray] = []
-        with fs.open_output_stream(path) as out, pa.ipc.new_stream(
-            out, schema, options=pa.ipc.IpcWriteOptions(compression="zstd")
-        ) as file:
-            for batch in batches:
-                batch = pa.RecordBatch.from_arrays(batch.columns, schema=schema)
-                file.write_batch(batch)
-                first = len(doc_ids)
-                doc_ids += [LATEST if d is None else d for d in batch.column(0).to_pylist()]
-                rows = ((first + i, t.as_py() or b"") for i, t in enumerate(batch.column(1)))
-                found += [_records(group, doc_ids, length) for group in _pieces(rows, length)]
-        if not doc_ids:
+        out = file = None
+        for batch in batches:
+            if file is None:
+                out = fs.open_output_stream(path)
+                file = pa.ipc.new_stream(out, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd"))
+            file.write_batch(batch)
+            first = len(doc_ids)
+            doc_ids += [LATEST if d is None else d for d in batch.column(0).to_pylist()]
+            rows = ((first + i, t.as_py() or b"") for i, t in enumerate(batch.column(1)))
+            found += [_records(group, doc_ids, length) for group in _pieces(rows, length)]
+        if file is None:
             return
+        file.close()
+        out.close()
         yield message(part % owners, part, FILE, path, b"")
         records = np.concatenate(found) if found else np.zeros(0, RECORD)
         records = in_order(records, "key", "digest", "doc_id", "row", "start")
@@ -261,12 +263,10 @@ def _by_part(root: str, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int
         yield now, path, kept
 
 
-def _texts(root: str, path: str) -> Iterator[tuple[int | None, bytes]]:
+def _stored(root: str, path: str) -> Iterator[pa.RecordBatch]:
     fs, _ = file_system(root)
     with fs.open_input_file(path) as f, pa.ipc.open_stream(f) as stream:
-        for batch in stream:
-            for doc_id, text in zip(batch.column(0), batch.column(1)):
-                yield doc_id.as_py(), text.as_py() or b""
+        yield from stream
 
 
 def _fetch(root: str, length: int):
@@ -282,7 +282,8 @@ def _fetch(root: str, length: int):
             asks = in_order(np.concatenate([unplanes(p, QUESTION) for p in kept[ASK]]), "row", "start")
             cuts = np.searchsorted(asks["row"], np.arange(int(asks["row"][-1]) + 2))
             out: list[tuple] = []
-            for row, (doc_id, text) in enumerate(_texts(root, path)):
+            texts = ((d.as_py(), t.as_py() or b"") for batch in _stored(root, path) for d, t in zip(batch.column(0), batch.column(1)))
+            for row, (doc_id, text) in enumerate(texts):
                 if row >= len(cuts) - 1:
                     break
                 own = asks[cuts[row] : cuts[row + 1]]
@@ -384,38 +385,43 @@ def _index(length: int):
 
 
 def _cut(root: str):
-    """Each part's spans to its documents, with what is left of their bytes."""
-    schema = pa.schema(
-        [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())]
-    )
+    """Each part's spans to its documents, with what is left of their bytes and their other columns."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, path, kept in _by_part(root, batches):
             spans = joined_spans(np.concatenate([unplanes(p, SPAN) for kind in (OWN, COVER) for p in kept.get(kind, [])]))
-            rows, at, out, size = spans["row"].tolist(), 0, [], 0
+            rows, at, row = spans["row"].tolist(), 0, 0
             starts, ends = spans["start"].tolist(), spans["end"].tolist()
-            for row, (doc_id, text) in enumerate(_texts(root, path)):
-                begin, left, first, removed = 0, [], at, 0
-                while at < len(rows) and rows[at] == row:
-                    left.append(text[begin : starts[at]])
-                    begin = ends[at]
-                    removed += ends[at] - starts[at]
-                    at += 1
-                left.append(text[begin:])
-                out.append((doc_id, len(text), removed, at - first, b"".join(left)))
-                size += len(text)
-                if size >= 4 * PIECE or len(out) >= 5000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
-                    out, size = [], 0
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+            for batch in _stored(root, path):
+                sizes, removed, runs, rest = [], [], [], []
+                for text in batch.column(1):
+                    data, begin, left, first, gone = text.as_py() or b"", 0, [], at, 0
+                    while at < len(rows) and rows[at] == row:
+                        left.append(data[begin : starts[at]])
+                        begin = ends[at]
+                        gone += ends[at] - starts[at]
+                        at += 1
+                    left.append(data[begin:])
+                    sizes.append(len(data))
+                    removed.append(gone)
+                    runs.append(at - first)
+                    rest.append(b"".join(left))
+                    row += 1
+                counts = [pa.array(c, pa.int64()) for c in (sizes, removed, runs)]
+                columns = [batch.column(0), *counts, pa.array(rest, pa.binary()), *batch.columns[2:]]
+                names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", *batch.schema.names[2:]]
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     return cut
 
 
-def remove_repeats(docs: DataFrame, length: int = 100, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def remove_repeats(
+    docs: DataFrame, length: int = 100, text: str = "text", doc_id: str = "doc_id", others: tuple[str, ...] = ()
+) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept): each document without the bytes of strings that occurred before.
 
+    Columns named in `others` come along; one named like a column of the result is an error.
+
     A byte goes if a string of `length` bytes (at least 2 * 32) that covers it also starts earlier: in a document of smaller
     `doc_id`, or earlier in its own. Overlaps count; strings are judged on the input, not on what is left; no
     string crosses documents. `kept` (binary) is what remains of the text in UTF-8, and may tear a character; `n_spans`
@@ -429,7 +435,14 @@ def remove_repeats(docs: DataFrame, length: int = 100, text: str = "text", doc_i
         raise ValueError(f"strings have to be of {2 * GRAM} bytes at least")
     spark = docs.sparkSession
     root, owners = fresh_folder(spark, "parts"), int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
+    whole = F.coalesce(F.col(text), F.lit("")).cast("binary")
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), whole.alias("text"), *others)
+    result = T.StructType(
+        [T.StructField(n, T.LongType()) for n in ("doc_id", "n_bytes", "n_removed", "n_spans")]
+        + [T.StructField("kept", T.BinaryType()), *(rows.schema[c] for c in others)]
+    )
+    if len(set(result.names)) < len(result):
+        raise ValueError("a column to come along has the name of a column of the result")
     sent = rows.mapInArrow(_send(root, owners, length), MESSAGE)
     dealt = sent.repartition(owners, "owner").sortWithinPartitions("owner", "part")
     answers = written(dealt.mapInArrow(_judge(length), MESSAGE), "answers").select("part", "kind", "path", "payload")
@@ -438,4 +451,15 @@ def remove_repeats(docs: DataFrame, length: int = 100, text: str = "text", doc_i
     ordered = phrase.repartition("key").sortWithinPartitions("doc_id", "part", "row", "start").select("part", "row", "start", "phrase")
     compared = ordered.mapInArrow(_index(length), MESSAGE).select("part", "kind", "path", "payload")
     all_spans = answers.where(F.col("kind") != ASK).unionAll(compared).repartition("part").sortWithinPartitions("part")
-    return all_spans.mapInArrow(_cut(root), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return all_spans.mapInArrow(_cut(root), result)
+
+
+def whole_characters(kept: Column) -> Column:
+    """The text of UTF-8 bytes, without those of characters that a cut has torn."""
+
+    @F.arrow_udf("string")
+    def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in batches:
+            yield pa.array([(k.as_py() or b"").decode("utf-8", "ignore") for k in column], pa.string())
+
+    return decode(kept)
