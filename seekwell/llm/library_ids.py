@@ -18,8 +18,8 @@ from seekwell.llm.bpe import byte_letters
 from seekwell.llm.common import file_bytes, worker_state
 
 LONGEST_KEPT = 64
-CACHE_WORDS = 400_000
-CACHE_CORES = 500_000
+CACHE_WORDS = 150_000
+CACHE_CORES = 250_000
 LATIN_END = "\u0250"
 TORN = "\u0130"  # the one Latin letter below whose lower case ends in a mark
 

@@ -24,7 +24,7 @@ SAMPLE_ROWS = 16384
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.05, 0.01
 FOLDS = 5
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 LONGEST_KEPT = 48
 RUNS = re.compile(r"(.)\1+")
 MIX = np.uint64(0x9E3779B97F4A7C15)
