@@ -121,14 +121,18 @@ def pack(items: DataFrame, capacity: int, length: str = "length", keys: tuple[st
     checked = F.when(F.col(length).between(1, capacity), F.col(length)).otherwise(
         F.raise_error(F.concat(F.lit("length out of range: "), F.coalesce(F.col(length).cast("string"), F.lit("null"))))
     )
-    rows = items.drop("sequence_id", "offset").withColumns(
-        {"_length": checked.cast("long"), "_lane": F.pmod(F.xxhash64(*keys), F.lit(LANES)).cast("int")}
+    kept = [c for c in items.columns if c not in ("sequence_id", "offset")]
+    rows = items.select(
+        F.struct(*kept).alias("item"),  # whatever the input's columns are called
+        F.struct(*keys).alias("by"),
+        checked.cast("long").alias("size"),
+        F.pmod(F.xxhash64(*keys), F.lit(LANES)).cast("int").alias("lane"),
     )
     # ranks of a length are dealt in lanes, so that a length of very many items is ranked by many tasks
-    counts = rows.groupBy("_length", "_lane").agg(F.count("*").alias("n"))
-    upto = Window.partitionBy("_length").orderBy("_lane").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy("size", "lane").agg(F.count("*").alias("n"))
+    upto = Window.partitionBy("size").orderBy("lane").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.withColumn("base", F.coalesce(F.sum("n").over(upto), F.lit(0))).drop("n")
-    histogram = {r[0]: r[1] for r in rows.groupBy("_length").count().collect()}  # at most `capacity` rows
+    histogram = {r[0]: r[1] for r in rows.groupBy("size").count().collect()}  # at most `capacity` rows
     shared = items.sparkSession.sparkContext.broadcast(plan(histogram, capacity))
 
     @F.arrow_udf("struct<sequence_id: long, offset: long>")
@@ -142,11 +146,10 @@ def pack(items: DataFrame, capacity: int, length: str = "length", keys: tuple[st
             places = [row[:, 3] + nth // row[:, 2], row[:, 4] + nth % row[:, 2] * size]
             yield pa.StructArray.from_arrays([pa.array(x) for x in places], ["sequence_id", "offset"])
 
-    within = Window.partitionBy("_length", "_lane").orderBy(*keys)
-    ranked = rows.withColumn("_nth", F.row_number().over(within)).join(base, ["_length", "_lane"])
-    placed = ranked.withColumn("_place", place(F.col("_length"), F.col("base") + F.col("_nth") - 1))
-    kept = [c for c in items.columns if c not in ("sequence_id", "offset")]
-    return placed.select(*kept, F.col("_place.sequence_id").alias("sequence_id"), F.col("_place.offset").alias("offset"))
+    within = Window.partitionBy("size", "lane").orderBy("by")
+    ranked = rows.withColumn("nth", F.row_number().over(within)).join(base, ["size", "lane"])
+    placed = ranked.withColumn("place", place(F.col("size"), F.col("base") + F.col("nth") - 1))
+    return placed.select("item.*", F.col("place.sequence_id").alias("sequence_id"), F.col("place.offset").alias("offset"))
 
 
 def sequences(placed: DataFrame) -> DataFrame:
