@@ -319,6 +319,8 @@ class SuffixIndex:
         sizes = np.array([len(t) for t in texts])
         begins = np.cumsum(sizes) - sizes
         counts = np.maximum(sizes - self.length + 1, 0)
+        if not counts.sum():
+            return [np.zeros(0, bool)] * len(texts)
         local = np.repeat(begins - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
         hashes = rolling(np.frombuffer(self.data, np.uint8)[base:], self.length, np.uint64)[local]
         sorting = np.argsort(hashes, kind="stable")
