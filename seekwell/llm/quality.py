@@ -118,7 +118,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: in
         weights, bias = train(seen)
         yield pa.RecordBatch.from_pydict({"weights": [weights.astype("<f4").tobytes()], "bias": [bias]})
 
-    return tuple(rows.select("text", "label").mapInArrow(learn, "weights binary, bias double").first())
+    found = rows.select("text", "label").mapInArrow(learn, "weights binary, bias double").first()
+    return tuple(found) if found else (np.zeros(SIZE, "<f4").tobytes(), 0.0)
 
 
 def quality(docs: DataFrame, model: tuple[bytes, float], text: str = "text", out: str = "score") -> DataFrame:

@@ -45,11 +45,12 @@ MULTIPLIER = 0x9E3779B97F4A7C15
 
 def planes(records: np.ndarray) -> bytes:
     """Records with all first bytes together, then all second bytes and so on, which packs well."""
-    return np.ascontiguousarray(records.view(np.uint8).reshape(len(records), -1).T).tobytes()
+    return np.ascontiguousarray(records.view(np.uint8).reshape(len(records), records.itemsize).T).tobytes()
 
 
 def unplanes(data: bytes, kind: np.dtype) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(kind.itemsize, -1).T).view(kind).ravel()
+    size = len(data) // kind.itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8, len(data)).reshape(kind.itemsize, size).T).view(kind).ravel()
 
 
 def rolling(data: np.ndarray, size: int, kind: type) -> np.ndarray:

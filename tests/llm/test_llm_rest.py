@@ -1,0 +1,220 @@
+"""Quality model, WARC, pipeline and the registered queries."""
+
+import glob
+import hashlib
+import importlib
+import os
+import zlib
+
+import duckdb
+import numpy as np
+import pandas as pd
+import pytest
+from llm_cases import TEXTS, clashing, frame, fuzz, long_text, rows
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from __spark_entry__ import oracle_sql, queries
+from seekwell.llm.quality import Features, fit, fold, quality, score, shape, train
+from seekwell.llm.warc import members, parse, read_warc, record, write_warc
+
+FOLDER = os.environ.get("TWIN_SF_DIR", "/root/testdata/sf0.01")
+NAMES = {f"op{i}" for i in range(1, 11)}
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+# quality
+
+
+@pytest.mark.parametrize(
+    ("word", "want"), [("Hello", "Aa"), ("HELLO!!!", "A!!"), ("x12", "a0"), ("|", "|"), ("à$$", "a$$"), ("", "")]
+)
+def test_shape(word, want):
+    assert shape(word) == want
+
+
+def noisy(n):
+    good = [long_text(i, 60) for i in range(n)]
+    bad = [" ".join(w.upper() + "!!" for w in t.split()) if i % 2 else "spam " * 60 for i, t in enumerate(good)]
+    return good, bad
+
+
+def test_training_is_learning():
+    good, bad = noisy(60)
+    f = Features()
+    data = [(*f.of(t.encode()), y) for pair in zip(good, bad) for t, y in zip(pair, (1, 0))]
+    weights, bias = train(data[:80])
+    assert all((score(weights, bias, p, n) >= 0.5) == y for p, n, y in data[80:])
+    assert (weights != 0).mean() < 0.05
+    none, zero = train([])
+    assert not none.any() and score(none, zero, *f.of(b"x")) == 0.5
+
+
+def test_scores(spark):
+    good, bad = noisy(80)
+    texts = good + bad + TEXTS
+    docs = frame(spark, rows(texts) + [(None, "no id")])
+    marks = [(i, 1, 0) for i in range(80)] + [(i, 0, 0) for i in range(80, 160)] + [(3, None, 0), (None, 1, 0), (999, 1, 1)]
+    labels = frame(spark, marks, "doc_id long, quality int, toxic int")
+    model = fit(docs, labels)
+    assert fit(docs.repartition(5), labels.repartition(3)) == model
+    got = {r.doc_id: r for r in quality(clashing(docs, "score", "place", "label"), model).withColumn("f", fold(F.col("doc_id"))).collect()}
+    assert len(got) == len(texts) + 1
+    held = [i for i in range(160) if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert held and all(got[i].f == 0 for i in held)
+    assert all((got[i].score >= 0.3) == (i < 80) for i in held)
+    blank = {got[i].score for i in range(160, 163)}
+    assert len(blank) == 1 and 0 <= blank.pop() <= 1
+    # labels of the held-out fold change nothing
+    other = labels.withColumn("quality", F.when(fold(F.col("doc_id")) == 0, 1 - F.col("quality")).otherwise(F.col("quality")))
+    assert fit(docs, other) == model
+    assert quality(frame(spark, []), model).count() == 0
+    weights, bias = fit(docs, frame(spark, [], "doc_id long, quality int, toxic int"))
+    assert not np.frombuffer(weights, "<f4").any() and bias == 0
+
+
+def test_held_out_accuracy(spark):
+    got = queries()["op8_quality_classifier"](spark, FOLDER)
+    labels = spark.read.parquet(f"{FOLDER}/labels.parquet")
+    held = got.where("held_out").join(labels, "doc_id").toPandas()
+    assert len(held) > 50
+    assert ((held.predicted == held.quality).mean()) > 0.95
+    assert got.count() == spark.read.parquet(f"{FOLDER}/documents.parquet").count()
+
+
+# WARC
+
+
+def test_record_round_trip():
+    body = "häß\r\n\r\nx".encode()
+    sha1 = hashlib.sha1(body).digest()
+    one = record(5, "http://x/ä b\r\ny", body, len(body), sha1, None)
+    two = record(6, "", body, len(body), sha1, 5)
+
+    class Slow:
+        """Gives a byte at a time."""
+
+        def __init__(self, data):
+            self.data, self.at = data, 0
+
+        def read(self, _):
+            self.at += 1
+            return self.data[self.at - 1 : self.at]
+
+    (a, block), (b, header) = [parse(m) for m in members(Slow(one + two))]
+    assert (a["warc-type"], b["warc-type"]) == ("response", "revisit")
+    assert block.endswith(b"\r\n\r\n" + body) and header.endswith(b"\r\n\r\n") and b["warc-refers-to"] == "<urn:page:5>"
+    with pytest.raises(ValueError, match="ends inside"):
+        list(members(Slow(one[:-4])))
+
+
+def pages(spark, data):
+    return frame(spark, data, "page_id long, url string, html string")
+
+
+def test_warc(spark, tmp_path):
+    big, other = "x" * 1000, "ä" * 500 + "y"
+    data = [(i, f"http://h/{i}", t) for i, t in rows(TEXTS + fuzz(3, 30) + [big, big, other, other, other, "z" * 999, "z" * 999])]
+    data += [(900 + i, None, big) for i in range(150)] + [(5000, "u", long_text())]
+    files = write_warc(clashing(pages(spark, data), "sha1", "refers_to", "payload").repartition(4), str(tmp_path))
+    got = read_warc(files, str(tmp_path)).collect()
+    assert sorted(r.page_id for r in got) == sorted(d[0] for d in data)
+    body = {i: (t or "").encode() for i, _, t in data}
+    last = {b: max(i for i, x in body.items() if x == b) for b in body.values()}
+    for r in got:
+        want = body[r.page_id]
+        assert (r.payload_bytes, r.payload_digest) == (len(want), hashlib.sha1(want).hexdigest())
+        again = len(want) >= 1000 and last[want] != r.page_id
+        assert (r.record_type, r.refers_to) == (("revisit", last[want]) if again else ("response", None))
+        assert r.payload is None if again else bytes(r.payload) == want
+    path = files.first().path
+    data = bytearray(open(path, "rb").read())
+    data[len(data) // 2] ^= 0xFF
+    with open(path, "wb") as f:
+        f.write(data)
+    with pytest.raises(Exception):
+        read_warc(files, str(tmp_path)).collect()
+
+
+def test_warc_edges(spark, tmp_path):
+    files = write_warc(pages(spark, []), str(tmp_path))
+    assert files.count() == 0 and read_warc(files, str(tmp_path)).count() == 0
+    with pytest.raises(Exception, match="no page_id"):
+        write_warc(pages(spark, [(None, "u", "x")]), str(tmp_path)).collect()
+    twice = read_warc(write_warc(pages(spark, [(1, "u", "x" * 2000)] * 2), str(tmp_path)), str(tmp_path))
+    assert [r.record_type for r in twice.collect()] == ["response", "response"]
+
+
+# registered queries
+
+
+def test_every_operator_is_registered():
+    assert NAMES <= {n.split("_")[0] for n in queries()}
+    assert queries()["pipeline"] is corpus_pipeline.run
+    assert [n for n, _ in corpus_pipeline.STAGES][-1] == "best-fit packing"
+
+
+def test_twins(spark):
+    con = duckdb.connect()
+    for path in glob.glob(f"{FOLDER}/*.parquet"):
+        con.execute(f"create view {os.path.basename(path).removesuffix('.parquet')} as select * from read_parquet('{path}')")
+    for name in importlib.import_module("seekwell.llm.sql").SQL:
+        got, want = queries()[name](spark, FOLDER).toPandas(), con.sql(oracle_sql()[name]).df()
+        assert sorted(got.columns) == sorted(want.columns) and len(want) > 0
+        tidy = [d.astype(object).where(d.notna(), None)[sorted(d.columns)] for d in (got, want)]
+        tidy = [d.sort_values(list(d.columns)[:1], kind="stable").sort_values(d.columns[d.columns.isin(["doc_id", "page_id"])][0]) for d in tidy]
+        pd.testing.assert_frame_equal(*(d.reset_index(drop=True) for d in tidy), check_dtype=False)
+
+
+@pytest.mark.parametrize("name", ["op1_token_counts", "op3_bpe_roundtrip", "op5_best_fit_packing", "op6_token_files"])
+def test_whole_tables(spark, name):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    assert queries()[name](spark, FOLDER).select("doc_id").distinct().count() == docs.count()
+
+
+# pipeline
+
+
+@pytest.fixture(scope="module")
+def corpus(spark, tmp_path_factory):
+    folder = str(tmp_path_factory.mktemp("corpus"))
+    good, bad = noisy(60)
+    shared = long_text(77, 60)
+    near = long_text(78, 3000)
+    texts = good + bad + [good[0], good[1] + " \n", near, near + " end", shared + " one " + good[2], shared + " two " + good[3]]
+    texts += [None, "", "short clean text", good[5].replace(" ", "  ")]
+    data = [(i, t, "en", f"src{i % 3}", len(t) if t else 0) for i, t in enumerate(texts)] + [(None, "a text without an id", "de", None, 20)]
+    docs = frame(spark, data, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.repartition(3).write.parquet(f"{folder}/documents.parquet")
+    marks = [(i, int(i < 60), 0) for i in range(120)]
+    frame(spark, marks, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    return folder, texts
+
+
+def test_stages(spark, corpus):
+    folder, texts = corpus
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    steps = [docs]
+    for _, stage in corpus_pipeline.STAGES:
+        steps.append(stage(spark, steps[-1], folder).cache())
+    assert all(s.columns == COLUMNS for s in steps[:-1])
+    ids = [{r.doc_id for r in s.select("doc_id").collect()} for s in steps]
+    assert not ids[1] & set(range(60, 120)) and set(range(60)) <= ids[1]
+    assert ids[1] - ids[2] == {1, 5, 120, 127}  # of copies the longest stays, then the first; null and empty are equal
+    assert 122 in ids[3] and 123 not in ids[3]
+    assert ids[3] == ids[4] == ids[5] and None in ids[5]
+    left = {r.doc_id: r.text for r in steps[4].collect()}
+    assert texts[124].startswith(left[124][:300]) and len(left[125]) < len(texts[125]) - 300
+    assert {r.doc_id: r.n_chars for r in steps[4].collect()} == {d: len(t or "") for d, t in left.items()}
+    assert [tuple(r) for r in corpus_pipeline.run(spark, folder).drop("sequence_id", "offset").orderBy("doc_id", "piece").collect()] == [
+        tuple(r) for r in steps[5].drop("sequence_id", "offset").orderBy("doc_id", "piece").collect()
+    ]
+
+
+def test_stages_of_nothing(spark, corpus):
+    folder, _ = corpus
+    docs = spark.read.parquet(f"{folder}/documents.parquet").where("false").withColumn("_extra", F.lit(1))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, folder)
+        assert docs.columns == [*COLUMNS, "_extra"] and docs.count() == 0
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, folder).count() == 0
