@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seekwell.llm.common import file_bytes, worker_state
+from seekwell.llm.common import file_bytes, small, worker_state
 
 # Fixed value: the published pattern that cuts text into pre-tokens before any merge.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -211,7 +211,7 @@ def bpe_encode(docs: DataFrame, tokenizer: str, text: str = "text", out: str = "
     @F.arrow_udf("array<int>")
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         units = worker_state(("bpe units", hash(shared.value)), lambda: Units(Vocabulary(shared.value)))
-        for column in batches:
+        for column in small(batches):
             ids, ends = array("i"), [0]
             for text in column:
                 ids.extend(units.encode(text.as_py() or ""))
@@ -233,7 +233,7 @@ def bpe_decode(docs: DataFrame, tokenizer: str, ids: str = "ids", out: str = "de
     @F.arrow_udf("string")
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known = worker_state(("bpe bytes", hash(shared.value)), lambda: TokenBytes(shared.value))
-        for column in batches:
+        for column in small(batches):
             yield pa.array([known.decode(row.values) if row.is_valid else "" for row in column], pa.string())
 
     return docs.withColumn(out, decode.asNondeterministic()(F.col(ids)))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import sys
 import types
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import Any, TypeVar
 
 import pyarrow as pa
@@ -46,6 +46,13 @@ def texts_of(column: pa.Array) -> list[str]:
     return [t or "" for t in column.to_pylist()]
 
 
+def small(batches: Iterator[pa.Array], rows: int = 1024) -> Iterator[pa.Array]:
+    """The same rows in smaller columns, so that what is made of them at once is small too."""
+    for column in batches:
+        for start in range(0, len(column), rows):
+            yield column.slice(start, rows)
+
+
 def fresh_folder(spark: SparkSession, what: str) -> str:
     """A new folder name under the folder that driver and executors share."""
     import uuid

@@ -150,7 +150,7 @@ def exact_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     coded = named.select("doc_id", "n_chars", F.col("text").cast("binary").alias("text"))
     parts = written(coded.mapInArrow(_parts(owners), PART), "parts")
     sent = parts.select("part", F.explode("sent").alias("to")).select("to.owner", "part", "to.code")
-    dealt = sent.repartition(owners, "owner").sortWithinPartitions("owner", "part")
+    dealt = sent.repartitionById(owners, "owner").sortWithinPartitions("owner", "part")
     answers = dealt.mapInArrow(_answer, "part long, owner int, n int, bitmap binary")
     per_part = answers.groupBy("part").agg(F.sort_array(F.collect_list(F.struct("owner", "n", "bitmap"))).alias("answers"))
     marked = parts.join(per_part, "part").select("doc_ids", "sizes", "digests", "places", "answers")

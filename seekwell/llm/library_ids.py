@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seekwell.llm.bpe import byte_letters
-from seekwell.llm.common import file_bytes, worker_state
+from seekwell.llm.common import file_bytes, small, worker_state
 
 LONGEST_KEPT = 64
 CACHE_WORDS = 150_000
@@ -112,7 +112,7 @@ def encode_ids(docs: DataFrame, tokenizer: str, text: str = "text", out: str = "
     @F.arrow_udf("binary")
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         words = worker_state(("library ids", hash(shared.value)), lambda: Words(shared.value))
-        for column in batches:
+        for column in small(batches):
             ids = [
                 b"".join(map(words.__getitem__, (t.as_py() or b"").split())) + end for t in column.cast(pa.binary())
             ]

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seekwell.llm.common import worker_state
+from seekwell.llm.common import small, worker_state
 
 BITS = 18
 SIZE = 1 << BITS
@@ -134,7 +134,7 @@ def quality(docs: DataFrame, model: tuple[bytes, float], text: str = "text", out
     def scores(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         weights, bias = np.frombuffer(shared.value[0], "<f4"), shared.value[1]
         features = worker_state("quality features", Features)
-        for column in batches:
+        for column in small(batches):
             yield pa.array([score(weights, bias, *features.of(t.as_py() or b"")) for t in column.cast(pa.binary())], pa.float64())
 
     return docs.withColumn(out, scores(F.col(text)))

@@ -447,13 +447,15 @@ def remove_repeats(
     if len(set(result.names)) < len(result):
         raise ValueError("a column to come along has the name of a column of the result")
     sent = rows.mapInArrow(_send(root, owners, length), MESSAGE)
-    dealt = sent.repartition(owners, "owner").sortWithinPartitions("owner", "part")
+    dealt = sent.repartitionById(owners, "owner").sortWithinPartitions("owner", "part")
     answers = written(dealt.mapInArrow(_judge(length), MESSAGE), "answers").select("part", "kind", "path", "payload")
-    asked = answers.where(F.col("kind").isin(FILE, ASK)).repartition("part").sortWithinPartitions("part")
+    # messages are small and what they stand for is not: a task for each part, which AQE leaves alone
+    parts = (answers.agg(F.max("part")).first()[0] or 0) + 1
+    asked = answers.where(F.col("kind").isin(FILE, ASK)).repartitionById(parts, "part").sortWithinPartitions("part")
     phrase = asked.mapInArrow(_fetch(root, length), "key long, doc_id long, part int, row long, start long, phrase binary")
     ordered = phrase.repartition("key").sortWithinPartitions("doc_id", "part", "row", "start").select("part", "row", "start", "phrase")
     compared = ordered.mapInArrow(_index(length), MESSAGE).select("part", "kind", "path", "payload")
-    all_spans = answers.where(F.col("kind") != ASK).unionAll(compared).repartition("part").sortWithinPartitions("part")
+    all_spans = answers.where(F.col("kind") != ASK).unionAll(compared).repartitionById(parts, "part").sortWithinPartitions("part")
     return all_spans.mapInArrow(_cut(root), result)
 
 

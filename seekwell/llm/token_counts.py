@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seekwell.llm.common import file_bytes, texts_of, worker_state
+from seekwell.llm.common import file_bytes, small, texts_of, worker_state
 
 MARK = "▁"  # how SentencePiece writes a space
 SAMPLE_DOCS = 2048
@@ -103,7 +103,7 @@ def count_tokens(docs: DataFrame, model: str, text: str = "text", out: str = "n_
         table, proto = shared.value
         key = ("token_counts", hash(proto))
         counts = Counts(table, worker_state((key, "model"), lambda: load(proto)), worker_state((key, "cache"), dict))
-        for column in batches:
+        for column in small(batches):
             yield pa.array([counts.of(t) for t in texts_of(column)], pa.int64())
 
     return docs.withColumn(out, count(F.col(text)))

@@ -163,7 +163,7 @@ def read_token_files(files: DataFrame, root: str) -> DataFrame:
                     yield from _documents(f, base)
 
     schema = "doc_id long, start long, n_tokens long, ids binary"
-    dealt = files.repartitionByRange(max(1, files.count()), "shard")
+    dealt = files.repartitionById(max(1, files.count()), "shard")
     return dealt.select("path", "base").mapInArrow(read, schema)
 
 
