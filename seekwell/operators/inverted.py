@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from seekwell.functions import term_counts, words
 from seekwell.operators.joins import join_facts
-from seekwell.session import durable
+from seekwell.session import durable, written
 
 
 def postings(documents: DataFrame) -> DataFrame:
@@ -51,4 +51,6 @@ def with_df(entries: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 def inverted_index(documents: DataFrame) -> DataFrame:
-    return with_df(postings(documents), durable(dictionary(documents)))
+    """term, doc_id, tf, df, doc_len. The texts are tokenized once: postings are written, and df is counted from them."""
+    entries = written(postings(documents), "postings")
+    return with_df(entries, durable(entries.groupBy("term").agg(F.count("*").alias("df"))))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-HOT_SHARE = 1000
+HOT_PER_PARTITION = 4
 LANES = 1 << 20
 
 
@@ -15,14 +15,15 @@ def join_facts(rows: DataFrame, facts: DataFrame, key: str, weight: str, spread_
     `facts[weight]` is the number of rows that hold the key. `facts` is read
     three times, so it should come from a written table.
 
-    A key with at least a thousandth of all rows is hot. There are at most a
-    thousand of those, whatever the data, so they are broadcast. The other keys
-    are joined by a shuffle in which none outweighs a thousandth of the rows.
+    A key with at least a quarter of the rows of a mean shuffle partition is hot. There are at
+    most four of those per partition, whatever the data, so they are broadcast. The other keys are
+    joined by a shuffle in which none outweighs a quarter of a partition.
     Rows of hot keys have their facts by then: they go along in the same pass,
     spread over all tasks by `spread_by`, and match nothing.
     """
     total = facts.agg(F.sum(weight)).first()[0] or 0
-    is_hot = F.col(weight) * HOT_SHARE >= total
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    is_hot = F.col(weight) * (HOT_PER_PARTITION * parts) >= total
     names = [c for c in facts.columns if c != key]
     hot = facts.where(is_hot).select(key, F.struct(*names).alias("hot"))
     # lanes 0 .. LANES - 1 go by the key, and the lanes behind them hold no facts; a constant

@@ -5,40 +5,45 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from seekwell.session import durable
 
 MAX_BLOCK_BYTES = 64 << 20
 
 
-def query_blocks(
-    queries: DataFrame,
-    id_col: str,
-    size: Column,
-    max_bytes: int = MAX_BLOCK_BYTES,
-    level: int = 0,
-) -> Iterator[pa.Table]:
-    """All of `queries`, in parts of at most `max_bytes` each.
+def _number(max_bytes: int):
+    """The task that gives each row the number of its block: the task's own, and counted on when a block is full."""
 
-    The size is measured, not assumed. A set that fits is one block. A larger
-    one is split by a hash of the id, and each block is one more scan of the
-    items: the blocks together are the whole set, and only one at a time is
-    with the driver.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, block, used = TaskContext.get().partitionId(), 0, 0
+        for batch in batches:
+            numbers = []
+            for size in batch.column("_size").to_pylist():
+                if used and used + size > max_bytes:
+                    block, used = block + 1, 0
+                used += size
+                numbers.append(task << 32 | block)
+            yield batch.append_column("_block", pa.array(numbers, pa.int64()))
+
+    return run
+
+
+def query_blocks(queries: DataFrame, size: Column, max_bytes: int = MAX_BLOCK_BYTES) -> Iterator[pa.Table]:
+    """All of `queries`, in parts of at most `max_bytes` each, or of one row where that alone is larger.
+
+    The size is measured, not assumed. A set that fits is one block. In a larger one the tasks number their rows'
+    blocks, and the set is written once; ids need not be unique. Each block is one more scan of the items.
     """
-    total, longest = queries.agg(
-        F.coalesce(F.sum(size), F.lit(0)), F.coalesce(F.max(size), F.lit(0))
-    ).first()
-    if longest > max_bytes:
-        raise ValueError(f"one query has {longest} bytes, more than a block of {max_bytes} can hold")
+    sized = queries.withColumn("_size", F.coalesce(size.cast("long"), F.lit(0)))
+    total = sized.agg(F.coalesce(F.sum("_size"), F.lit(0))).first()[0]
     if total <= max_bytes:
         yield queries.toArrow()
         return
-    if level == 0:
-        queries = durable(queries)  # read once per block from here on
-    n = 2 * -(-total // max_bytes)
-    part = F.pmod(F.xxhash64(id_col, F.lit(level)), F.lit(n))
-    for p in range(n):
-        # a block that the hash made too large is split again, by another hash
-        yield from query_blocks(queries.where(part == p), id_col, size, max_bytes, level + 1)
+    schema = T.StructType([*sized.schema.fields, T.StructField("_block", T.LongType())])
+    numbered = durable(sized.mapInArrow(_number(max_bytes), schema))
+    for row in numbered.select("_block").distinct().orderBy("_block").toLocalIterator():
+        yield numbered.where(F.col("_block") == row[0]).select(*queries.columns).toArrow()

@@ -45,7 +45,7 @@ def _blocks(
     spark = queries.sparkSession
     tokenized = queries.select(F.col("query").cast("long").alias("query"), words(F.col("text")).alias("ws"))
     size = F.octet_length(F.array_join("ws", " ")).cast("long") + 16
-    for table in query_blocks(tokenized, "query", size, max_block_bytes):
+    for table in query_blocks(tokenized, size, max_block_bytes):
         block = QueryBlock.of(table)
         if block.vocab:
             vocab = spark.createDataFrame(pa.table({"term": pa.array(["", *block.vocab], pa.string())}))

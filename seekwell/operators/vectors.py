@@ -1,7 +1,8 @@
 """Nearest neighbours by cosine: exact by one scan, and by sign-hyperplane buckets.
 
-Vectors are (vec_id, embedding array<float>) and have unit length, so the inner
-product is the cosine. A null vector has no neighbours and is none.
+Vectors are (vec_id, embedding array<float>), all of one length. A null vector has no
+neighbours and is none; one of zeros has cosine 0 with all. A number that is not finite,
+a null within a vector, or vectors of different lengths are an error.
 """
 
 from __future__ import annotations
@@ -28,8 +29,27 @@ FOUND = "neighbour long, cost long, score double, query long"
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     lists = column.combine_chunks()
+    if not len(lists):
+        return np.zeros((0, 0))
+    lengths = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+    if (lengths != lengths[0]).any():
+        raise ValueError("vectors of different lengths")
     flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(len(lists), -1) if len(lists) else flat.reshape(0, 0)
+    if not np.isfinite(flat).all():
+        raise ValueError("a vector holds a null or a number that is not finite")
+    return flat.reshape(len(lists), int(lengths[0]))
+
+
+def _directions(m: np.ndarray) -> np.ndarray:
+    """Rows at length 1, so that inner products are cosines; rows of zeros as they are."""
+    norm = np.sqrt((m * m).sum(axis=1, keepdims=True))
+    return m / np.where(norm > 0, norm, 1.0)
+
+
+def _cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    if a.shape[1] != b.shape[1] and len(a) and len(b):
+        raise ValueError("vectors of different lengths")
+    return a @ b.T
 
 
 def _equal(ids: np.ndarray, order: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -40,7 +60,7 @@ def _equal(ids: np.ndarray, order: np.ndarray, others: np.ndarray) -> tuple[np.n
     return order[at], np.repeat(np.arange(len(others)), n)
 
 
-def _scan(block, budget: int):
+def _scan(block, budget: int, exclude_self: bool):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, matrix = block.value
         order = np.argsort(ids, kind="stable")
@@ -50,9 +70,10 @@ def _scan(block, budget: int):
             rows = pa.Table.from_batches([batch])
             for start in range(0, rows.num_rows, step):
                 part = rows.slice(start, step)
-                scores = matrix @ _matrix(part["embedding"]).T
-                query, row = _equal(ids, order, part["neighbour"].to_numpy())
-                scores[query, row] = -np.inf
+                scores = _cosines(matrix, _directions(_matrix(part["embedding"])))
+                if exclude_self:
+                    query, row = _equal(ids, order, part["neighbour"].to_numpy())
+                    scores[query, row] = -np.inf
                 best.offer(part.drop_columns(["embedding"]), scores)
         found = best.result()
         if found is not None:
@@ -64,24 +85,31 @@ def _scan(block, budget: int):
 
 
 def knn_topk(
-    queries: DataFrame, vectors: DataFrame, k: int = 10, max_block_bytes: int = MAX_BLOCK_BYTES
+    queries: DataFrame,
+    vectors: DataFrame,
+    k: int = 10,
+    max_block_bytes: int = MAX_BLOCK_BYTES,
+    exclude_self: bool | None = None,
 ) -> DataFrame:
-    """query, rank, neighbour, score: the exact k nearest, the query itself left out.
+    """query, rank, neighbour, score: the exact k nearest by cosine.
 
+    `exclude_self` leaves out the vector whose id is the query's: say so where the queries
+    are some of the vectors. By default it is on only if both are the same DataFrame.
     Work is queries x vectors, as exactness asks; what leaves a task is k rows
     per query. For all vectors against all, `knn_lsh` is the way at scale.
     """
     spark = vectors.sparkSession
+    exclude_self = queries is vectors if exclude_self is None else exclude_self
     items = vectors.where(F.col("embedding").isNotNull()).select(
         F.col("vec_id").alias("neighbour"), F.lit(1).cast("long").alias("cost"), "embedding"
     )
     sized = queries.where(F.col("embedding").isNotNull()).select("vec_id", "embedding")
     size = F.size("embedding").cast("long") * 8 + 16
     found = []
-    for block in query_blocks(sized, "vec_id", size, max_block_bytes):
+    for block in query_blocks(sized, size, max_block_bytes):
         if block.num_rows:
-            shared = spark.sparkContext.broadcast((block["vec_id"].to_numpy(), _matrix(block["embedding"])))
-            found.append(items.mapInArrow(_scan(shared, k), FOUND))
+            shared = spark.sparkContext.broadcast((block["vec_id"].to_numpy(), _directions(_matrix(block["embedding"]))))
+            found.append(items.mapInArrow(_scan(shared, k, exclude_self), FOUND))
     if not found:
         found = [spark.createDataFrame([], FOUND)]
     best = merge_best(reduce(DataFrame.unionByName, found), ["query"], ["neighbour"], k)
@@ -115,7 +143,7 @@ def _hasher(dim: int, bits: int, bands: int):
     base = np.arange(bands, dtype=np.int64) << bits
 
     def buckets(column: pa.ChunkedArray) -> np.ndarray:
-        above = _unpack(column) @ planes.T > 0
+        above = _cosines(_unpack(column), planes) > 0
         return above.reshape(-1, bands, bits) @ place + base
 
     return buckets
@@ -153,7 +181,7 @@ def _cell(k: int):
 
     def one_way(a: pa.Table, b: pa.Table) -> Iterator[pa.Table]:
         ids, others = a["vec_id"].to_numpy(), b["vec_id"].to_numpy()
-        scores = _unpack(a["vec"]) @ _unpack(b["vec"]).T
+        scores = _cosines(_directions(_unpack(a["vec"])), _directions(_unpack(b["vec"])))
         # a vector meets itself only where it stands for copies
         alone = pc.list_value_length(a["ids"]).to_numpy() == 1
         scores[(ids[:, None] == others[None, :]) & alone[:, None]] = -np.inf
@@ -190,12 +218,17 @@ MET_SCHEMA = pa.schema(
 def _distinct(vectors: DataFrame, k: int) -> DataFrame:
     """vec, n, vec_id, ids: each distinct vector, how many hold it, and its lowest k + 1 ids.
 
-    The lowest id stands for all copies. Both steps cut in the map tasks first,
-    so a vector that a third of the rows share is a few rows per task afterwards.
+    The lowest id stands for all copies. Rows of a vector are cut in as many lanes as there are shuffle
+    partitions first, so that one that a third of the rows share is never one task's work, whatever k.
     """
+    lanes = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by_lane = Window.partitionBy("vec", "lane").orderBy("vec_id")
     by_id = Window.partitionBy("vec").orderBy("vec_id")
     lowest = (
-        vectors.withColumn("nth", F.row_number().over(by_id))
+        vectors.withColumn("lane", F.pmod(F.xxhash64("vec_id"), F.lit(lanes)))
+        .withColumn("nth", F.row_number().over(by_lane))
+        .where(F.col("nth") <= k + 1)
+        .withColumn("nth", F.row_number().over(by_id))
         .where(F.col("nth") <= k + 1)
         .groupBy("vec")
         .agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
@@ -208,14 +241,16 @@ def knn_lsh(
     vectors: DataFrame,
     k: int = 10,
     dim: int = 64,
-    bits: int = 5,
-    bands: int = 24,
+    *,
+    bits: int,
+    bands: int,
     block_rows: int = 2048,
 ) -> DataFrame:
     """query, rank, neighbour, score: the nearest among vectors that share a bucket.
 
-    Scores are exact; a neighbour that shares no bucket is missed. Choose `bits`
-    near log2(rows / block_rows), so that a usual bucket is one cell.
+    Scores are exact; a neighbour that shares no bucket is missed: one at angle a is met with chance
+    1 - (1 - (1 - a / pi)^bits)^bands. Work is about bands / 2^bits of all pairs where vectors lie evenly, so
+    `bits` has to be chosen for the data: near log2(rows / block_rows) a usual bucket is one cell.
 
     Copies of a vector are hashed once. A bucket that still holds more than
     `block_rows` vectors is cut in blocks, and each pair of blocks is a cell and

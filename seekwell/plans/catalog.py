@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seekwell import operators as op
-from seekwell.session import shared_dir
+from seekwell.plans.parameters import BANDS, BITS
+from seekwell.session import shared_dir, written
 from seekwell.sources import read_table, spread, stream_table
 from seekwell.streaming import read_index, start_index
 
@@ -47,11 +48,12 @@ def context_pack(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def knn_topk(spark: SparkSession, folder: str) -> DataFrame:
-    return op.knn_topk(_vectors(spark, folder), _vectors(spark, folder))
+    vectors = _vectors(spark, folder)
+    return op.knn_topk(vectors, vectors)
 
 
 def knn_lsh(spark: SparkSession, folder: str) -> DataFrame:
-    return op.knn_lsh(_vectors(spark, folder))
+    return op.knn_lsh(_vectors(spark, folder), bits=BITS, bands=BANDS)
 
 
 def stream_ingest(spark: SparkSession, folder: str) -> DataFrame:
@@ -60,6 +62,17 @@ def stream_ingest(spark: SparkSession, folder: str) -> DataFrame:
     return read_index(spark, root)
 
 
+def dictionary(spark: SparkSession, folder: str) -> DataFrame:
+    return op.dictionary(_documents(spark, folder)).withColumn("total_len", F.coalesce("total_len", F.lit(0)))
+
+
+def rank_index(spark: SparkSession, folder: str) -> DataFrame:
+    """BM25 from a stored index and its dictionary, which are written first."""
+    docs = _documents(spark, folder)
+    entries, terms = written(op.inverted_index(docs), "index"), written(op.dictionary(docs), "terms")
+    return op.rank_index(_questions(spark, folder), entries, terms).select("query", "rank", "doc_id", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -71,5 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         knn_topk,
         knn_lsh,
         stream_ingest,
+        dictionary,
+        rank_index,
     )
 }

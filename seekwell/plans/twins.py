@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from seekwell.plans.parameters import BANDS, BITS
+
 _TERMS = r"""
   list_filter(string_split(trim(lower(regexp_replace(text, '[^\p{L}\p{N}]+', ' ', 'g'))), ' '),
               lambda x: x <> '')
@@ -31,6 +33,18 @@ select term, doc_id, tf, count(*) over (partition by term) as df, doc_len from e
 """
 
 
+TERMS = f"""
+with split as (
+  select doc_id, {_TERMS} as ws from documents
+), once as (
+  select unnest(list_distinct(ws)) as term from split
+)
+select term, count(*) as df, 0::bigint as total_len from once group by term
+union all
+select '' as term, count(*) as df, coalesce(sum(len(ws)), 0)::bigint as total_len from split
+"""
+
+
 def _scored(items: str, key: str) -> str:
     """Common tables up to `scored`: query, {key}, bm25, tfidf for pairs that share a term."""
     return f"""
@@ -89,7 +103,7 @@ from ranked where words_used <= 256
 KNN = """
 with pairs as (
   select a.vec_id as query, b.vec_id as neighbour,
-    round(list_dot_product(a.embedding::double[], b.embedding::double[]), 6) as score
+    round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 6) as score
   from embeddings a join embeddings b on a.vec_id <> b.vec_id
 ), ranked as (
   select *, row_number() over (partition by query order by score desc, neighbour) as rank from pairs
@@ -97,21 +111,21 @@ with pairs as (
 select query, rank, neighbour, score from ranked where rank <= 10
 """
 
-LSH = """
+LSH = f"""
 with planes as (
   select p, list(case when substr(md5(p::varchar || ':' || j::varchar), 1, 1) < '8'
                  then 1.0::double else -1.0::double end order by j) as plane
-  from range(24 * 5) t(p), range(64) u(j) group by p
+  from range({BANDS} * {BITS}) t(p), range(64) u(j) group by p
 ), buckets as (
-  select vec_id, p // 5 as band,
-    sum(case when list_dot_product(embedding::double[], plane) > 0 then 1 << (p % 5) else 0 end) as bucket
-  from embeddings, planes group by vec_id, p // 5
+  select vec_id, p // {BITS} as band,
+    sum(case when list_dot_product(embedding::double[], plane) > 0 then 1 << (p % {BITS}) else 0 end) as bucket
+  from embeddings, planes group by vec_id, p // {BITS}
 ), met as (
   select distinct a.vec_id as query, b.vec_id as neighbour
   from buckets a join buckets b on a.band = b.band and a.bucket = b.bucket and a.vec_id <> b.vec_id
 ), scored as (
   select query, neighbour,
-    round(list_dot_product(a.embedding::double[], b.embedding::double[]), 6) as score
+    round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 6) as score
   from met join embeddings a on a.vec_id = query join embeddings b on b.vec_id = neighbour
 ), ranked as (
   select *, row_number() over (partition by query order by score desc, neighbour) as rank from scored
@@ -128,4 +142,6 @@ SQL: dict[str, str] = {
     "knn_topk": KNN,
     "knn_lsh": LSH,
     "stream_ingest": INDEX,
+    "dictionary": TERMS,
+    "rank_index": BM25,
 }

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,6 +43,14 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def written(df: DataFrame, what: str) -> DataFrame:
+    """`df` as a Parquet table in the shared folder, for results that are large or dear: one run of the plan writes
+    it, and readers take the columns that they need."""
+    path = f"{shared_dir(df.sparkSession)}/{what}-{uuid.uuid4()}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Write `df` to the shared folder and go on from the written copy.
 

@@ -33,13 +33,13 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Rows over all cores when the input has fewer splits than there are cores.
+    """Rows over all cores when the input is a few files.
 
-    A small table in one row group is one task otherwise. A large one has more
-    splits than cores and is left as it is, with no shuffle.
+    A small table in one row group is one task otherwise. An input of at least half as many files as there
+    are cores has splits enough and is left as it is: its texts are not shuffled.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores, key) if 2 * len(df.inputFiles()) < cores else df
 
 
 def stream_table(
@@ -47,10 +47,10 @@ def stream_table(
 ) -> DataFrame:
     """The same table as a file stream: files that arrive later are picked up.
 
-    Takes one file, a folder of part files, or several of either.
+    Takes one file or a folder of part files of just this name.
     """
     return (
         spark.readStream.schema(SCHEMAS[name])
         .option("maxFilesPerTrigger", max_files_per_trigger)
-        .parquet(f"{folder}/{name}*.parquet")
+        .parquet(f"{folder}/{name}.[p]arquet")  # a pattern, so that it may be a file
     )

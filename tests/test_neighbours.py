@@ -3,6 +3,7 @@ import pytest
 
 from seekwell.functions import sign_planes
 from seekwell.operators import knn_lsh, knn_topk, vectors
+from seekwell.plans.parameters import BANDS, BITS
 from seekwell.sources import read_table
 
 SCHEMA = "vec_id long, embedding array<float>"
@@ -20,6 +21,7 @@ def unit(rng, n, dim):
 
 def brute(ids, m, k, allowed=None, queries=None):
     m = m.astype(np.float32).astype(np.float64)
+    m = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
     scores = np.round(m @ m.T, 6)
     out = {}
     for a, i in enumerate(ids):
@@ -70,8 +72,8 @@ def test_exact_for_other_queries_and_beyond_one_block(spark, copies):
     some = set(int(i) for i in ids[:20])
     asked = df.where(df.vec_id.isin(sorted(some)))
     want = brute(ids, m, 4, queries=some)
-    assert lists(knn_topk(asked, df, 4)) == want
-    assert lists(knn_topk(asked, df, 4, max_block_bytes=600)) == want
+    assert lists(knn_topk(asked, df, 4, exclude_self=True)) == want
+    assert lists(knn_topk(asked, df, 4, max_block_bytes=600, exclude_self=True)) == want
     assert knn_topk(asked.limit(0), df).count() == 0
 
 
@@ -92,6 +94,59 @@ def test_hashed_with_more_buckets_than_may_be_broadcast(spark, copies, monkeypat
     assert lists(got) == brute(ids, m, 4, same_bucket(m, 3, 2))
 
 
+def test_other_queries_may_share_ids_with_the_vectors(spark):
+    asked = frame(spark, [1], np.array([[1.0, 0.0]]))
+    df = frame(spark, [1, 2], np.array([[1.0, 0.0], [0.0, 1.0]]))
+    got = [(r["neighbour"], r["score"]) for r in knn_topk(asked, df, 5).orderBy("rank").collect()]
+    assert got == [(1, 1.0), (2, 0.0)]
+
+
+def test_scores_are_cosines_off_the_unit_sphere(spark):
+    asked = frame(spark, [9], np.array([[1.0, 1.0]]))
+    df = frame(spark, [1, 2, 3], np.array([[5.0, 5.0], [0.6, 0.8], [0.0, 0.0]]))
+    got = [(r["neighbour"], r["score"]) for r in knn_topk(asked, df, 5).orderBy("rank").collect()]
+    assert got == [(1, 1.0), (2, 0.989949), (3, 0.0)]
+    both = df.unionByName(asked)
+    found = knn_lsh(both, 5, dim=2, bits=1, bands=8).where("query = 9").orderBy("rank").collect()
+    assert {(r["neighbour"], r["score"]) for r in found} <= {*got} and (1, 1.0) in {(r["neighbour"], r["score"]) for r in found}
+
+
+@pytest.mark.parametrize(
+    ("vector", "message"),
+    [([1.0], "different lengths"), ([float("nan"), 1.0], "not finite"), ([float("inf"), 1.0], "not finite"), ([None, 1.0], "not finite")],
+)
+def test_vectors_that_have_no_cosine_are_errors(spark, vector, message):
+    good = frame(spark, [1, 2], np.array([[1.0, 0.0], [0.0, 1.0]]))
+    bad = spark.createDataFrame([(3, vector)], SCHEMA)
+    for asked, items in ((good, bad), (bad, good), (good, good.unionByName(bad).coalesce(1))):
+        with pytest.raises(Exception, match=message):
+            knn_topk(asked, items, 3).collect()
+    with pytest.raises(Exception, match=message):
+        knn_lsh(good.unionByName(bad).coalesce(1), 3, dim=2, bits=1, bands=4).collect()
+
+
+def test_blocks_of_queries_with_one_id_and_of_large_ones(spark, copies):
+    ids, m = copies
+    df = frame(spark, ids, m)
+    same = frame(spark, [5] * 40, np.repeat(m[:1], 40, axis=0))
+    got = knn_topk(same, df, 3, max_block_bytes=600)
+    assert got.count() == knn_topk(same, df, 3).count()
+    tiny = knn_topk(df.where(df.vec_id == int(ids[0])), df, 3, max_block_bytes=1, exclude_self=True)
+    assert lists(tiny) == brute(ids, m, 3, queries={int(ids[0])})
+
+
+def test_work_of_buckets_is_as_stated(spark):
+    """Pairs that meet in a bucket, over all pairs, against bands / 2^bits."""
+    rng = np.random.default_rng(8)
+    m = unit(rng, 600, 64)
+    for bits, bands in ((5, 24), (9, 64)):
+        above = m.astype(np.float64) @ sign_planes(bits * bands, 64).T > 0
+        keys = above.reshape(len(m), bands, bits) @ (1 << np.arange(bits))
+        pairs = sum((np.bincount(keys[:, b]).astype(float) ** 2).sum() for b in range(bands))
+        others = (pairs - len(m) * bands) / (len(m) * (len(m) - 1))  # without a vector and itself
+        assert others < 1.6 * bands / 2**bits
+
+
 def test_null_vectors_are_no_neighbours(spark, copies):
     ids, m = copies
     df = frame(spark, ids, m).unionByName(spark.createDataFrame([(-1, None), (-2, None)], SCHEMA))
@@ -111,10 +166,11 @@ def test_recall_is_what_the_hyperplanes_promise(spark):
     given = read_table(spark, "/root/testdata/sf0.01", "embeddings").select("vec_id", "embedding")
     pairs = knn_topk(given, given, 10).collect()
     exact = {(r["query"], r["neighbour"]): r["score"] for r in pairs}
-    for bits, bands in ((5, 24), (8, 8)):
+    for bits, bands in ((5, 24), (8, 8), (BITS, BANDS)):
         found = {(r["query"], r["neighbour"]) for r in knn_lsh(given, 10, bits=bits, bands=bands).collect()}
         recall = sum(pair in found for pair in exact) / len(exact)
         side = 1 - np.arccos(np.clip(list(exact.values()), -1, 1)) / np.pi
         promised = np.mean(1 - (1 - side**bits) ** bands)
         assert recall < 1.0
         assert abs(recall - promised) < 0.04, (recall, promised)
+    assert recall > 0.9  # of the registered query

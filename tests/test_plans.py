@@ -8,9 +8,9 @@ import sys
 
 import pytest
 
-from __spark_entry__ import queries
 from seekwell.operators import bm25_topk, chunk_documents, context_pack, postings
-from seekwell.sources import read_table, spread
+from seekwell.plans.catalog import QUERIES
+from seekwell.sources import read_table, spread, stream_table
 
 FOLDER = "/root/testdata/sf0.001"
 REPO = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -33,9 +33,9 @@ def asked(spark):
     return read_table(spark, FOLDER, "benchmark").withColumnRenamed("item_id", "query")
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_no_cross_join(spark, name):
-    text = plan(queries()[name](spark, FOLDER))
+    text = plan(QUERIES[name](spark, FOLDER))
     assert "CartesianProduct" not in text and "NestedLoop" not in text
 
 
@@ -59,10 +59,19 @@ def test_ranking_shuffles_only_what_the_tasks_kept(docs, asked):
     assert not any("Exchange" in line for line in scan_side)
 
 
-def test_spread_leaves_a_table_with_enough_splits_alone(spark, docs):
+def test_spread_leaves_a_table_of_enough_files_alone(spark, docs, tmp_path):
     assert "Exchange" in plan(spread(docs, "doc_id"))
-    many = docs.repartition(16, "doc_id")
-    assert plan(spread(many, "doc_id")) == plan(many)
+    docs.repartition(4, "doc_id").write.parquet(str(tmp_path / "many"))
+    many = spark.read.parquet(str(tmp_path / "many"))
+    assert "Exchange" not in plan(spread(many, "doc_id"))
+
+
+def test_stream_reads_just_the_table_of_its_name(spark, docs, tmp_path):
+    docs.limit(3).coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    docs.limit(50).coalesce(1).write.parquet(str(tmp_path / "documents_old.parquet"))
+    query = stream_table(spark, str(tmp_path), "documents").writeStream.format("memory").queryName("just").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert spark.table("just").count() == 3
 
 
 def test_tasks_run_where_the_package_is_not_installed(tmp_path):

