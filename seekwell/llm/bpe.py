@@ -210,7 +210,7 @@ def bpe_encode(docs: DataFrame, tokenizer: str, text: str = "text", out: str = "
 
     @F.arrow_udf("array<int>")
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        units = worker_state(("bpe units", hash(shared.value)), lambda: Units(Vocabulary(shared.value)))
+        units = worker_state(("bpe", "units", hash(shared.value)), lambda: Units(Vocabulary(shared.value)))
         for column in small(batches):
             ids, ends = array("i"), [0]
             for text in column:
@@ -232,7 +232,7 @@ def bpe_decode(docs: DataFrame, tokenizer: str, ids: str = "ids", out: str = "de
 
     @F.arrow_udf("string")
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        known = worker_state(("bpe bytes", hash(shared.value)), lambda: TokenBytes(shared.value))
+        known = worker_state(("bpe", "bytes", hash(shared.value)), lambda: TokenBytes(shared.value))
         for column in small(batches):
             yield pa.array([known.decode(row.values) if row.is_valid else "" for row in column], pa.string())
 

@@ -18,14 +18,17 @@ T = TypeVar("T")
 _STATE = "_seekwell_worker_state"
 
 
-def worker_state(key: Any, make: Callable[[], T]) -> T:
+def worker_state(key: tuple[str, ...], make: Callable[[], T]) -> T:
     """What `make` builds, once per Python worker.
 
     Task code arrives pickled by value, so its own globals last for one task; a
     module of the interpreter lasts as long as the worker. Nothing in it is needed
-    for right results: a worker that starts anew builds it again.
+    for right results: a worker that starts anew builds it again. The first word of a key
+    names an operator, and a worker keeps the state of one operator only.
     """
     kept = sys.modules.setdefault(_STATE, types.ModuleType(_STATE)).__dict__
+    for other in [k for k in kept if isinstance(k, tuple) and k[0] != key[0]]:
+        del kept[other]
     if key not in kept:
         kept[key] = make()
     return kept[key]

@@ -8,7 +8,8 @@ are hashed into one weight vector; each counts by its share in the text, so a sc
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,11 +21,11 @@ from seekwell.llm.common import small, worker_state
 BITS = 18
 SIZE = 1 << BITS
 SCALE = 8.0  # of the shares, so that the learning rate suits values around one
-SAMPLE_ROWS = 16384
+SAMPLE_ROWS = 8192
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.05, 0.01
 FOLDS = 5
-CACHE_WORDS = 200_000
+CACHE_WORDS = 100_000
 LONGEST_KEPT = 48
 RUNS = re.compile(r"(.)\1+")
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -69,20 +70,25 @@ def score(weights: np.ndarray, bias: float, places: np.ndarray, words: int) -> f
     return float(1 / (1 + np.exp(-np.clip(total, -35, 35))))
 
 
-def train(rows: list[tuple[np.ndarray, int, int]], epochs: int = EPOCHS) -> tuple[np.ndarray, float]:
+def train(rows: Iterable[tuple[np.ndarray, int, int]], epochs: int = EPOCHS) -> tuple[np.ndarray, float]:
     """Weights and bias from rows (places, words, label), by FTRL-Proximal (McMahan et al. 2013). Without rows all are 0."""
     z, n = np.zeros(SIZE + 1), np.zeros(SIZE + 1)
-    sparse = []
-    for places, words, label in rows:
-        own, times = np.unique(places, return_counts=True)
-        sparse.append((np.append(own, SIZE), np.append(times * (SCALE / max(words, 1)), 1.0), label))
+    places, shares, ends, labels = array("i"), array("f"), [0], []  # all rows in two stretches of memory
+    for own, words, label in rows:
+        own, times = np.unique(own, return_counts=True)
+        places.frombytes(np.append(own, SIZE).astype(np.int32).tobytes())
+        shares.frombytes(np.append(times * (SCALE / max(words, 1)), 1.0).astype(np.float32).tobytes())
+        ends.append(len(places))
+        labels.append(label)
+    places, shares = np.frombuffer(places, np.int32), np.frombuffer(shares, np.float32)
 
     def weights(z: np.ndarray, n: np.ndarray) -> np.ndarray:
         pull = np.sign(z) * L1 - z
         return np.where(np.abs(z) <= L1, 0.0, pull / ((BETA + np.sqrt(n)) / ALPHA + L2))
 
     for _ in range(epochs):
-        for own, values, label in sparse:
+        for a, b, label in zip(ends, ends[1:], labels):
+            own, values = places[a:b], shares[a:b].astype(np.float64)
             w = weights(z[own], n[own])
             p = 1 / (1 + np.exp(-np.clip(w @ values, -35, 35)))
             g = (p - label) * values
@@ -111,11 +117,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: in
     rows = rows.join(F.broadcast(sample), "doc_id").repartition(1).sortWithinPartitions("place", "doc_id", "label", "text")
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features, seen = Features(), []
-        for batch in batches:
-            for t, y in zip(batch.column(0), batch.column(1).to_pylist()):
-                seen.append((*features.of(t.as_py() or b""), int(y > 0)))
-        weights, bias = train(seen)
+        features = worker_state(("quality", "features"), Features)
+        rows = ((t.as_py() or b"", int(y > 0)) for b in batches for t, y in zip(b.column(0), b.column(1).to_pylist()))
+        weights, bias = train((*features.of(text), label) for text, label in rows)
         yield pa.RecordBatch.from_pydict({"weights": [weights.astype("<f4").tobytes()], "bias": [bias]})
 
     found = rows.select("text", "label").mapInArrow(learn, "weights binary, bias double").first()
@@ -133,7 +137,7 @@ def quality(docs: DataFrame, model: tuple[bytes, float], text: str = "text", out
     @F.arrow_udf("double")
     def scores(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         weights, bias = np.frombuffer(shared.value[0], "<f4"), shared.value[1]
-        features = worker_state("quality features", Features)
+        features = worker_state(("quality", "features"), Features)
         for column in small(batches):
             yield pa.array([score(weights, bias, *features.of(t.as_py() or b"")) for t in column.cast(pa.binary())], pa.float64())
 

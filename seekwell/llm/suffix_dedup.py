@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seekwell.llm.common import file_system, fresh_folder, written
+from seekwell.llm.common import file_system, fresh_folder, worker_state, written
 
 GRAM = 32
 PIECE = 1 << 20  # bytes that are looked at together
@@ -168,6 +168,7 @@ def _send(root: str, owners: int, length: int):
     """Documents to messages: the part's file, the copies within the part, and each owner's phrases."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state(("suffix dedup",), bool)  # drops what other operators have kept
         fs, folder = file_system(root)
         fs.create_dir(folder, recursive=True)
         part, path = TaskContext.get().partitionId(), f"{folder}/{uuid.uuid4()}.arrow"

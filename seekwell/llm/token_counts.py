@@ -101,8 +101,8 @@ def count_tokens(docs: DataFrame, model: str, text: str = "text", out: str = "n_
     @F.arrow_udf("long")
     def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         table, proto = shared.value
-        key = ("token_counts", hash(proto))
-        counts = Counts(table, worker_state((key, "model"), lambda: load(proto)), worker_state((key, "cache"), dict))
+        model = worker_state(("token counts", "model", hash(proto)), lambda: load(proto))
+        counts = Counts(table, model, worker_state(("token counts", "cache", hash(proto)), dict))
         for column in small(batches):
             yield pa.array([counts.of(t) for t in texts_of(column)], pa.int64())
 
