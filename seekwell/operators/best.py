@@ -33,8 +33,9 @@ class BestRows:
         self.kept: list[pa.Table] = []
         self.pending = 0
 
-    def offer(self, rows: pa.Table, scores: np.ndarray) -> None:
-        """`scores` is queries x rows, not yet rounded, -inf where a row is no match."""
+    def offer(self, rows: pa.Table, scores: np.ndarray, other: np.ndarray | None = None) -> None:
+        """`scores` is queries x rows, not yet rounded, -inf where a row is no match; `other`, of the same
+        shape, is a second score that goes along in a column of that name."""
         n_queries, n = scores.shape
         if not n:
             return
@@ -53,6 +54,8 @@ class BestRows:
         picked = rows.take(pa.array(row))
         picked = picked.append_column("query", pa.array(query))
         picked = picked.append_column("score", pa.array(score))
+        if other is not None:
+            picked = picked.append_column("other", pa.array(np.round(other[query, row], SCORE_DIGITS)))
         self.kept.append(picked)
         self.pending += len(query)
         if self.pending > self.max_pending:

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from seekwell.operators.best import BestRows
+from seekwell.operators.best import APART, SCORE_DIGITS, BestRows
 
 BM25 = "bm25"
 TFIDF = "tfidf"
@@ -95,37 +95,77 @@ def _named(found: pa.Table | None, q: QueryBlock, methods: list[str]) -> Iterato
         yield from found.combine_chunks().to_batches()
 
 
-def scan_texts(shared, methods: list[str], ids: list[str], budget: int):
-    """The task over items with a `norm` column: score batch by batch, send the best at the end."""
+def _scored_slices(
+    batches: Iterable[pa.RecordBatch], q: QueryBlock, methods: list[str]
+) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Items with a `norm` column, some at a time, without it, and their scores."""
+    step = q.slice_rows(len(methods))
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        vocab = pa.array(q.vocab, rows["norm"].type)
+        for start in range(0, rows.num_rows, step):
+            part = rows.slice(start, step)
+            texts = part["norm"].combine_chunks()
+            lists = pc.split_pattern(texts, " ")
+            pieces = _lengths(lists)
+            # the split of an empty text has one piece, and no word
+            length = np.where(pc.equal(texts, "").to_numpy(zero_copy_only=False), 0, pieces).astype(float)
+            found = pc.index_in(lists.flatten(), value_set=vocab)
+            known = found.is_valid().to_numpy(zero_copy_only=False)
+            item = np.repeat(np.arange(len(texts)), pieces)[known]
+            code, tf = np.unique(
+                item * len(vocab) + found.drop_null().to_numpy().astype(np.int64), return_counts=True
+            )
+            item, term = np.divmod(code, len(vocab))
+            yield part.drop_columns(["norm"]), _scores(len(texts), item, term, tf, length[item], q, methods)
+
+
+def scan_texts(shared, methods: list[str], ids: list[str], budget: int, other: bool = False):
+    """The task over items with a `norm` column: score batch by batch, send the best at the end.
+
+    With `other`, of two methods, each row has its score by the other one too.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q = QueryBlock(**shared.value)
         best = BestRows(len(methods) * len(q.ids), budget, ids)
-        step = q.slice_rows(len(methods))
-        for batch in batches:
-            rows = pa.Table.from_batches([batch])
-            vocab = pa.array(q.vocab, rows["norm"].type)
-            for start in range(0, rows.num_rows, step):
-                part = rows.slice(start, step)
-                texts = part["norm"].combine_chunks()
-                lists = pc.split_pattern(texts, " ")
-                pieces = _lengths(lists)
-                # the split of an empty text has one piece, and no word
-                length = np.where(pc.equal(texts, "").to_numpy(zero_copy_only=False), 0, pieces).astype(float)
-                found = pc.index_in(lists.flatten(), value_set=vocab)
-                known = found.is_valid().to_numpy(zero_copy_only=False)
-                item = np.repeat(np.arange(len(texts)), pieces)[known]
-                code, tf = np.unique(
-                    item * len(vocab) + found.drop_null().to_numpy().astype(np.int64), return_counts=True
-                )
-                item, term = np.divmod(code, len(vocab))
-                scores = _scores(len(texts), item, term, tf, length[item], q, methods)
-                best.offer(part.drop_columns(["norm"]), scores)
+        for rows, scores in _scored_slices(batches, q, methods):
+            best.offer(rows, scores, np.roll(scores, len(q.ids), axis=0) if other else None)
         yield from _named(best.result(), q, methods)
 
     return run
 
 
+def scan_better(shared, marks, methods: list[str]):
+    """The task that counts, for marked rows, the items ahead of them: (slot, better).
+
+    `marks` broadcasts arrays code, score, doc_id, sorted by code: rows of list `code` (method and query), whose
+    place in the arrays is their slot.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q = QueryBlock(**shared.value)
+        code, score, doc_id = marks.value
+        codes, first = np.unique(code, return_index=True)
+        ends = np.append(first[1:], len(code))
+        least = np.array([score[a:b].min() for a, b in zip(first, ends, strict=True)])
+        better = np.zeros(len(code), dtype=np.int64)
+        for rows, scores in _scored_slices(batches, q, methods):
+            docs = rows["doc_id"].to_numpy()
+            for c, a, b, low in zip(codes, first, ends, least, strict=True):
+                near = np.flatnonzero(scores[c] >= low - APART)
+                mine, its = score[a:b], np.round(scores[c][near], SCORE_DIGITS)
+                # in order of score and id, a mark ahead of the item that it is itself
+                item = np.repeat([False, True], [b - a, len(near)])
+                order = np.lexsort((item, np.r_[doc_id[a:b], docs[near]], -np.r_[mine, its]))
+                ahead = np.cumsum(item[order])
+                marked = ~item[order]
+                better[a + order[marked]] += ahead[marked]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(code))), pa.array(better)], ["slot", "better"])
+
+    return run
+
+
 def scan_entries(shared, methods: list[str], budget: int):
     """The task over index entries, each document's together: the same scores, without its text."""
 

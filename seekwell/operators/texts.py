@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -21,7 +22,7 @@ from seekwell.operators.best import merge_best
 from seekwell.operators.chunks import chunk_documents
 from seekwell.operators.inverted import dictionary
 from seekwell.operators.queries import MAX_BLOCK_BYTES, query_blocks
-from seekwell.operators.scores import BM25, TFIDF, QueryBlock, scan_entries, scan_texts
+from seekwell.operators.scores import BM25, TFIDF, QueryBlock, scan_better, scan_entries, scan_texts
 
 FOUND = [
     T.StructField("score", T.DoubleType()),
@@ -36,15 +37,16 @@ def _blocks(
     k1: float,
     b: float,
     max_block_bytes: int,
+    row_bytes: int = 0,
 ) -> Iterator[tuple[Broadcast, DataFrame]]:
     """Broadcast blocks of queries with their weights, and the vocabulary of each.
 
     `count` gives the dictionary rows of a vocabulary, which is no larger than
-    its block; the empty term is in it.
+    its block; the empty term is in it. `row_bytes` is what else a query will take in its block.
     """
     spark = queries.sparkSession
     tokenized = queries.select(F.col("query").cast("long").alias("query"), words(F.col("text")).alias("ws"))
-    size = F.octet_length(F.array_join("ws", " ")).cast("long") + 16
+    size = F.octet_length(F.array_join("ws", " ")).cast("long") + 16 + row_bytes
     for table in query_blocks(tokenized, size, max_block_bytes):
         block = QueryBlock.of(table)
         if block.vocab:
@@ -137,17 +139,48 @@ def bm25_topk(queries: DataFrame, documents: DataFrame, k: int = 10, **options)
 
 
 def rank_fusion(
-    queries: DataFrame, documents: DataFrame, k: int = 10, depth: int = 100, damping: int = 60
+    queries: DataFrame,
+    documents: DataFrame,
+    k: int = 10,
+    damping: int = 60,
+    k1: float = 1.2,
+    b: float = 0.75,
+    stats: DataFrame | None = None,
+    max_block_bytes: int = MAX_BLOCK_BYTES,
 ) -> DataFrame:
-    """Reciprocal-rank fusion of the BM25 and TF-IDF top-`depth` lists.
+    """Reciprocal-rank fusion of the whole BM25 and TF-IDF rankings: sum of 1 / (damping + rank), the best k.
 
-    Both lists come from one scan. A list is at most `depth` long by definition,
-    so what is fused here is queries x depth x 2 rows, whatever the corpus.
+    Exact without either ranking whole. A document behind the first L of both has at most 2 / (damping + L + 1), and the
+    first k of one have at least 1 / (damping + k): with L = damping + 2k all winners are among the first L of one
+    list. One scan finds those, with their scores in both lists; a second counts who is ahead of each, which is its rank.
+    What leaves a task is 2L rows per query and list at most, whatever the corpus.
     """
-    lists = rank_texts(queries, documents, ["doc_id"], depth, methods=(BM25, TFIDF))
-    fused = lists.groupBy("query", "doc_id").agg(
-        F.round(F.sum(1.0 / (F.lit(damping) + F.col("rank"))), 9).alias("score"),
-        F.count("*").alias("n_lists"),
+    spark, methods, depth = documents.sparkSession, [BM25, TFIDF], damping + 2 * k
+    scanned = documents.select("doc_id", F.lit(1).cast("long").alias("cost"), norm(F.col("text")).alias("norm"))
+    count = _stored(stats) if stats is not None else lambda vocab: dictionary(documents, vocab)
+    kept = [f for f in scanned.schema.fields if f.name != "norm"]
+    schema = T.StructType([*kept, *FOUND[:1], T.StructField("other", T.DoubleType()), *FOUND[1:]])
+    ranked = []
+    for block, _ in _blocks(queries, count, k1, b, max_block_bytes, row_bytes=4 * depth * 32):
+        found = scanned.mapInArrow(scan_texts(block, methods, ["doc_id"], depth, other=True), schema)
+        first = merge_best(found, ["query", "method"], ["doc_id"], depth)
+        score = {m: F.max(F.when(F.col("method") == m, F.col("score")).otherwise(F.col("other"))).alias(m) for m in methods}
+        both = first.groupBy("query", "doc_id").agg(*score.values()).toArrow()  # counted in the block's size
+        marks, table = _marks(block.value["ids"], both, methods)
+        shared = spark.sparkContext.broadcast(marks)
+        better = scanned.mapInArrow(scan_better(block, shared, methods), "slot long, better long")
+        better = better.groupBy("slot").agg(F.sum("better").alias("better"))
+        place = F.coalesce("better", F.lit(0)) + 1
+        ranked.append(spark.createDataFrame(table).join(better, "slot", "left").select("query", "doc_id", place.alias("place")))
+    if not ranked:
+        ranked = [spark.createDataFrame([], "query long, doc_id long, place long")]
+    fused = (
+        reduce(DataFrame.unionByName, ranked)
+        .groupBy("query", "doc_id")
+        .agg(
+            F.round(F.sum(1.0 / (F.lit(damping) + F.col("place"))), 9).alias("score"),
+            F.count("*").alias("n_lists"),
+        )
     )
     order = Window.partitionBy("query").orderBy(F.desc("score"), "doc_id")
     return (
@@ -157,6 +190,21 @@ def rank_fusion(
     )
 
 
+def _marks(ids: np.ndarray, both: pa.Table, methods: list[str]) -> tuple[tuple[np.ndarray, ...], pa.Table]:
+    """(code, score, doc_id) of each row in each list, sorted by code, and a table of their slots."""
+    query, doc_id = both["query"].to_numpy(), both["doc_id"].to_numpy()
+    order = np.argsort(ids, kind="stable")
+    at = order[np.searchsorted(ids, query, sorter=order)] if len(query) else np.zeros(0, dtype=np.int64)
+    code = np.concatenate([at + i * len(ids) for i in range(len(methods))])
+    score = np.concatenate([both[m].to_numpy() for m in methods])
+    doc_id, query = np.tile(doc_id, len(methods)), np.tile(query, len(methods))
+    matched = np.isfinite(score)
+    by_code = np.flatnonzero(matched)[np.argsort(code[matched], kind="stable")]
+    marks = (code[by_code], score[by_code], doc_id[by_code])
+    slots = pa.table({"slot": np.arange(len(by_code)), "query": query[by_code], "doc_id": doc_id[by_code]})
+    return marks, slots
+
+
 def context_pack(
     queries: DataFrame,
     documents: DataFrame,

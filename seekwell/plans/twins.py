@@ -83,7 +83,7 @@ ranked as (
   select query, doc_id, row_number() over (partition by query order by tfidf desc, doc_id) as rank from scored
 ),
 fused as (select query, doc_id, round(sum(1.0::double / (60 + rank)), 9) as score, count(*) as n_lists
-          from ranked where rank <= 100 group by query, doc_id),
+          from ranked group by query, doc_id),
 final as (select *, row_number() over (partition by query order by score desc, doc_id) as rank from fused)
 select query, rank, doc_id, score, n_lists from final where rank <= 10
 """

@@ -106,8 +106,8 @@ def test_queries_beyond_one_block_and_any_partitioning(queries, docs):
     want = lists(bm25_topk(queries, docs, 5))
     assert lists(bm25_topk(queries, docs, 5, max_block_bytes=40)) == want
     assert lists(bm25_topk(queries.repartition(3), docs.coalesce(1), 5)) == want
-    with pytest.raises(ValueError, match="one query has"):
-        bm25_topk(queries, docs, 5, max_block_bytes=20)
+    # a query that no block can hold is one by itself
+    assert lists(bm25_topk(queries, docs, 5, max_block_bytes=1)) == want
 
 
 def test_stored_dictionary_gives_the_same_ranking(queries, docs):
@@ -145,19 +145,34 @@ def test_word_of_every_document_and_a_third_copies(spark, queries):
     close(lists(bm25_topk(queries, big, 20)), brute(QUERIES, rows, bm25), 20)
 
 
+def fused(queries, docs, damping, k):
+    ranks = {}
+    for score in (bm25, tfidf):
+        for q, rows in brute(queries, docs, score).items():
+            for r, (i, _) in enumerate(rows, 1):
+                ranks.setdefault(q, {}).setdefault(i, []).append(r)
+    return {
+        q: [i for _, i in sorted((-round(sum(1 / (damping + r) for r in rs), 9), i) for i, rs in by.items())[:k]]
+        for q, by in ranks.items()
+    }
+
+
 def test_fusion_equals_brute_force(queries, docs):
-    for depth in (2, 100):
-        ranks = {}
-        for score in (bm25, tfidf):
-            for q, rows in brute(QUERIES, DOCS, score).items():
-                for r, (i, _) in enumerate(rows[:depth], 1):
-                    ranks.setdefault(q, {}).setdefault(i, []).append(r)
-        want = {
-            q: sorted((-round(sum(1 / (60 + r) for r in rs), 9), i) for i, rs in by.items())[:3]
-            for q, by in ranks.items()
-        }
-        got = lists(rank_fusion(queries, docs, 3, depth))
-        assert {q: [i for i, _ in v] for q, v in got.items()} == {q: [i for _, i in v] for q, v in want.items()}
+    for damping, k in ((60, 3), (1, 2), (0, 1)):
+        got = lists(rank_fusion(queries, docs, k, damping))
+        assert {q: [i for i, _ in v] for q, v in got.items()} == fused(QUERIES, DOCS, damping, k)
+
+
+def test_fusion_of_ranks_beyond_the_first_ones(spark, queries):
+    """The lists that are kept are shorter than the ranks that count: damping 1 and k 1 keep three rows."""
+    rows = [(i, "cat " * (1 + i % 9) + f"the x{i} " * (1 + i * 7 % 5) + "pad " * (i % 23)) for i in range(400)]
+    big = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    for damping, k in ((1, 1), (3, 2), (60, 10)):
+        got = lists(rank_fusion(queries, big, k, damping))
+        assert {q: [i for i, _ in v] for q, v in got.items()} == fused(QUERIES, rows, damping, k)
+    few = rank_fusion(queries, big, 2, 3, max_block_bytes=1)
+    assert lists(few) == lists(rank_fusion(queries, big, 2, 3))
+    assert rank_fusion(queries.limit(0), big).count() == 0
 
 
 def test_pack_fits_the_budget_and_is_the_front_of_the_ranking(queries, docs):
