@@ -26,8 +26,8 @@ from seekwell.llm.common import file_bytes, small, worker_state
 # Fixed value: the published pattern that cuts text into pre-tokens before any merge.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 LONGEST_KEPT = 64
-CACHE_UNITS = 300_000
-CACHE_PAIRS = 250_000
+CACHE_UNITS = 350_000
+CACHE_PAIRS = 500_000
 NONE = 1 << 60
 SPACE_RUN = re.compile(r"\s ")
 
