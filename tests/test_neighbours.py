@@ -173,4 +173,7 @@ def test_recall_is_what_the_hyperplanes_promise(spark):
         promised = np.mean(1 - (1 - side**bits) ** bands)
         assert recall < 1.0
         assert abs(recall - promised) < 0.04, (recall, promised)
-    assert recall > 0.9  # of the registered query
+    # of the registered query: these vectors lie almost at random, and the tenth neighbour's cosine is about 0.25
+    assert recall > 0.45
+    near = 1 - np.arccos(0.8) / np.pi
+    assert 1 - (1 - near**BITS) ** BANDS > 0.999
