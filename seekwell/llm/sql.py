@@ -2,6 +2,37 @@
 
 from __future__ import annotations
 
+REPEATS = """
+with texts as (
+  select doc_id, hex(encode(coalesce(text, ''))) as digits from documents
+), lists as (
+  select doc_id, list_transform(range(0, greatest(0, len(digits) // 2 - 99)),
+    lambda s: md5(substr(digits, 2 * s + 1, 200))) as sums
+  from texts
+), starts as (
+  select doc_id, unnest(sums) as md5, generate_subscripts(sums, 1) - 1 as s from lists
+), strings as (
+  select doc_id, s, row_number() over (partition by md5 order by doc_id, s) as nth from starts
+), again as (
+  select doc_id, s, case when s <= lag(s) over (partition by doc_id order by s) + 100 then 0 else 1 end as opens
+  from strings where nth > 1
+), numbered as (
+  select doc_id, s, sum(opens) over (partition by doc_id order by s) as run from again
+), runs as (
+  select doc_id, min(s) as a, max(s) + 100 as b from numbered group by doc_id, run
+), gaps as (
+  select doc_id, a, b, coalesce(lag(b) over (partition by doc_id order by a), 0) as from_byte from runs
+), left_over as (
+  select doc_id, sum(b - a) as n_removed, count(*) as n_spans,
+    string_agg(substr(digits, 2 * from_byte + 1, 2 * (a - from_byte)), '' order by a)
+      || any_value(substr(digits, 2 * (select max(r.b) from runs r where r.doc_id = gaps.doc_id) + 1)) as digits
+  from gaps join texts using (doc_id) group by doc_id
+)
+select t.doc_id, (len(t.digits) // 2)::bigint as n_bytes, coalesce(n_removed, 0)::bigint as n_removed,
+  coalesce(n_spans, 0)::bigint as n_spans, sha256(unhex(coalesce(l.digits, t.digits))) as kept_sha256
+from texts t left join left_over l using (doc_id)
+"""
+
 EXACT = r"""
 with bare as (
   select doc_id, length(coalesce(text, '')) as n_chars,
@@ -32,6 +63,7 @@ from latest
 """
 
 SQL: dict[str, str] = {
+    "op2_suffix_dedup": REPEATS,
     "op7_exact_dedup": EXACT,
     "op9_warc": WARC,
 }
