@@ -18,8 +18,8 @@ from seekwell.llm.bpe import byte_letters
 from seekwell.llm.common import file_bytes, small, worker_state
 
 LONGEST_KEPT = 64
-CACHE_WORDS = 100_000
-CACHE_CORES = 200_000
+CACHE_WORDS = 200_000
+CACHE_CORES = 350_000
 LATIN_END = "\u0250"
 TORN = "\u0130"  # the one Latin letter below whose lower case ends in a mark
 
