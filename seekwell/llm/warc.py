@@ -56,7 +56,8 @@ def write_warc(pages: DataFrame, root: str, least: int = LEAST_REVISIT) -> DataF
 
     A null html or url is empty. Of rows with equal payloads of at least `least` bytes, the one with the largest `page_id`
     is a response and the others are revisits of it; all smaller ones are responses. A row without `page_id` is an error,
-    as its record could not be named; rows that repeat a `page_id` are written each. An empty table writes no file.
+    as its record could not be named; rows that repeat a `page_id` are written each, and each is a response or revisit by its own
+    payload, as revisits are joined back by `page_id` and digests. An empty table writes no file.
 
     Revisits are found by digests (SHA-1 and SHA-256 at once), counted per task before they are moved. Payloads are moved only
     where the table of revisits is too large to be sent to all tasks. Every attempt of a task writes a file of
@@ -65,14 +66,13 @@ def write_warc(pages: DataFrame, root: str, least: int = LEAST_REVISIT) -> DataF
     payload = F.coalesce("html", F.lit("")).cast("binary")
     page_id = F.coalesce("page_id", F.raise_error(F.lit("a page has no page_id")).cast("long"))
     rows = pages.select(page_id.alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), payload.alias("payload"))
-    digests = rows.where(F.octet_length("payload") >= least).select(
-        "page_id", F.sha1("payload").alias("sha1"), F.sha2("payload", 256).alias("sha2")
-    )
-    digests = written(digests, "digests")
+    rows = rows.withColumn("sha1", F.unhex(F.sha1("payload"))).withColumn("sha2", F.unhex(F.sha2("payload", 256)))
+    own = ["page_id", "sha1", "sha2"]
+    digests = written(rows.where(F.octet_length("payload") >= least).select(*own), "digests")
     copies = digests.groupBy("sha1", "sha2").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n"))
     copies = copies.where("n > 1").drop("n")
-    revisits = digests.join(copies, ["sha1", "sha2"]).where("page_id <> refers_to").select("page_id", "refers_to").distinct()
-    joined = rows.join(written(revisits, "revisits"), "page_id", "left")
+    revisits = digests.join(copies, ["sha1", "sha2"]).where("page_id <> refers_to").select(*own, "refers_to").distinct()
+    joined = rows.join(written(revisits, "revisits"), own, "left")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, folder = file_system(root)

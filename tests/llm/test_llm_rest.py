@@ -145,6 +145,19 @@ def test_warc_edges(spark, tmp_path):
     assert [r.record_type for r in twice.collect()] == ["response", "response"]
 
 
+def test_warc_repeated_ids_with_different_payloads(spark, tmp_path):
+    x, y, z = "x" * 2000, "y" * 2000, "z" * 2000
+    data = [(5, x), (9, x), (5, y), (5, "small"), (5, z), (10, z)]
+    files = write_warc(pages(spark, [(i, "u", t) for i, t in data]).repartition(3), str(tmp_path))
+    got = [(r.page_id, r.record_type, r.refers_to, r.payload_digest, r.payload) for r in read_warc(files, str(tmp_path)).collect()]
+    again = {(5, x): 9, (5, z): 10}
+    want = []
+    for i, t in data:
+        digest, refers = hashlib.sha1(t.encode()).hexdigest(), again.get((i, t))
+        want.append((i, "revisit" if refers else "response", refers, digest, None if refers else t.encode()))
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 # registered queries
 
 
