@@ -338,3 +338,31 @@ def test_edited_edges(spark):
 def test_sketches_are_native(spark):
     plan = fingerprints(frame(spark, rows(TEXTS)))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+# near texts
+
+
+def test_near_texts_equal_brute_force_near_the_bound(spark):
+    from seekwell.llm.near_texts import near_text_components, shingles_of
+
+    rng = random.Random(12)
+    texts = [long_text(i, 200).split() for i in range(12)]
+    for i in range(12):
+        for edits in (2, 3, 4, 5, 6):  # resemblances on both sides of 0.8
+            changed = list(texts[i])
+            for at in rng.sample(range(len(changed)), edits):
+                changed[at] = f"w{rng.random()}"
+            texts.append(changed)
+    data = rows([" ".join(t) for t in texts] + [None, "", " ", "one two", "One  two", "one three"])
+    sets = [set(shingles_of((t or "").encode(), 5).tolist()) for _, t in data]
+    root = list(range(len(data)))
+    for a in root:
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) and root[a] != root[b]:
+                old, new = max(root[a], root[b]), min(root[a], root[b])
+                root = [new if r == old else r for r in root]
+    assert 20 < len(set(root)) < 60
+    got = {r.doc_id: r.component_id for r in near_text_components(frame(spark, data).repartition(5)).collect()}
+    assert got == dict(enumerate(root))
+    assert near_text_components(frame(spark, [])).count() == 0
