@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seekwell.llm.bpe import bpe_decode, bpe_encode
+from seekwell.llm.centroids import centroid_clusters
 from seekwell.llm.common import documents, fresh_folder, written
 from seekwell.llm.exact_dedup import exact_copies
 from seekwell.llm.library_ids import encode_ids
@@ -21,6 +22,7 @@ from seekwell.llm.suffix_dedup import remove_repeats
 from seekwell.llm.token_counts import count_tokens
 from seekwell.llm.token_files import read_token_files, write_token_files
 from seekwell.llm.warc import read_warc, write_warc
+from seekwell.sources import read_table, spread
 
 CONTEXT = 4096
 REPEAT = 100
@@ -105,7 +107,12 @@ def op10_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumn("edited_sha256", F.sha2("edited_text", 256)).drop("edited_text")
 
 
+def op12_centroid_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = read_table(spark, folder, "embeddings").select("vec_id", "embedding")
+    return centroid_clusters(spread(vectors, "vec_id"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_token_counts, op2_suffix_dedup, op3_bpe_roundtrip, op4_simhash_components, op5_best_fit_packing, op6_token_files, op7_exact_dedup, op8_quality_classifier, op9_warc, op10_fingerprints)
+    for f in (op1_token_counts, op2_suffix_dedup, op3_bpe_roundtrip, op4_simhash_components, op5_best_fit_packing, op6_token_files, op7_exact_dedup, op8_quality_classifier, op9_warc, op10_fingerprints, op12_centroid_clusters)
 }

@@ -62,8 +62,50 @@ select page_id, payload_bytes, payload_digest,
 from latest
 """
 
+def _assigned(number: int) -> str:
+    """Each vector's nearest centroid of table c{number}, the smaller number at ties."""
+    return f"""
+a{number} as (
+  select vec_key, min(struct_pack(d := d, c := c)) as best from (
+    select vec_key, c, list_sum(list_transform(list_zip(v.v, m.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::bigint as d
+    from ints v, c{number} m)
+  group by vec_key
+)"""
+
+
+def _moved(number: int) -> str:
+    """Table c{number + 1}: centroids at floor(sum / count) of their vectors, empty ones where they were."""
+    return f"""
+s{number} as (
+  select best.c as c, i, sum(x)::bigint as total, count(*) as n
+  from (select vec_key, unnest(v) as x, generate_subscripts(v, 1) as i from ints) join a{number} using (vec_key)
+  group by best.c, i
+), m{number} as (
+  select c, list((total - ((total % n) + n) % n) // n order by i) as v from s{number} group by c
+), c{number + 1} as (
+  select o.c, coalesce(m.v, o.v) as v from c{number} o left join m{number} m on m.c = o.c
+)"""
+
+
+CLUSTERS = f"""
+with ints as materialized (
+  select vec_id, row_number() over () as vec_key,
+    list_transform(embedding, lambda x: floor(64 * x::double)::bigint) as v
+  from embeddings
+  where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = 64
+), c0 as (
+  select row_number() over (order by sha256('1:' || vec_id::varchar), v) - 1 as c, v from ints
+  order by sha256('1:' || vec_id::varchar), v limit 16
+), {_assigned(0)}, {_moved(0)}, {_assigned(1)}, {_moved(1)}, {_assigned(2)}, {_moved(2)}, {_assigned(3)}
+select vec_id, best.c::int as cluster, best.d as distance,
+  sum(best.d) over (partition by best.c)::bigint as cluster_inertia, sum(best.d) over ()::bigint as inertia,
+  sha256(array_to_string(c3.v, ',')) as centroid_sha256
+from a3 join ints using (vec_key) join c3 on c3.c = best.c
+"""
+
 SQL: dict[str, str] = {
     "op2_suffix_dedup": REPEATS,
     "op7_exact_dedup": EXACT,
     "op9_warc": WARC,
+    "op12_centroid_clusters": CLUSTERS,
 }

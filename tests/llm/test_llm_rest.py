@@ -19,7 +19,7 @@ from seekwell.llm.quality import Features, fit, fold, quality, score, shape, tra
 from seekwell.llm.warc import members, parse, read_warc, record, write_warc
 
 FOLDER = os.environ.get("TWIN_SF_DIR", "/root/testdata/sf0.01")
-NAMES = {f"op{i}" for i in range(1, 11)}
+NAMES = {f"op{i}" for i in range(1, 14)}
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -175,7 +175,7 @@ def test_twins(spark):
         got, want = queries()[name](spark, FOLDER).toPandas(), con.sql(oracle_sql()[name]).df()
         assert sorted(got.columns) == sorted(want.columns) and len(want) > 0
         tidy = [d.astype(object).where(d.notna(), None)[sorted(d.columns)] for d in (got, want)]
-        tidy = [d.sort_values(list(d.columns)[:1], kind="stable").sort_values(d.columns[d.columns.isin(["doc_id", "page_id"])][0]) for d in tidy]
+        tidy = [d.sort_values(list(d.columns)[:1], kind="stable").sort_values(d.columns[d.columns.isin(["doc_id", "page_id", "vec_id"])][0]) for d in tidy]
         pd.testing.assert_frame_equal(*(d.reset_index(drop=True) for d in tidy), check_dtype=False)
 
 
