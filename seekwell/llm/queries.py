@@ -13,6 +13,7 @@ from seekwell.llm.bpe import bpe_decode, bpe_encode
 from seekwell.llm.centroids import centroid_clusters
 from seekwell.llm.common import documents, fresh_folder, written
 from seekwell.llm.exact_dedup import exact_copies
+from seekwell.llm.importance import resample
 from seekwell.llm.library_ids import encode_ids
 from seekwell.llm.packing import cut_pieces, pack
 from seekwell.llm.quality import fit, fold, quality
@@ -112,7 +113,12 @@ def op12_centroid_clusters(spark: SparkSession, folder: str) -> DataFrame:
     return centroid_clusters(spread(vectors, "vec_id"))
 
 
+def op13_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    drawn = resample(documents(spark, folder), read_table(spark, folder, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_token_counts, op2_suffix_dedup, op3_bpe_roundtrip, op4_simhash_components, op5_best_fit_packing, op6_token_files, op7_exact_dedup, op8_quality_classifier, op9_warc, op10_fingerprints, op12_centroid_clusters)
+    for f in (op1_token_counts, op2_suffix_dedup, op3_bpe_roundtrip, op4_simhash_components, op5_best_fit_packing, op6_token_files, op7_exact_dedup, op8_quality_classifier, op9_warc, op10_fingerprints, op12_centroid_clusters, op13_importance_resampling)
 }

@@ -103,9 +103,55 @@ select vec_id, best.c::int as cluster, best.d as distance,
 from a3 join ints using (vec_key) join c3 on c3.c = best.c
 """
 
+RESAMPLE = r"""
+with crc_table as (
+  select list(list_reduce(list_prepend(i::ubigint, range(8)::ubigint[]),
+    lambda c, b: case when c & 1 = 1 then xor(3988292384::ubigint, c >> 1) else c >> 1 end) order by i) as tab
+  from range(256) t(i)
+), texts as (
+  select 's' as side, doc_id as id, text from documents union all select 't', item_id, text from benchmark
+), split as (
+  select side, id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws
+  from texts
+), tokens as (
+  select side, id, unnest(ws) as w from split
+), counted as (
+  select side, id, w, count(*) as n from tokens group by all
+), digits as (
+  select w, hex(encode(w)) as d from (select distinct w from counted)
+), hashed as (
+  select w, xor(4294967295::ubigint, list_reduce(list_prepend(4294967295::ubigint,
+      list_transform(range(len(d) // 2), lambda i: ('0x' || substr(d, 2 * i + 1, 2))::ubigint)),
+    lambda c, b: xor(tab[(xor(c, b) & 255)::bigint + 1], c >> 8))) % 10000 as bucket
+  from digits, crc_table
+), sums as (
+  select bucket, sum(n) filter (side = 's') as s, sum(n) filter (side = 't') as t
+  from counted join hashed using (w) group by bucket
+), totals as (
+  select coalesce(sum(s), 0) as s_all, coalesce(sum(t), 0) as t_all from sums
+), gains as (
+  select bucket, floor(1000 * ln((coalesce(t, 0) + 1)::double * (s_all + 10000)::double
+    / ((coalesce(s, 0) + 1)::double * (t_all + 10000)::double)))::bigint as gain from sums, totals
+), weights as (
+  select id, sum(n * gain)::bigint as weight from counted join hashed using (w) join gains using (bucket)
+  where side = 's' group by id
+), scored as (
+  select id as doc_id, len(ws) as n_features, coalesce(weight, 0) as weight, coalesce(weight, 0) + floor(-1000 * ln(-ln(
+    (('0x' || substr(sha256('2024:' || id::varchar), 1, 8))::bigint + 0.5::double) / 4294967296::double)))::bigint as score
+  from split left join weights using (id) where side = 's'
+), ranked as (
+  select doc_id, row_number() over (order by score desc, doc_id) as rank from scored where n_features >= 20
+)
+select doc_id, n_features, weight, score, case when rank <= (select 10 * count(*) // 100 from ranked) then rank end as rank
+from scored left join ranked using (doc_id)
+"""
+
 SQL: dict[str, str] = {
     "op2_suffix_dedup": REPEATS,
     "op7_exact_dedup": EXACT,
     "op9_warc": WARC,
     "op12_centroid_clusters": CLUSTERS,
+    "op13_importance_resampling": RESAMPLE,
 }
