@@ -15,6 +15,7 @@ from seekwell.llm.common import documents, fresh_folder, written
 from seekwell.llm.exact_dedup import exact_copies
 from seekwell.llm.importance import resample
 from seekwell.llm.library_ids import encode_ids
+from seekwell.llm.main_text import main_text
 from seekwell.llm.packing import cut_pieces, pack
 from seekwell.llm.quality import fit, fold, quality
 from seekwell.llm.simhash import near_components, simhash
@@ -108,6 +109,11 @@ def op10_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumn("edited_sha256", F.sha2("edited_text", 256)).drop("edited_text")
 
 
+def op11_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    pages = spark.read.schema("page_id long, url string, html string").parquet(f"{folder}/pages.parquet")
+    return main_text(pages)
+
+
 def op12_centroid_clusters(spark: SparkSession, folder: str) -> DataFrame:
     vectors = read_table(spark, folder, "embeddings").select("vec_id", "embedding")
     return centroid_clusters(spread(vectors, "vec_id"))
@@ -120,5 +126,5 @@ def op13_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_token_counts, op2_suffix_dedup, op3_bpe_roundtrip, op4_simhash_components, op5_best_fit_packing, op6_token_files, op7_exact_dedup, op8_quality_classifier, op9_warc, op10_fingerprints, op12_centroid_clusters, op13_importance_resampling)
+    for f in (op1_token_counts, op2_suffix_dedup, op3_bpe_roundtrip, op4_simhash_components, op5_best_fit_packing, op6_token_files, op7_exact_dedup, op8_quality_classifier, op9_warc, op10_fingerprints, op11_html_extraction, op12_centroid_clusters, op13_importance_resampling)
 }
