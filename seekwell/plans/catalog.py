@@ -11,8 +11,17 @@ from pyspark.sql import functions as F
 from seekwell import operators as op
 from seekwell.plans.parameters import BANDS, BITS
 from seekwell.session import shared_dir, written
-from seekwell.sources import read_table, spread, stream_table
-from seekwell.streaming import read_index, start_index
+from seekwell.sources import SCHEMAS, read_table, spread, stream_table
+from seekwell.streaming import (
+    read_distinct,
+    read_index,
+    read_sessions,
+    read_windows,
+    start_distinct,
+    start_index,
+    start_sessions,
+    start_windows,
+)
 
 
 def _questions(spark: SparkSession, folder: str) -> DataFrame:
@@ -73,6 +82,42 @@ def rank_index(spark: SparkSession, folder: str) -> DataFrame:
     return op.rank_index(_questions(spark, folder), entries, terms).select("query", "rank", "doc_id", "score")
 
 
+def _events(spark: SparkSession, folder: str) -> DataFrame:
+    return read_table(spark, folder, "events")
+
+
+def _new_root(spark: SparkSession, what: str) -> str:
+    return f"{shared_dir(spark)}/{what}-{uuid.uuid4()}"
+
+
+def event_windows(spark: SparkSession, folder: str) -> DataFrame:
+    return op.event_windows(_events(spark, folder))
+
+
+def event_sessions(spark: SparkSession, folder: str) -> DataFrame:
+    return op.event_sessions(_events(spark, folder))
+
+
+def stream_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """The events of a source that delivers each of them twice."""
+    root, events = _new_root(spark, "distinct"), SCHEMAS["events"]
+    twice = stream_table(spark, folder, "events").unionAll(stream_table(spark, folder, "events"))
+    start_distinct(twice, root).awaitTermination()
+    return read_distinct(spark, root, events)
+
+
+def stream_windows(spark: SparkSession, folder: str) -> DataFrame:
+    root = _new_root(spark, "windows")
+    start_windows(stream_table(spark, folder, "events"), root).awaitTermination()
+    return read_windows(spark, root)
+
+
+def stream_sessions(spark: SparkSession, folder: str) -> DataFrame:
+    root = _new_root(spark, "sessions")
+    start_sessions(stream_table(spark, folder, "events"), root).awaitTermination()
+    return read_sessions(spark, root)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -86,5 +131,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         stream_ingest,
         dictionary,
         rank_index,
+        event_windows,
+        event_sessions,
+        stream_dedup,
+        stream_windows,
+        stream_sessions,
     )
 }

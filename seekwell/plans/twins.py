@@ -133,6 +133,33 @@ with planes as (
 select query, rank, neighbour, score from ranked where rank <= 10
 """
 
+WINDOWS = """
+with starts as (
+  select *, unnest(range(epoch_us(ts) - epoch_us(ts) % 900000000 - 2700000000,
+                         epoch_us(ts) - epoch_us(ts) % 900000000 + 1, 900000000)) as window_start
+  from events
+)
+select event_type, window_start, window_start + 3600000000 as window_end, count(*) as n,
+  round(sum(value), 6) as total, min(value) as least, max(value) as most
+from starts group by event_type, window_start
+"""
+
+SESSIONS = """
+with marked as (
+  select *, epoch_us(ts) as us,
+    case when epoch_us(ts) - lag(epoch_us(ts)) over (partition by user_id order by ts) <= 1800000000 then 0 else 1 end as opens
+  from events where ts is not null
+), numbered as (
+  select *, sum(opens) over (partition by user_id order by us) as run from marked
+)
+select user_id, min(us) as session_start, max(us) + 1800000000 as session_end, count(*) as n, round(sum(value), 6) as total
+from numbered group by user_id, run
+"""
+
+WATERMARK = "(select max(epoch_us(ts)) - 3600000000 from events)"
+CLOSED_WINDOWS = f"select * from ({WINDOWS}) where window_end <= {WATERMARK}"
+CLOSED_SESSIONS = f"select * from ({SESSIONS}) where session_end <= {WATERMARK}"
+
 SQL: dict[str, str] = {
     "chunk_documents": CHUNKS,
     "inverted_index": INDEX,
@@ -144,4 +171,9 @@ SQL: dict[str, str] = {
     "stream_ingest": INDEX,
     "dictionary": TERMS,
     "rank_index": BM25,
+    "event_windows": WINDOWS,
+    "event_sessions": SESSIONS,
+    "stream_dedup": "select * from events",
+    "stream_windows": CLOSED_WINDOWS,
+    "stream_sessions": CLOSED_SESSIONS,
 }

@@ -18,6 +18,16 @@ SCHEMAS: dict[str, T.StructType] = {
     "benchmark": T.StructType(
         [T.StructField("item_id", T.LongType()), T.StructField("text", T.StringType())]
     ),
+    "events": T.StructType(
+        [
+            T.StructField("event_id", T.LongType()),
+            T.StructField("ts", T.TimestampNTZType()),
+            T.StructField("user_id", T.LongType()),
+            T.StructField("event_type", T.StringType()),
+            T.StructField("value", T.DoubleType()),
+            T.StructField("props", T.StringType()),
+        ]
+    ),
     "embeddings": T.StructType(
         [
             T.StructField("vec_id", T.LongType()),
