@@ -5,6 +5,7 @@ from __future__ import annotations
 import sys
 import types
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from typing import Any, TypeVar
 
 import pyarrow as pa
@@ -63,11 +64,42 @@ def fresh_folder(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4()}"
 
 
+_TEMPORARY: list[list[tuple[DataFrame, str]]] = []  # of each `temporary` block that is running: the tables written in it
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
     """`df` written as Parquet to the shared folder and read back: lineage is cut, a lost executor costs a re-read."""
     path = fresh_folder(df.sparkSession, what)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    if _TEMPORARY:
+        _TEMPORARY[-1].append((table, path))
+    return table
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables that are `written` inside the block are removed at its end, also after a failure, but for those handed to `keep`.
+
+    What leaves the block must not read any other of them.
+    """
+    tables: list[tuple[DataFrame, str]] = []
+    kept: list[DataFrame] = []
+
+    def keep(table: DataFrame) -> DataFrame:
+        kept.append(table)
+        return table
+
+    _TEMPORARY.append(tables)
+    try:
+        yield keep
+    finally:
+        _TEMPORARY.pop()
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        for table, name in tables:
+            if not any(table is k for k in kept):
+                path = jvm.org.apache.hadoop.fs.Path(name)
+                path.getFileSystem(conf).delete(path, True)
 
 
 def file_system(uri: str):
