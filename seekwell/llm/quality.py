@@ -1,6 +1,6 @@
 """Quality scores of texts: logistic regression on hashed word n-grams, trained by follow-the-regularised-leader.
 
-Features are the words themselves and runs of one to three word shapes: a shape keeps how a word is written (case,
+Features are runs of one to three words and runs of one to three word shapes: a shape keeps how a word is written (case,
 digits, the signs in it) and not what it says, and a word equal to the one before it has a shape of its own. All
 are hashed into one weight vector; each counts by its share in the text, so a score is a sparse dot product.
 """
@@ -21,7 +21,7 @@ from seekwell.llm.common import small, worker_state
 BITS = 18
 SIZE = 1 << BITS
 SCALE = 8.0  # of the shares, so that the learning rate suits values around one
-SAMPLE_ROWS = 8192
+SAMPLE_ROWS = 16384
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.05, 0.01
 FOLDS = 5
@@ -30,6 +30,7 @@ LONGEST_KEPT = 48
 RUNS = re.compile(r"(.)\1+")
 MIX = np.uint64(0x9E3779B97F4A7C15)
 SAME = 1
+LONGEST_RUN = 3
 
 
 def shape(word: str) -> str:
@@ -45,7 +46,7 @@ class Features(dict):
         import xxhash
 
         text = word.decode("utf-8", "replace")
-        both = (xxhash.xxh32_intdigest(text.lower()) & (SIZE - 1)) << 32 | xxhash.xxh32_intdigest(shape(text))
+        both = xxhash.xxh32_intdigest(text.lower()) << 32 | xxhash.xxh32_intdigest(shape(text))
         if len(word) <= LONGEST_KEPT:
             if len(self) >= CACHE_WORDS:
                 self.clear()
@@ -58,10 +59,15 @@ class Features(dict):
         both = np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
         shapes = both & np.uint64(0xFFFFFFFF)
         shapes[1:][both[1:] == both[:-1]] = SAME
-        runs = [shapes * MIX]
-        for _ in range(2):
-            runs.append((runs[-1][:-1] ^ shapes[len(shapes) - len(runs[-1]) + 1 :]) * MIX)
-        places = [both >> np.uint64(32), *(r >> np.uint64(64 - BITS) for r in runs)]
+        hashes = both >> np.uint64(32)
+        places = [hashes & np.uint64(SIZE - 1)]  # single words
+        for own, first in ((hashes + np.uint64(1) << np.uint64(32), 2), (shapes, 1)):
+            run = own * MIX
+            for n in range(1, LONGEST_RUN + 1):
+                if n > 1:
+                    run = (run[:-1] ^ own[n - 1 :]) * MIX
+                if n >= first:
+                    places.append(run >> np.uint64(64 - BITS))
         return np.concatenate(places).astype(np.int64), len(words)
 
 

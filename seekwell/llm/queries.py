@@ -19,7 +19,7 @@ from seekwell.llm.main_text import main_text
 from seekwell.llm.packing import cut_pieces, pack
 from seekwell.llm.quality import fit, fold, quality
 from seekwell.llm.simhash import near_components, simhash
-from seekwell.llm.sketch import fingerprints
+from seekwell.llm.sketch import fingerprints, sketch_digits
 from seekwell.llm.suffix_dedup import remove_repeats
 from seekwell.llm.token_counts import count_tokens
 from seekwell.llm.token_files import read_token_files, write_token_files
@@ -106,7 +106,8 @@ def op9_warc(spark: SparkSession, folder: str) -> DataFrame:
 
 def op10_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     found = fingerprints(documents(spark, folder))
-    return found.withColumn("edited_sha256", F.sha2("edited_text", 256)).drop("edited_text")
+    digits = {c: sketch_digits(F.col(c)) for c in ("fingerprint", "edited_fingerprint")}
+    return found.withColumns({"edited_sha256": F.sha2("edited_text", 256), **digits}).drop("edited_text")
 
 
 def op11_html_extraction(spark: SparkSession, folder: str) -> DataFrame:

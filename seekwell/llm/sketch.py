@@ -37,6 +37,11 @@ def sketch(text: Column, k: int = K, words: int = WORDS) -> Column:
     return F.when(bare == "", F.array().cast("array<long>")).otherwise(least)
 
 
+def sketch_digits(a: Column) -> Column:
+    """A sketch as text: 16 lowercase hex digits for each of its hashes. That of an empty sketch is empty."""
+    return F.array_join(F.transform(a, lambda h: F.lpad(F.lower(F.hex(h)), 16, "0")), "")
+
+
 def merged(a: Column, b: Column, k: int = K) -> Column:
     """The sketch of two parts together."""
     return F.slice(F.sort_array(F.array_union(a, b)), 1, k)

@@ -18,6 +18,7 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +33,8 @@ MAGIC = b"SWTOKEN1"
 FOOTER = "<8q"
 HEAD = "<4q"
 EVERY = 256
-READ_IDS = 1 << 22
+READ_IDS = 1 << 20
+READ_DOCS = 1 << 14
 
 
 def elias_fano(values: np.ndarray) -> bytes:
@@ -84,12 +86,17 @@ class EliasFano:
         low = chunk >> first % 8 & (1 << self.low_bits) - 1
         return self.select(i) - i << self.low_bits | low
 
-    def all(self) -> np.ndarray:
-        ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
-        values = ones - np.arange(self.n) << self.low_bits
-        bits = np.unpackbits(self.low, bitorder="little", count=self.n * self.low_bits).reshape(self.n, self.low_bits)
+    def between(self, start: int, stop: int) -> np.ndarray:
+        """Numbers `start` to `stop`: the first and the last are selected, and only the bits between them are unpacked."""
+        if start >= stop:
+            return np.zeros(0, np.int64)
+        a, b = self.select(start), self.select(stop - 1)
+        ones = np.flatnonzero(np.unpackbits(self.high[a // 8 : b // 8 + 1], bitorder="little")[a % 8 :])[: stop - start] + a
+        values = ones - np.arange(start, stop) << self.low_bits
+        first, last = start * self.low_bits, stop * self.low_bits
+        bits = np.unpackbits(self.low[first // 8 : -(-last // 8)], bitorder="little")[first % 8 :][: last - first]
         for k in range(self.low_bits):
-            values |= bits[:, k].astype(np.int64) << k
+            values |= bits[k :: self.low_bits].astype(np.int64) << k
         return values
 
 
@@ -171,24 +178,26 @@ def _documents(f, base: int) -> Iterator[pa.RecordBatch]:
     f.seek(f.size() - struct.calcsize(FOOTER))
     width, n_docs, n_null, n_ids, first, n_ends, n_names, crc = struct.unpack(FOOTER, f.read())
     f.seek(len(MAGIC) + n_ids * width)
-    ends = EliasFano(f.read(n_ends)).all()
-    names = EliasFano(f.read(n_names)).all() + first
-    names = pa.concat_arrays([pa.nulls(n_null, pa.int64()), pa.array(names, pa.int64())])
+    ends, names = EliasFano(f.read(n_ends)), EliasFano(f.read(n_names))
     f.seek(0)
     if f.read(len(MAGIC)) != MAGIC:
         raise ValueError("not a token file")
-    starts = np.concatenate([[0], ends[:-1]])
-    seen, at = 0, 0
+    seen, at, start = 0, 0, 0
     while at < n_docs:
-        to = max(at + 1, int(np.searchsorted(ends, starts[at] + READ_IDS, side="right")))
-        data = f.read(int(ends[to - 1] - starts[at]) * width)
+        # the documents of the next block are found by selects; no table of all offsets is made
+        to = max(at + 1, min(at + READ_DOCS, bisect_right(ends, start + READ_IDS, lo=at)))
+        stops = ends.between(at, to)
+        data = f.read(int(stops[-1] - start) * width)
         seen = zlib.crc32(data, seen)
         ids = np.frombuffer(data, f"<u{width}").astype("<u4").tobytes()
-        cuts = 4 * (np.concatenate([starts[at:to], ends[to - 1 : to]]) - starts[at])
-        rows = [ids[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
-        sizes = ends[at:to] - starts[at:to]
-        columns = [names[at:to], pa.array(starts[at:to] + base), pa.array(sizes), pa.array(rows, pa.binary())]
+        starts = np.concatenate([[start], stops[:-1]])
+        cuts = (4 * (np.append(starts, stops[-1]) - start)).tolist()
+        rows = [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
+        no_name = max(0, min(to, n_null) - at)
+        known = names.between(max(at, n_null) - n_null, max(to, n_null) - n_null) + first
+        named = pa.concat_arrays([pa.nulls(no_name, pa.int64()), pa.array(known, pa.int64())])
+        columns = [named, pa.array(starts + base), pa.array(stops - starts), pa.array(rows, pa.binary())]
         yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "n_tokens", "ids"])
-        at = to
+        at, start = to, int(stops[-1])
     if seen != crc:
         raise ValueError("the ids of a token file are damaged")

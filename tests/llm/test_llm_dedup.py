@@ -22,6 +22,7 @@ from seekwell.llm.sketch import (
     merge_sketches,
     resemblance,
     sketch,
+    sketch_digits,
 )
 from seekwell.llm.suffix_dedup import PIECE, SuffixIndex, phrases, remove_repeats, rolling, whole_characters
 
@@ -275,6 +276,20 @@ def shingles_of(text):
     return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
 
 
+def test_sketches_are_the_least_hashes(spark):
+    """Against the sets themselves: every distinct shingle is hashed on its own, and the least 128 are picked in Python."""
+    texts = [*TEXTS, *fuzz(9, 20), long_text(11, 900), "a b c d e " * 60]
+    sets = [shingles_of(t) for t in texts]
+    every = sorted({s for found in sets for s in found})
+    hashed = frame(spark, [(list(s),) for s in every], "s array<string>").select("s", F.xxhash64("s").alias("h")).collect()
+    of = {tuple(r.s): r.h for r in hashed}
+    got = {r.doc_id: r.s for r in frame(spark, rows(texts)).select("doc_id", sketch(F.col("text")).alias("s")).collect()}
+    assert got == {i: sorted({of[s] for s in found})[:128] for i, found in enumerate(sets)}
+    assert max(map(len, sets)) > 128 > len(got[0])
+    digits = frame(spark, rows(texts)).select("doc_id", sketch_digits(sketch(F.col("text"))).alias("d")).collect()
+    assert {r.doc_id: r.d for r in digits} == {i: "".join(f"{h % 2**64:016x}" for h in s) for i, s in got.items()}
+
+
 def test_sketch_estimates(spark):
     a, b = long_text(11, 4000), long_text(12, 4000)
     texts = [None, "", "  \n", "One", "one", a, b, a + " " + b, "x y z w v u", "x y z w v"]

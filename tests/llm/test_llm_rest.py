@@ -4,6 +4,7 @@ import glob
 import hashlib
 import importlib
 import os
+import random
 import zlib
 
 import duckdb
@@ -50,6 +51,84 @@ def test_training_is_learning():
     assert not none.any() and score(none, zero, *f.of(b"x")) == 0.5
 
 
+def plain_features(text):
+    """Hashed places counted in a dictionary, one window at a time."""
+    import xxhash
+
+    mix, mask = 0x9E3779B97F4A7C15, (1 << 64) - 1
+    words = text.split()
+    texts = [w.decode("utf-8", "replace") for w in words]
+    hashes = [xxhash.xxh32_intdigest(t.lower()) for t in texts]
+    shapes = [xxhash.xxh32_intdigest(shape(t)) for t in texts]
+    pairs = list(zip(hashes, shapes))
+    shapes = [1 if i and pairs[i] == pairs[i - 1] else s for i, s in enumerate(shapes)]
+    found = {}
+
+    def add(place):
+        found[place] = found.get(place, 0) + 1
+
+    for i in range(len(words)):
+        add(hashes[i] & (1 << 18) - 1)
+        for own, least in (([(h + 1) << 32 & mask for h in hashes], 2), (shapes, 1)):
+            run = own[i] * mix & mask
+            for n in range(1, 4):
+                if n > 1 and i + n <= len(words):
+                    run = (run ^ own[i + n - 1]) * mix & mask
+                if n >= least and i + n <= len(words):
+                    add(run >> 46)
+    return found, len(words)
+
+
+def plain_train(rows, epochs=3, alpha=0.3, beta=1.0, l1=0.05, l2=0.01, scale=8.0):
+    z, n = {}, {}
+
+    def weight(i):
+        if abs(z.get(i, 0.0)) <= l1:
+            return 0.0
+        return ((l1 if z[i] > 0 else -l1) - z[i]) / ((beta + n[i] ** 0.5) / alpha + l2)
+
+    for _ in range(epochs):
+        for found, words, label in rows:
+            x = {i: float(np.float32(c * (scale / max(words, 1)))) for i, c in found.items()} | {1 << 18: 1.0}
+            p = 1 / (1 + np.exp(-sum(weight(i) * v for i, v in x.items())))
+            for i, v in x.items():
+                g = (p - label) * v
+                more = n.get(i, 0.0) + g * g
+                z[i] = z.get(i, 0.0) + g - (more**0.5 - n.get(i, 0.0) ** 0.5) / alpha * weight(i)
+                n[i] = more
+    return {i: weight(i) for i in z}
+
+
+def test_features_and_training_equal_plain_python():
+    good, bad = noisy(12)
+    texts = [t.encode() for pair in zip(good, bad) for t in pair] + [b"", b"one", b"a a a a b b", "Ünï 12 ünï".encode(), b"x \xff y"]
+    f = Features()
+    for t in texts:
+        places, words = f.of(t)
+        assert (dict(zip(*(a.tolist() for a in np.unique(places, return_counts=True)))), words) == plain_features(t)
+    labels = [i % 2 for i in range(len(texts))]
+    weights, bias = train([(*f.of(t), y) for t, y in zip(texts, labels)])
+    want = plain_train([(*plain_features(t), y) for t, y in zip(texts, labels)])
+    assert bias == pytest.approx(want.pop(1 << 18), abs=1e-9)
+    assert {i: w for i, w in enumerate(weights.tolist()) if w} == pytest.approx({i: w for i, w in want.items() if w}, abs=1e-9)
+    assert sum(1 for w in want.values() if w) > 20
+    for t in texts:
+        found, words = plain_features(t)
+        total = bias + 8.0 * sum(c * weights[i] for i, c in found.items()) / words if words else bias
+        assert score(weights, bias, *f.of(t)) == pytest.approx(1 / (1 + np.exp(-total)), abs=1e-9)
+
+
+def test_order_of_words_is_seen():
+    rng = random.Random(4)
+    pairs = [("red", "car"), ("old", "dog"), ("big", "sea"), ("new", "sun")]
+    right = [" ".join(w for p in rng.choices(pairs, k=20) for w in p) for _ in range(80)]
+    wrong = [" ".join(w for p in rng.choices(pairs, k=20) for w in reversed(p)) for _ in range(80)]
+    f = Features()
+    data = [(*f.of(t.encode()), y) for pair in zip(right, wrong) for t, y in zip(pair, (1, 0))]
+    weights, bias = train(data[:120])
+    assert all((score(weights, bias, p, n) >= 0.5) == y for p, n, y in data[120:])
+
+
 def test_scores(spark):
     good, bad = noisy(80)
     texts = good + bad + TEXTS

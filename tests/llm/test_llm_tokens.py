@@ -84,12 +84,38 @@ def test_word_ids_equal_library(spark):
 def test_elias_fano(gaps, first):
     values = np.cumsum([first, *gaps]) if gaps else np.zeros(0, np.int64)
     code = EliasFano(elias_fano(values))
-    assert code.all().tolist() == values.tolist()
+    for start, stop in [(0, len(values)), (len(values) // 3, len(values) // 2), (len(values) - 1, len(values)), (300, 5)]:
+        start, stop = max(0, min(start, len(values))), min(stop, len(values))
+        assert code.between(start, stop).tolist() == values[start:stop].tolist()
     assert [code[i] for i in range(len(code))] == values.tolist()
     with pytest.raises(IndexError):
         code[len(values)]
 
 
+@pytest.mark.parametrize(("ids", "docs"), [(1 << 20, 1 << 14), (50, 1 << 14), (1 << 20, 3), (1, 1)])
+def test_blocks_of_a_file(spark, tmp_path, monkeypatch, ids, docs):
+    """Whatever the blocks, documents are the same: empty ones, some without an id, one longer than a block."""
+    from seekwell.llm import token_files
+
+    rows = [(None, [1, 2]), (None, []), *((10 * i, list(range(i % 7))) for i in range(40)), (1000, list(range(300)))]
+    data = [(d, np.array(v, "<u4").tobytes()) for d, v in rows]
+    frame_of = spark.createDataFrame([(d, bytearray(b)) for d, b in data], "doc_id long, ids binary").coalesce(1)
+    files = write_token_files(frame_of, str(tmp_path))
+    monkeypatch.setattr(token_files, "READ_IDS", ids)
+    monkeypatch.setattr(token_files, "READ_DOCS", docs)
+    got = [(d, bytes(b)) for f in files.collect() for d, b in read_plainly(token_files, f.path)]
+    assert sorted(got, key=repr) == sorted(data, key=repr)
+
+
+def read_plainly(module, path):
+    from pyarrow import fs
+
+    with fs.LocalFileSystem().open_input_file(path) as f:
+        for batch in module._documents(f, 0):
+            assert (np.diff(batch.column(1).to_numpy()) == batch.column(2).to_numpy()[:-1]).all()
+            yield from zip(batch.column(0).to_pylist(), batch.column(3).to_pylist())
+
+
 def test_token_files(spark, tmp_path):
     encode = library(WORD)
     data = [(7 * i % 501 - 100, t) for i, t in enumerate(ALL)] + [(None, "no id"), (3, "again"), (3, "again")]
