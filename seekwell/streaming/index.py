@@ -41,7 +41,7 @@ def _latest_of_batch(batch: DataFrame) -> DataFrame:
 def write_batch(root: str):
     def write(batch: DataFrame, number: int) -> None:
         rows = spread(_latest_of_batch(batch), "doc_id")
-        postings(rows).write.mode("overwrite").parquet(f"{root}/postings/batch={number}")
+        postings(rows).write.mode("overwrite").option("compression", "zstd").parquet(f"{root}/postings/batch={number}")
         dictionary(rows).write.mode("overwrite").parquet(f"{root}/terms/batch={number}")
         rows.select("doc_id").write.mode("overwrite").parquet(f"{root}/docs/batch={number}")
 
@@ -136,7 +136,7 @@ def compact_index(spark: SparkSession, root: str) -> int:
     if upto is None or upto == NOTHING:
         return NOTHING
     folder = f"{root}/base/{uuid.uuid4()}"
-    read_postings(spark, root).write.parquet(f"{folder}/postings")
+    read_postings(spark, root).write.option("compression", "zstd").parquet(f"{folder}/postings")
     read_dictionary(spark, root).write.parquet(f"{folder}/terms")
     ids = _current(_table(spark, root, "docs"), _replaced(spark, root)).select("doc_id")
     ids.write.parquet(f"{folder}/docs")
