@@ -5,7 +5,7 @@ neighbours encode to themselves as a pair. So each prefix of a pre-token has one
 that ends there, whose own start is a prefix that is solved, and which is compatible with that prefix's last token. An
 automaton over the vocabulary gives all tokens that end at each byte; back-pointers give the ids.
 
-Pre-tokens repeat, so each worker keeps the ids of those it has met.
+Pre-tokens repeat, and so do the stretches between spaces. Each worker keeps the ids of those that it has met lately.
 """
 
 from __future__ import annotations
@@ -13,8 +13,7 @@ from __future__ import annotations
 import json
 import re
 from array import array
-from collections.abc import Iterator
-from itertools import chain
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,9 +25,12 @@ from seekwell.llm.common import file_bytes, small, worker_state
 # Fixed value: the published pattern that cuts text into pre-tokens before any merge.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 LONGEST_KEPT = 64
-CACHE_UNITS = 350_000
-CACHE_PAIRS = 500_000
+CACHE_UNITS = 130_000  # of a generation, of which there are two
+CACHE_WORDS = 250_000
+CACHE_PAIRS = 200_000
+SEEN = (1 << 21) - 1
 NONE = 1 << 60
+SIGNS = frozenset(".,;:!?")  # signs that are a pre-token of their own behind letters
 SPACE_RUN = re.compile(r"\s ")
 
 
@@ -89,6 +91,7 @@ class Vocabulary(TokenBytes):
             if z not in self.made:
                 self.made[z], self.left[z], self.right[z] = n, x, y
         self.pairs: dict[int, bool] = {}
+        self.older_pairs: dict[int, bool] = {}
         self.matches = ahocorasick.Automaton()
         for i, b in raw.items():
             if self.whole(i, len(b)):
@@ -128,9 +131,12 @@ class Vocabulary(TokenBytes):
         key = a + 1 << 32 | b
         known = self.pairs.get(key)
         if known is None:
+            known = self.older_pairs.get(key)
+            if known is None:
+                known = self.apart(a, b)
             if len(self.pairs) >= CACHE_PAIRS:
-                self.pairs.clear()
-            known = self.pairs[key] = self.apart(a, b)
+                self.older_pairs, self.pairs = self.pairs, {}
+            self.pairs[key] = known
         return known
 
     def solve(self, word: str) -> list[int]:
@@ -161,34 +167,65 @@ class Vocabulary(TokenBytes):
             n = back[n]
         return ids[::-1]
 
-    def encode_unit(self, unit: str) -> tuple[int, ...]:
-        """Ids of a stretch of text that no pre-token crosses, added tokens included."""
-        ids: list[int] = []
-        for i, part in enumerate(self.cut.split(unit) if any(t in unit for t in self.added) else (unit,)):
-            if i % 2:
-                ids.append(self.added[part])
-            elif part:
-                for word in self.words(part):
-                    ids += self.solve(word)
-        return tuple(ids)
+class Recent(dict):
+    """Text -> its ids as bytes, as `solve` finds them, for texts met lately.
+
+    There are two generations: when the younger one is full it becomes the older, and what is met there again moves
+    to the younger. With `twice` a text is kept from the second time on, so that those that are met once take no room.
+    """
+
+    def __init__(self, solve: Callable[[str], bytes], room: int, twice: bool):
+        super().__init__()
+        self.solve, self.room, self.twice = solve, room, twice
+        self.older: dict[str, bytes] = {}
+        self.seen = bytearray(SEEN + 1 if twice else 0)
+
+    def __missing__(self, text: str) -> bytes:
+        ids = self.older.get(text)
+        if ids is None:
+            ids = self.solve(text)
+            if len(text) > LONGEST_KEPT:
+                return ids
+            if self.twice and not self.seen[slot := hash(text) & SEEN]:
+                self.seen[slot] = 1
+                return ids
+        if len(self) >= self.room:
+            self.older = dict(self)
+            self.clear()
+            self.seen = bytearray(len(self.seen))
+        self[text] = ids
+        return ids
 
 
-class Units(dict):
-    """Unit of text, the space before it implied -> its ids, solved when first met."""
+class Units:
+    """Encodes texts by units, each a stretch between two spaces. Ids are 32-bit numbers in the machine's order."""
 
     def __init__(self, vocabulary: Vocabulary):
-        super().__init__()
         self.vocabulary = vocabulary
+        self.words = Recent(lambda word: array("i", vocabulary.solve(word)).tobytes(), CACHE_WORDS, twice=False)
+        self.units = Recent(self.solve_unit, CACHE_UNITS, twice=True)
+        self.added = tuple(vocabulary.added)
+
+    def solve_unit(self, unit: str) -> bytes:
+        """Ids of a unit and the space before it. Letters are one pre-token, and a sign behind them is another."""
+        if unit.isalpha():
+            return self.words[" " + unit]
+        if unit[-1:] in SIGNS and unit[:-1].isalpha():
+            return self.words[f" {unit[:-1]}"] + self.words[unit[-1]]
+        return self.solve_stretch(" " + unit)
+
+    def solve_stretch(self, stretch: str) -> bytes:
+        """Ids of a stretch of text that no pre-token crosses, added tokens included."""
+        ids: list[bytes] = []
+        plain = not any(map(stretch.__contains__, self.added))
+        for i, part in enumerate((stretch,) if plain else self.vocabulary.cut.split(stretch)):
+            if i % 2:
+                ids.append(array("i", [self.vocabulary.added[part]]).tobytes())
+            elif part:
+                ids += map(self.words.__getitem__, self.vocabulary.words(part))
+        return b"".join(ids)
 
-    def __missing__(self, unit: str) -> tuple[int, ...]:
-        ids = self.vocabulary.encode_unit(" " + unit)
-        if len(unit) <= LONGEST_KEPT:
-            if len(self) >= CACHE_UNITS:
-                self.clear()
-            self[unit] = ids
-        return ids
-
-    def encode(self, text: str) -> Iterator[int]:
+    def encode(self, text: str) -> bytes:
         """A pre-token never runs on from a character to a space, so a text is cut there. White space before a
         space keeps a stretch together."""
         if SPACE_RUN.search(text):
@@ -196,7 +233,7 @@ class Units(dict):
             rest = [unit[1:] for unit in rest]
         else:
             first, *rest = text.split(" ")
-        return chain(self.vocabulary.encode_unit(first), chain.from_iterable(map(self.__getitem__, rest)))
+        return self.solve_stretch(first) + b"".join(map(self.units.__getitem__, rest))
 
 
 def bpe_encode(docs: DataFrame, tokenizer: str, text: str = "text", out: str = "ids") -> DataFrame:
@@ -214,7 +251,7 @@ def bpe_encode(docs: DataFrame, tokenizer: str, text: str = "text", out: str = "
         for column in small(batches):
             ids, ends = array("i"), [0]
             for text in column:
-                ids.extend(units.encode(text.as_py() or ""))
+                ids.frombytes(units.encode(text.as_py() or ""))
                 ends.append(len(ids))
             yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(ids, np.int32)))
             del ids
