@@ -2,6 +2,7 @@ from seekwell.operators.chunks import chunk_documents
 from seekwell.operators.events import event_sessions, event_windows
 from seekwell.operators.inverted import dictionary, inverted_index, postings
 from seekwell.operators.texts import bm25_topk, context_pack, rank_fusion, rank_index, rank_texts
+from seekwell.operators.vector_join import vector_join, vector_join_work
 from seekwell.operators.vectors import knn_lsh, knn_topk
 
 __all__ = [
@@ -18,4 +19,6 @@ __all__ = [
     "rank_fusion",
     "rank_index",
     "rank_texts",
+    "vector_join",
+    "vector_join_work",
 ]

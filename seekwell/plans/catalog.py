@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seekwell import operators as op
-from seekwell.plans.parameters import BANDS, BITS
+from seekwell.plans.parameters import BANDS, BITS, JOIN_COSINE
 from seekwell.session import shared_dir, written
 from seekwell.sources import SCHEMAS, read_table, spread, stream_table
 from seekwell.streaming import (
@@ -65,6 +65,10 @@ def knn_lsh(spark: SparkSession, folder: str) -> DataFrame:
     return op.knn_lsh(_vectors(spark, folder), bits=BITS, bands=BANDS)
 
 
+def vector_join(spark: SparkSession, folder: str) -> DataFrame:
+    return op.vector_join(_vectors(spark, folder), JOIN_COSINE)
+
+
 def stream_ingest(spark: SparkSession, folder: str) -> DataFrame:
     root = f"{shared_dir(spark)}/index-{uuid.uuid4()}"
     start_index(stream_table(spark, folder, "documents"), root).awaitTermination()
@@ -128,6 +132,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         context_pack,
         knn_topk,
         knn_lsh,
+        vector_join,
         stream_ingest,
         dictionary,
         rank_index,

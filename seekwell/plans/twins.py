@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from seekwell.plans.parameters import BANDS, BITS
+from seekwell.plans.parameters import BANDS, BITS, JOIN_COSINE
 
 _TERMS = r"""
   list_filter(string_split(trim(lower(regexp_replace(text, '[^\p{L}\p{N}]+', ' ', 'g'))), ' '),
@@ -133,6 +133,16 @@ with planes as (
 select query, rank, neighbour, score from ranked where rank <= 10
 """
 
+JOIN = f"""
+with pairs as (
+  select a.vec_id, count(*) as links from embeddings a join embeddings b on a.vec_id <> b.vec_id
+  where round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 6) >= {JOIN_COSINE}
+  group by a.vec_id
+)
+select vec_id, min(vec_id) over (partition by embedding) as class_id, coalesce(links, 0) as links
+from embeddings left join pairs using (vec_id)
+"""
+
 WINDOWS = """
 with starts as (
   select *, unnest(range(epoch_us(ts) - epoch_us(ts) % 900000000 - 2700000000,
@@ -168,6 +178,7 @@ SQL: dict[str, str] = {
     "context_pack": PACK,
     "knn_topk": KNN,
     "knn_lsh": LSH,
+    "vector_join": JOIN,
     "stream_ingest": INDEX,
     "dictionary": TERMS,
     "rank_index": BM25,
