@@ -22,6 +22,7 @@ from seekwell.operators.joins import join_facts
 
 # The characters that a normalised text leaves out, x20 and x09 to x0D.
 BLANKS = " \t\n\v\f\r"
+BROADCAST_IDS = 1 << 20
 PART = "part long, doc_ids binary, sizes binary, digests binary, places binary, sent array<struct<owner: int, code: binary>>"
 
 
@@ -158,7 +159,9 @@ def exact_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
         marked.mapInArrow(_marked, "doc_id long, n_chars long, text_sha256 string, suspect boolean"), "facts"
     )
     # the suspects' bytes: copies of a task are collapsed before they are moved
-    suspects = facts.where("suspect").select("doc_id").distinct()
+    suspects = written(facts.where("suspect").select("doc_id").distinct(), "suspects")
+    if suspects.count() <= BROADCAST_IDS:  # then no other text is moved to find them
+        suspects = F.broadcast(suspects)
     bare = F.col("text")
     for blank in BLANKS:
         bare = F.replace(bare, F.lit(blank), F.lit(""))
