@@ -11,7 +11,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 from itertools import chain
 
@@ -147,8 +147,15 @@ def _features(dictionary: Dictionary, text: str, counts: np.ndarray, n: int, buc
         yield first[inside], (runs[inside] % np.uint32(buckets)).astype(np.int64)
 
 
-def frequent_words(texts: DataFrame, text: str = "text", known: int = KNOWN, summary: int = SUMMARY) -> list[bytes]:
-    """Up to `known` words that are frequent in all of `texts`.
+def frequent_words(
+    texts: DataFrame,
+    text: str = "text",
+    known: int = KNOWN,
+    summary: int = SUMMARY,
+    longest: int = LONGEST,
+    cut: Callable[[str], list[bytes]] = words_of,
+) -> list[bytes]:
+    """Up to `known` words of at most `longest` bytes that are frequent in all of `texts`; `cut` gives a text's words.
 
     Every task reads all its words into a summary that keeps at most `summary` of them: when there are twice as many, the
     count of the first one that must go is taken off all (Misra and Gries 1982), which leaves no frequent word out. Summaries are added
@@ -159,15 +166,15 @@ def frequent_words(texts: DataFrame, text: str = "text", known: int = KNOWN, sum
         kept: Counter[bytes] = Counter()
         for batch in batches:
             for value in batch.column(0):
-                kept.update(words_of(value.as_py() or ""))
+                kept.update(cut(value.as_py() or ""))
                 if len(kept) > 2 * summary:
                     off = sorted(kept.values(), reverse=True)[summary]
                     kept = Counter({w: c - off for w, c in kept.items() if c > off})
-        for start in range(0, min(len(kept), summary), 8192):
-            most = kept.most_common(summary)[start : start + 8192]
-            most = [(w, c) for w, c in most if len(w) <= LONGEST]
+        most = [(w, c) for w, c in kept.most_common(summary) if 0 < len(w) <= longest]
+        for start in range(0, len(most), 8192):
+            part = most[start : start + 8192]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([w for w, _ in most], pa.binary()), pa.array([c for _, c in most], pa.int64())], ["word", "n"]
+                [pa.array([w for w, _ in part], pa.binary()), pa.array([c for _, c in part], pa.int64())], ["word", "n"]
             )
 
     sums = texts.select(text).mapInArrow(counted, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))

@@ -16,10 +16,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seekwell.llm.common import file_bytes, small, texts_of, worker_state
+from seekwell.llm.importance import frequent_words
 
 MARK = "▁"  # how SentencePiece writes a space
-SAMPLE_DOCS = 2048
 TABLE_WORDS = 1 << 16
+SUMMARY_WORDS = 1 << 16  # of a task, while it counts
 LONGEST_KEPT = 48
 CACHE_WORDS = 600_000
 UNITS = re.compile("( *)([^ ]+)")
@@ -77,12 +78,9 @@ class Counts(dict):
         return n
 
 
-def frequent_words(docs: DataFrame, text: str) -> list[str]:
-    """The most frequent pre-tokens of the first `SAMPLE_DOCS` documents, at most `TABLE_WORDS` of at most
-    `LONGEST_KEPT` characters: a table of a few MB whatever the input. It decides speed only."""
-    words = docs.select(text).limit(SAMPLE_DOCS).select(F.explode(F.split(text, " ")).alias("word"))
-    top = words.where(F.length("word").between(1, LONGEST_KEPT)).groupBy("word").count()
-    return [r.word for r in top.orderBy(F.desc("count"), "word").limit(TABLE_WORDS).select("word").toLocalIterator()]
+def pre_tokens(text: str) -> list[bytes]:
+    """What lies between single spaces of a text, as the table has it."""
+    return text.replace(MARK, " ").encode().split(b" ")
 
 
 def count_tokens(docs: DataFrame, model: str, text: str = "text", out: str = "n_tokens") -> DataFrame:
@@ -94,8 +92,9 @@ def count_tokens(docs: DataFrame, model: str, text: str = "text", out: str = "n_
     """
     proto = file_bytes(model)
     processor = load(proto)
-    words = frequent_words(docs, text)
-    table = {w: len(ids) for w, ids in zip(words, processor.encode(words), strict=True) if MARK not in w} if words else {}
+    found = frequent_words(docs, text, TABLE_WORDS, SUMMARY_WORDS, LONGEST_KEPT, pre_tokens)
+    words = [w.decode() for w in found]
+    table = {w: len(ids) for w, ids in zip(words, processor.encode(words), strict=True)} if words else {}
     shared = docs.sparkSession.sparkContext.broadcast((table, proto))
 
     @F.arrow_udf("long")
