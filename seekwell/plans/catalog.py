@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seekwell import operators as op
+from seekwell.functions.times import since_1970
 from seekwell.plans.parameters import BANDS, BITS, JOIN_COSINE
 from seekwell.session import shared_dir, written
 from seekwell.sources import SCHEMAS, read_table, spread, stream_table
@@ -103,11 +104,12 @@ def event_sessions(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def stream_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    """The events of a source that delivers each of them twice."""
+    """The events of a source that delivers each of them twice; times in microseconds since 1970."""
     root, events = _new_root(spark, "distinct"), SCHEMAS["events"]
     twice = stream_table(spark, folder, "events").unionAll(stream_table(spark, folder, "events"))
     start_distinct(twice, root).awaitTermination()
-    return read_distinct(spark, root, events)
+    found = read_distinct(spark, root, events)
+    return found.withColumn("ts", since_1970(found, "ts"))
 
 
 def stream_windows(spark: SparkSession, folder: str) -> DataFrame:

@@ -184,7 +184,7 @@ SQL: dict[str, str] = {
     "rank_index": BM25,
     "event_windows": WINDOWS,
     "event_sessions": SESSIONS,
-    "stream_dedup": "select * from events",
+    "stream_dedup": "select event_id, epoch_us(ts) as ts, user_id, event_type, value, props from events",
     "stream_windows": CLOSED_WINDOWS,
     "stream_sessions": CLOSED_SESSIONS,
 }
