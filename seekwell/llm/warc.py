@@ -26,17 +26,19 @@ GZIP = 31  # window bits of zlib for a gzip header and trailer
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 URN = "urn:page:"
+NAMELESS = "urn:sha1:"  # of url and payload, where a page has no id
 FILES = "path string, n_records long, n_bytes long"
 RECORDS = "record_id string, page_id long, record_type string, target_uri string, refers_to long, payload_bytes long, payload_digest string, payload binary"
 
 
-def record(page_id: int, url: str, payload: bytes, size: int, sha1: bytes, refers_to: int | None) -> bytes:
+def record(page_id: int | None, url: str, payload: bytes, size: int, sha1: bytes, refers_to: int | None) -> bytes:
     """One gzip member. A revisit keeps the HTTP header and leaves the payload to the record it refers to."""
     http = HTTP % size
+    name = f"{URN}{page_id}" if page_id is not None else NAMELESS + hashlib.sha1(url.encode() + b" " + sha1).hexdigest()
     block = http if refers_to is not None else http + payload
     fields = [
         ("WARC-Type", "response" if refers_to is None else "revisit"),
-        ("WARC-Record-ID", f"<{URN}{page_id}>"),
+        ("WARC-Record-ID", f"<{name}>"),
         ("WARC-Date", "1970-01-01T00:00:00Z"),
         ("WARC-Target-URI", re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url)),
         ("WARC-Payload-Digest", "sha1:" + base64.b32encode(sha1).decode()),
@@ -55,8 +57,8 @@ def write_warc(pages: DataFrame, root: str, least: int = LEAST_REVISIT) -> DataF
     """Writes a record per row of `pages` (page_id, url, html) under `root`; returns the table of the files.
 
     A null html or url is empty. Of rows with equal payloads of at least `least` bytes, the one with the largest `page_id`
-    is a response and the others are revisits of it; all smaller ones are responses. A row without `page_id` is an error,
-    as its record could not be named; rows that repeat a `page_id` are written each, and each is a response or revisit by its own
+    is a response and the others are revisits of it; all smaller ones are responses. A row without `page_id` is a
+    response, named by a digest of its url and payload, and no other row refers to it; rows that repeat a `page_id` are written each, and each is a response or revisit by its own
     payload, as revisits are joined back by `page_id` and digests. An empty table writes no file.
 
     Revisits are found by digests (SHA-1 and SHA-256 at once), counted per task before they are moved. Payloads are moved only
@@ -64,11 +66,11 @@ def write_warc(pages: DataFrame, root: str, least: int = LEAST_REVISIT) -> DataF
     its own, and the table (path, n_records, n_bytes) names those of the attempts that counted.
     """
     payload = F.coalesce("html", F.lit("")).cast("binary")
-    page_id = F.coalesce("page_id", F.raise_error(F.lit("a page has no page_id")).cast("long"))
-    rows = pages.select(page_id.alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), payload.alias("payload"))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), payload.alias("payload"))
     rows = rows.withColumn("sha1", F.unhex(F.sha1("payload"))).withColumn("sha2", F.unhex(F.sha2("payload", 256)))
     own = ["page_id", "sha1", "sha2"]
-    digests = written(rows.where(F.octet_length("payload") >= least).select(*own), "digests")
+    large = (F.octet_length("payload") >= least) & F.col("page_id").isNotNull()
+    digests = written(rows.where(large).select(*own), "digests")
     copies = digests.groupBy("sha1", "sha2").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n"))
     copies = copies.where("n > 1").drop("n")
     revisits = digests.join(copies, ["sha1", "sha2"]).where("page_id <> refers_to").select(*own, "refers_to").distinct()
@@ -156,7 +158,8 @@ def row_of(fields: dict[str, str], block: bytes) -> dict:
         return base64.b32decode(fields[name].removeprefix("sha1:"))
 
     def page(name: str) -> int | None:
-        return int(fields[name].strip("<>").removeprefix(URN)) if name in fields else None
+        value = fields.get(name, "").strip("<>")
+        return int(value.removeprefix(URN)) if value.startswith(URN) else None
 
     if hashlib.sha1(block).digest() != digest("warc-block-digest"):
         raise ValueError(f"block of {fields['warc-record-id']} is damaged")

@@ -218,8 +218,13 @@ def test_warc(spark, tmp_path):
 def test_warc_edges(spark, tmp_path):
     files = write_warc(pages(spark, []), str(tmp_path))
     assert files.count() == 0 and read_warc(files, str(tmp_path)).count() == 0
-    with pytest.raises(Exception, match="no page_id"):
-        write_warc(pages(spark, [(None, "u", "x")]), str(tmp_path)).collect()
+    same = "x" * 2000
+    some = pages(spark, [(None, "u", same), (None, None, None), (None, "u", same), (4, "u", same), (7, "v", same)])
+    got = read_warc(write_warc(some, str(tmp_path / "no-ids")), str(tmp_path / "no-ids")).collect()
+    assert sorted(((r.page_id, r.record_type, r.refers_to, r.payload_bytes) for r in got), key=repr) == sorted(
+        [(None, "response", None, 2000)] * 2 + [(None, "response", None, 0), (4, "revisit", 7, 2000), (7, "response", None, 2000)], key=repr
+    )
+    assert len({r.record_id for r in got}) == 4 and sum(r.record_id.startswith("<urn:sha1:") for r in got) == 3
     twice = read_warc(write_warc(pages(spark, [(1, "u", "x" * 2000)] * 2), str(tmp_path)), str(tmp_path))
     assert [r.record_type for r in twice.collect()] == ["response", "response"]
 
