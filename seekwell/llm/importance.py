@@ -155,11 +155,12 @@ def frequent_words(
     longest: int = LONGEST,
     cut: Callable[[str], list[bytes]] = words_of,
 ) -> list[bytes]:
-    """Up to `known` words of at most `longest` bytes that are frequent in all of `texts`; `cut` gives a text's words.
+    """At most `known` words of at most `longest` bytes that are frequent in all of `texts`; `cut` gives a text's words.
 
     Every task reads all its words into a summary that keeps at most `summary` of them: when there are twice as many, the
     count of the first one that must go is taken off all (Misra and Gries 1982), which leaves no frequent word out. Summaries are added
-    up by word; nothing else is shuffled.
+    up by word; nothing else is shuffled. Words are taken by bands of counts, an eighth of a power of two each, as long as whole
+    bands fit, so that the driver gets `known` words at most, however many tasks there are.
     """
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,7 +179,17 @@ def frequent_words(
             )
 
     sums = texts.select(text).mapInArrow(counted, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [bytes(row.word) for row in sums.where("n > 1").orderBy(F.desc("n"), "word").limit(known).collect()]
+    sums = written(sums.where("n > 1").withColumn("band", F.floor(8 * F.log2("n"))), "words")
+    room, least = known, None
+    for row in sums.groupBy("band").count().orderBy(F.desc("band")).collect():  # 512 bands at most
+        room -= row["count"]
+        if room < 0:
+            break
+        least = row.band
+    if least is None:
+        return []
+    found = sums.where(F.col("band") >= least).select("n", "word").collect()
+    return [bytes(row.word) for row in sorted(found, key=lambda row: (-row.n, row.word))]
 
 
 def _dictionary(words) -> Dictionary:
