@@ -6,6 +6,7 @@ import sys
 import types
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 from typing import Any, TypeVar
 
 import pyarrow as pa
@@ -64,7 +65,8 @@ def fresh_folder(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4()}"
 
 
-_TEMPORARY: list[list[tuple[DataFrame, str]]] = []  # of each `temporary` block that is running: the tables written in it
+# the tables written in the innermost `temporary` block of this thread
+_TEMPORARY: ContextVar[list[tuple[DataFrame, str]] | None] = ContextVar("temporary", default=None)
 
 
 def written(df: DataFrame, what: str) -> DataFrame:
@@ -72,8 +74,8 @@ def written(df: DataFrame, what: str) -> DataFrame:
     path = fresh_folder(df.sparkSession, what)
     df.write.parquet(path)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
-    if _TEMPORARY:
-        _TEMPORARY[-1].append((table, path))
+    if (tables := _TEMPORARY.get()) is not None:
+        tables.append((table, path))
     return table
 
 
@@ -90,11 +92,11 @@ def temporary(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]
         kept.append(table)
         return table
 
-    _TEMPORARY.append(tables)
+    outer = _TEMPORARY.set(tables)
     try:
         yield keep
     finally:
-        _TEMPORARY.pop()
+        _TEMPORARY.reset(outer)
         jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
         for table, name in tables:
             if not any(table is k for k in kept):
