@@ -25,6 +25,7 @@ SEED = 42
 SEGMENT = 4  # bits; a count takes as much room as its bits
 CROWDED = 256
 CHUNK = 1 << 16
+PIECE = 255  # hashes whose bits are counted in one byte each
 
 
 def fingerprint_of(text: bytes, words: int) -> int:
@@ -46,6 +47,37 @@ def fingerprint_of(text: bytes, words: int) -> int:
     return int.from_bytes(np.packbits(ones * 2 > n).tobytes(), "big", signed=True)
 
 
+def _mixed(hashes: np.ndarray, number: int) -> np.ndarray:
+    """64 more bits of each hash (the finaliser of splitmix64)."""
+    z = hashes + np.uint64((number + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
+def wide_simhash(sets: list[np.ndarray], n_words: int) -> np.ndarray:
+    """Fingerprints of 64 * `n_words` bits, a row of booleans per set of 64-bit hashes, none of them empty.
+
+    A bit is the majority of that bit over the set, each hash mixed anew for every 64 bits. Where half of the set has it, the first hash
+    decides. Two sets at cosine c differ in about acos(c) / pi of their bits; sets of equal size and resemblance r have cosine 2r / (1 + r).
+    """
+    # eight counters of a byte each, side by side in 64 bits
+    counters = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64).ravel()
+    hashes, sizes = np.concatenate(sets), np.array([len(s) for s in sets])
+    starts = np.cumsum(sizes) - sizes
+    pieces = -(-sizes // PIECE)
+    first_piece = np.cumsum(pieces) - pieces
+    within = np.arange(pieces.sum()) - np.repeat(first_piece, pieces)
+    piece_starts = np.repeat(starts, pieces) + within * PIECE
+    out = np.empty((len(sets), 64 * n_words), bool)
+    for number in range(n_words):
+        bits = counters[_mixed(hashes, number).view(np.uint8).reshape(-1, 8)]
+        counted = np.add.reduceat(bits, piece_starts, axis=0).view(np.uint8)
+        ones = np.add.reduceat(counted, first_piece, axis=0, dtype=np.int64)
+        out[:, 64 * number : 64 * (number + 1)] = 2 * ones + bits[starts].view(np.uint8) > sizes[:, None]
+    return out
+
+
 def simhash(docs: DataFrame, text: str = "text", out: str = "fingerprint", words: int = 3) -> DataFrame:
     """`docs` with the 64-bit SimHash of each whole `text` in column `out` (long; its bits are the fingerprint).
 

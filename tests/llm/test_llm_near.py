@@ -10,6 +10,7 @@ from llm_cases import clashing, frame, long_text
 from seekwell.llm import near_texts
 from seekwell.llm.common import fresh_folder, temporary, written
 from seekwell.llm.near_texts import near_text_components, shared_counts, shingles_of
+from seekwell.llm.simhash import _mixed, wide_simhash
 from seekwell.session import shared_dir
 
 
@@ -95,3 +96,51 @@ def test_temporary_tables_are_removed(spark):
     assert fresh_folder(spark, "x") != fresh_folder(spark, "x")
     near_text_components(frame(spark, [(1, "a b c d e f"), (2, "a b c d e f"), (3, "x")])).collect()
     assert {name.split("-")[0] for name in there() - before} <= {"kept", "facts", "node", "edges", "star", "least"}
+
+
+def test_wide_fingerprints_are_majorities():
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64)) for n in (1, 2, 5, 40, 255, 256, 700)]
+    got = wide_simhash(sets, 3)
+    assert got.shape == (7, 192)
+    for bits, s in zip(got, sets):
+        for word in range(3):
+            of_each = np.unpackbits(_mixed(s, word).view(np.uint8).reshape(-1, 8), axis=1).astype(int)
+            votes = 2 * of_each.sum(axis=0) - len(s)
+            want = np.where(votes == 0, of_each[0], votes > 0).reshape(8, 8)
+            assert bits[64 * word : 64 * (word + 1)].reshape(8, 8).tolist() == want.astype(bool).tolist()
+
+
+@pytest.mark.parametrize(("size", "recall"), [(18, 0.98), (180, 0.995)])
+def test_simhash_candidates_meet_at_the_bound(size, recall):
+    """Pairs of sets at a resemblance of 0.8 agree in a band and are near; unlike ones hardly ever."""
+    rng = np.random.default_rng(size)
+    n, shared, met, unlike = 400, size * 8 // 9, 0, 0
+    all_ = rng.integers(0, 1 << 63, (n, 2 * size - shared)).astype(np.uint64)
+    a, b = (wide_simhash([np.unique(s) for s in part], near_texts.WORDS) for part in (all_[:, :size], all_[:, size - shared :]))
+    for first, second in zip(a, b):
+        near = (first[:128] != second[:128]).sum() <= near_texts.FILTER_BITS
+        met += near and bool((near_texts.band_keys(first[None]) == near_texts.band_keys(second[None])).any())
+    for first, second in zip(a, np.roll(b, 1, axis=0)):
+        unlike += (first[:128] != second[:128]).sum() <= near_texts.FILTER_BITS
+    assert met >= recall * n and unlike <= 2
+
+
+@pytest.mark.parametrize(("looped", "pairs"), [(4096, 1 << 20), (4, 1 << 20), (4096, 10), (4, 10)])
+def test_near_rows_are_components_within_a_key(monkeypatch, looped, pairs):
+    monkeypatch.setattr(near_texts, "LOOPED", looped)
+    monkeypatch.setattr(near_texts, "PAIRS", pairs)
+    rng = np.random.default_rng(1)
+    middles = rng.integers(0, 1 << 63, (6, 2)).astype(np.uint64)
+    prints = middles[rng.integers(0, 6, 90)]
+    for _ in range(20):  # up to 20 bits of each are turned, so that some pairs of a middle are near by a chain only
+        prints[:, 0] ^= np.uint64(1) << rng.integers(0, 64, 90).astype(np.uint64)
+    key = np.sort(rng.integers(0, 8, 90))
+    row, first = near_texts.near_rows(key, prints[:, 0], prints[:, 1])
+    got = np.arange(90)
+    got[row] = first
+    want = np.arange(90)
+    near = (np.bitwise_count(prints[:, None] ^ prints[None]).sum(axis=2) <= near_texts.FILTER_BITS) & (key[:, None] == key[None])
+    for _ in range(90):
+        want = np.array([want[n].min() for n in near])
+    assert got.tolist() == want.tolist() and 8 < len(set(want)) < 80
