@@ -19,12 +19,13 @@ from pyspark.sql import functions as F
 
 from seekwell.operators.best import SCORE_DIGITS
 from seekwell.operators.joins import join_facts
-from seekwell.operators.vectors import _directions, _pack, _unpack
+from seekwell.operators.vectors import SLICE_CELLS, _blur, _directions, _exact, _pack, _unpack
 from seekwell.session import durable, written
 
 PIVOTS = 16
 SLACK = 2e-6  # of angles: for scores rounded to 6 digits, and for the rounding of angles
 LEAST_RING = 0.02
+BLOCK_ROWS = 16384
 PLACED = "vec_id long, n long, vec binary, home int, away double"
 VISITS = "vec_id long, n long, vec binary, cell int, ring int, at_home boolean"
 
@@ -81,48 +82,61 @@ def _visit(pivots: np.ndarray, radius: np.ndarray, limit: float, ring: float):
 
 
 def _cells(visits: DataFrame, reach: int, block_rows: int) -> tuple[DataFrame, DataFrame]:
-    """Visits copied to pairs of blocks (cell, low, high), and the blocks of each ring."""
-    rings = visits.groupBy("cell", "ring").agg(F.count("*").alias("rows"))
+    """Visits copied to pairs of blocks (cell, low, high), and the blocks of each ring. Blocks are of vectors at home or of visitors;
+    two blocks of visitors are no pair, as theirs are compared elsewhere."""
+    rings = visits.groupBy("cell", "ring", "at_home").agg(F.count("*").alias("rows"))
     rings = rings.withColumn("blocks", F.ceil(F.col("rows") / block_rows).cast("long"))
     rings = durable(rings)  # pivots x rings rows, whatever the number of vectors
-    code = lambda ring, block: ring.cast("long") * F.lit(1 << 32) + block
-    near = rings.alias("o").join(
-        F.broadcast(rings.select("cell", F.col("ring").alias("to_ring"), F.col("blocks").alias("to_blocks"))), "cell"
-    )
-    near = near.where(F.abs(F.col("ring") - F.col("to_ring")) <= reach)
-    partners = F.flatten(
-        F.collect_list(F.transform(F.sequence(F.lit(0).cast("long"), F.col("to_blocks") - 1), lambda i: code(F.col("to_ring"), i)))
-    )
-    near = near.groupBy("cell", "ring", "blocks").agg(partners.alias("partners"))
-    own = code(F.col("ring"), F.pmod(F.xxhash64("vec_id"), F.col("blocks")))
-    copied = visits.join(F.broadcast(near), ["cell", "ring"]).select("*", own.alias("own"), F.explode("partners").alias("other"))
+    code = lambda ring, at_home, block: (ring.cast("long") * 2 + at_home.cast("long")) * F.lit(1 << 32) + block
+    to = rings.select("cell", F.col("ring").alias("to_ring"), F.col("at_home").alias("to_home"), F.col("blocks").alias("to_blocks"))
+    near = rings.join(F.broadcast(to), "cell")
+    near = near.where((F.abs(F.col("ring") - F.col("to_ring")) <= reach) & (F.col("at_home") | F.col("to_home")))
+    numbers = F.sequence(F.lit(0).cast("long"), F.col("to_blocks") - 1)
+    partners = F.flatten(F.collect_list(F.transform(numbers, lambda i: code(F.col("to_ring"), F.col("to_home"), i))))
+    near = near.groupBy("cell", "ring", "at_home", "blocks").agg(partners.alias("partners"))
+    own = code(F.col("ring"), F.col("at_home"), F.pmod(F.xxhash64("vec_id"), F.col("blocks")))
+    copied = visits.join(F.broadcast(near), ["cell", "ring", "at_home"]).select("*", own.alias("own"), F.explode("partners").alias("other"))
     return copied.select(
         "cell", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"),
-        (F.col("own") <= F.col("other")).alias("in_low"), "vec_id", "n", "vec", "at_home",
+        (F.col("own") <= F.col("other")).alias("in_low"), "vec_id", "n", "vec",
     ), rings
 
 
-def _matches(rows: pa.Table, threshold: float):
-    """(positions, positions, match matrix) of the two blocks of a cell; a block of its own with itself, less the diagonal."""
-    in_low = rows["in_low"].to_numpy(zero_copy_only=False)
-    a = np.flatnonzero(in_low)
-    b = a if rows["low"][0].as_py() == rows["high"][0].as_py() else np.flatnonzero(~in_low)
-    vectors, at_home = _directions(_unpack(rows["vec"])), rows["at_home"].to_numpy(zero_copy_only=False)
-    match = np.round(vectors[a] @ vectors[b].T, SCORE_DIGITS) >= threshold
-    match &= at_home[a][:, None] | at_home[b][None, :]  # two visitors are compared elsewhere
-    if b is a:
-        np.fill_diagonal(match, False)
-    return a, b, match
+def _matches(a: np.ndarray, b: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(positions in a, positions in b) of pairs that reach the threshold, some rows of `a` at a time.
+
+    Pairs are scored in single precision, and once more in double where that leaves a doubt.
+    """
+    doubt = _blur(a.shape[1]) + 2 * 10.0**-SCORE_DIGITS
+    others, step = b.astype(np.float32).T, max(1, SLICE_CELLS // max(1, len(b)))
+    for start in range(0, len(a), step):
+        scores = (a[start : start + step].astype(np.float32) @ others).ravel()
+        at = np.flatnonzero(scores >= threshold - doubt)
+        x, y = np.divmod(at, len(b))
+        x += start
+        sure = scores[at] >= threshold + doubt
+        unsure = np.flatnonzero(~sure)
+        sure[unsure] = np.round(_exact(a, b, x[unsure], y[unsure]), SCORE_DIGITS) >= threshold
+        yield x[sure], y[sure]
 
 
 def _count(threshold: float):
     def run(rows: pa.Table) -> pa.Table:
-        a, b, match = _matches(rows, threshold)
         ids, n = rows["vec_id"].to_numpy(), rows["n"].to_numpy()
+        in_low = rows["in_low"].to_numpy(zero_copy_only=False)
+        one_block = rows["low"][0].as_py() == rows["high"][0].as_py()
+        a = np.flatnonzero(in_low)
+        b = a if one_block else np.flatnonzero(~in_low)
+        vectors = _directions(_unpack(rows["vec"]))
         links = np.zeros(len(ids), np.int64)
-        links[a] += match @ n[b]
-        if b is not a:
-            links[b] += match.T @ n[a]
+        for x, y in _matches(vectors[a], vectors[b], threshold):
+            x, y = a[x], b[y]
+            if one_block:  # a vector is no link of itself
+                x, y = x[x != y], y[x != y]
+            # sums of numbers of rows are exact in doubles
+            links += np.bincount(x, weights=n[y], minlength=len(ids)).astype(np.int64)
+            if not one_block:
+                links += np.bincount(y, weights=n[x], minlength=len(ids)).astype(np.int64)
         met = np.flatnonzero(links)
         return pa.table({"vec_id": ids[met], "links": links[met]})
 
@@ -153,7 +167,7 @@ def _placed(distinct: DataFrame, threshold: float, pivots: int, block_rows: int)
     return _cells(visits, min(ceil(limit / ring), ceil(pi / ring)), block_rows)
 
 
-def vector_join(vectors: DataFrame, threshold: float, pivots: int = PIVOTS, block_rows: int = 2048) -> DataFrame:
+def vector_join(vectors: DataFrame, threshold: float, pivots: int = PIVOTS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(vec_id, class_id, links): of every vector, the least id of those equal to it, and how many others lie within the threshold.
 
     A link is another row whose cosine, rounded to 6 digits, is at least `threshold` (above 0, at most 1); copies of a vector are links of each
@@ -175,7 +189,7 @@ def vector_join(vectors: DataFrame, threshold: float, pivots: int = PIVOTS, bloc
     return join_facts(rows, durable(facts), "vec", "n", F.col("vec_id")).select("vec_id", "class_id", "links")
 
 
-def vector_join_work(vectors: DataFrame, threshold: float, pivots: int = PIVOTS, block_rows: int = 2048) -> dict[str, int]:
+def vector_join_work(vectors: DataFrame, threshold: float, pivots: int = PIVOTS, block_rows: int = BLOCK_ROWS) -> dict[str, int]:
     """What the join does, before it is done: distinct vectors, places that they take, comparisons, and all pairs there are."""
     _, distinct = _classes(vectors)
     total = distinct.count()

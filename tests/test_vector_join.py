@@ -65,3 +65,12 @@ def test_work_is_spared_where_vectors_lie_in_groups(spark):
     assert work["comparisons"] < 0.4 * work["pairs"] and work["vectors"] <= work["places"] <= 16 * work["vectors"]
     even = spark.createDataFrame(clustered(600, 16, 1, 50.0), COLUMNS)
     assert vector_join_work(even, 0.2)["comparisons"] >= 0.9 * work["pairs"]
+
+
+def test_visitors_are_not_compared_with_each_other(spark):
+    """Vectors that lie evenly are all compared, but each pair once, however many pivots both visit."""
+    rng = np.random.default_rng(6)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(700, 24)))], COLUMNS)
+    work = vector_join_work(frame, 0.2, block_rows=64)
+    assert work["places"] > 6 * work["vectors"]
+    assert work["comparisons"] <= work["pairs"]
