@@ -46,16 +46,23 @@ class BestRows:
             least = np.partition(scores, cut, axis=1)[:, cut]
             near &= scores >= (least - APART)[:, None]
         query, row = np.divmod(np.flatnonzero(near), n)
-        score = np.round(scores[query, row], SCORE_DIGITS)
+        self.offer_pairs(rows, query, row, scores[query, row], None if other is None else other[query, row])
+
+    def offer_pairs(
+        self, rows: pa.Table, query: np.ndarray, row: np.ndarray, scores: np.ndarray, other: np.ndarray | None = None
+    ) -> None:
+        """The same for some pairs: of `rows`, number `row` scores `scores` for `query`, and `other` goes along."""
+        score = np.round(scores, SCORE_DIGITS)
         stay = (score > -np.inf) & ((score > self.bar[query]) | self._ties_ahead(rows, query, row, score))
         query, row, score = query[stay], row[stay], score[stay]
         if not len(query):
             return
+        other = None if other is None else other[stay]
         picked = rows.take(pa.array(row))
         picked = picked.append_column("query", pa.array(query))
         picked = picked.append_column("score", pa.array(score))
         if other is not None:
-            picked = picked.append_column("other", pa.array(np.round(other[query, row], SCORE_DIGITS)))
+            picked = picked.append_column("other", pa.array(np.round(other, SCORE_DIGITS)))
         self.kept.append(picked)
         self.pending += len(query)
         if self.pending > self.max_pending:

@@ -17,12 +17,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seekwell.functions import sign_planes
-from seekwell.operators.best import BestRows, merge_best
+from seekwell.operators.best import APART, BestRows, merge_best
 from seekwell.operators.joins import join_facts
-from seekwell.operators.queries import MAX_BLOCK_BYTES, query_blocks
+from seekwell.operators.queries import query_blocks
 from seekwell.session import durable
 
-SLICE_CELLS = 1 << 21
+SLICE_CELLS = 1 << 21  # scores that are held at once
+TILE_ROWS = 1024
+KNN_BLOCK_BYTES = 8 << 20  # of queries that one task ranks, so that its time grows with its share of the vectors only
+PAIRS = 1 << 15  # pairs that are scored exactly at once
+PLACED_ROWS = 1024
+PLACED_BANDS = 16
 MAX_BROADCAST_BUCKETS = 1 << 20
 FOUND = "neighbour long, cost long, score double, query long"
 
@@ -52,6 +57,64 @@ def _cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a @ b.T
 
 
+def _blur(dim: int) -> float:
+    """More than single precision can change the inner product of two directions."""
+    return (dim + 16) * 2.0**-23
+
+
+def _exact(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The inner products of rows x of `a` with rows y of `b`, a bounded number of them at a time."""
+    parts = (slice(i, i + PAIRS) for i in range(0, len(x), PAIRS))
+    return np.concatenate([np.zeros(0), *(np.einsum("ij,ij->i", a[x[p]], b[y[p]]) for p in parts)])
+
+
+def _offer(best: list[BestRows], queries: np.ndarray, rows: pa.Table, items: np.ndarray, omit: tuple[np.ndarray, np.ndarray]) -> None:
+    """Offer `rows`, with directions `items`, to all queries, a `BestRows` per `TILE_ROWS` of them; `omit` are pairs that do not count.
+
+    All pairs are scored in single precision, by tiles, and those that may be among the best once more in double.
+    """
+    if queries.shape[1] != items.shape[1] and len(queries) and len(items):
+        raise ValueError("vectors of different lengths")
+    blur, order = _blur(items.shape[1]), np.argsort(omit[0], kind="stable")
+    omitted, omitted_rows = omit[0][order], omit[1][order]
+    step = max(1, SLICE_CELLS // TILE_ROWS)
+    parts = [(first, items[first : first + step].astype(np.float32)) for first in range(0, len(items), step)]
+    for number, tile in enumerate(best):
+        start = number * TILE_ROWS
+        mine = queries[start : start + TILE_ROWS]
+        single = mine.astype(np.float32)
+        low, high = np.searchsorted(omitted, [start, start + len(mine)])
+        for first, part in parts:
+            scores = single @ part.T
+            own = slice(low, high)
+            inside = (omitted_rows[own] >= first) & (omitted_rows[own] < first + len(part))
+            scores[omitted[own][inside] - start, omitted_rows[own][inside] - first] = -np.inf
+            # cosines are at least -1, and what is left out stays below
+            bar = np.maximum(tile.bar - APART - blur, -2).astype(np.float32) - np.float32(2.0**-23)
+            near = scores >= bar[:, None]
+            if len(part) > tile.budget and np.count_nonzero(near) > 2 * len(mine) * tile.budget:
+                least = np.partition(scores, len(part) - tile.budget, axis=1)[:, len(part) - tile.budget]
+                near &= scores >= (least - np.float32(APART + 2 * blur))[:, None]
+            query, row = np.divmod(np.flatnonzero(near), len(part))
+            if len(query):
+                row += first
+                tile.offer_pairs(rows, query, row, _exact(mine, items, query, row))
+
+
+def _tiles(n_queries: int, budget: int) -> list[BestRows]:
+    """A `BestRows` for each `TILE_ROWS` of the queries."""
+    return [BestRows(min(TILE_ROWS, n_queries - start), budget, ["neighbour"]) for start in range(0, n_queries, TILE_ROWS)]
+
+
+def _found(best: list[BestRows], ids: np.ndarray) -> Iterator[pa.Table]:
+    """What the tiles keep, with the ids of the queries in place of their numbers."""
+    for number, tile in enumerate(best):
+        found = tile.result()
+        if found is not None:
+            query = pa.array(ids[number * TILE_ROWS + found["query"].to_numpy()])
+            yield found.drop_columns(["query"]).append_column("query", query)
+
+
 def _equal(ids: np.ndarray, order: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Positions (in ids, in others) of equal values; `order` sorts `ids`."""
     first = np.searchsorted(ids, others, side="left", sorter=order)
@@ -64,21 +127,14 @@ def _scan(block, budget: int, exclude_self: bool):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, matrix = block.value
         order = np.argsort(ids, kind="stable")
-        best = BestRows(len(ids), budget, ["neighbour"])
-        step = max(1, SLICE_CELLS // max(1, len(ids)))
+        best = _tiles(len(ids), budget)
+        none = np.zeros(0, dtype=np.int64)
         for batch in batches:
             rows = pa.Table.from_batches([batch])
-            for start in range(0, rows.num_rows, step):
-                part = rows.slice(start, step)
-                scores = _cosines(matrix, _directions(_matrix(part["embedding"])))
-                if exclude_self:
-                    query, row = _equal(ids, order, part["neighbour"].to_numpy())
-                    scores[query, row] = -np.inf
-                best.offer(part.drop_columns(["embedding"]), scores)
-        found = best.result()
-        if found is not None:
-            query = pa.array(ids[found["query"].to_numpy()])
-            found = found.drop_columns(["query"]).append_column("query", query)
+            if rows.num_rows:
+                omit = _equal(ids, order, rows["neighbour"].to_numpy()) if exclude_self else (none, none)
+                _offer(best, matrix, rows.drop_columns(["embedding"]), _directions(_matrix(rows["embedding"])), omit)
+        for found in _found(best, ids):
             yield from found.combine_chunks().to_batches()
 
     return run
@@ -88,14 +144,14 @@ def knn_topk(
     queries: DataFrame,
     vectors: DataFrame,
     k: int = 10,
-    max_block_bytes: int = MAX_BLOCK_BYTES,
+    max_block_bytes: int = KNN_BLOCK_BYTES,
     exclude_self: bool | None = None,
 ) -> DataFrame:
     """query, rank, neighbour, score: the exact k nearest by cosine.
 
     `exclude_self` leaves out the vector whose id is the query's: say so where the queries
     are some of the vectors. By default it is on only if both are the same DataFrame.
-    Work is queries x vectors, as exactness asks; what leaves a task is k rows
+    Work is queries x vectors, as exactness asks, in single precision first; what leaves a task is k rows
     per query. For all vectors against all, `knn_lsh` is the way at scale.
     """
     spark = vectors.sparkSession
@@ -139,26 +195,34 @@ def _unpack(column: pa.ChunkedArray) -> np.ndarray:
 def _hasher(dim: int, bits: int, bands: int):
     """Bucket numbers of a batch: vectors x bands, the band in the high bits."""
     planes = sign_planes(bits * bands, dim)
-    place = 1 << np.arange(bits, dtype=np.int64)
+    place = 2.0 ** np.arange(bits)
     base = np.arange(bands, dtype=np.int64) << bits
 
     def buckets(column: pa.ChunkedArray) -> np.ndarray:
         above = _cosines(_unpack(column), planes) > 0
-        return above.reshape(-1, bands, bits) @ place + base
+        return (above.reshape(-1, bands, bits) @ place).astype(np.int64) + base
 
     return buckets
 
 
+def _slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows some at a time, so that the sides of all their planes are few megabytes whatever a batch holds."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, PLACED_ROWS):
+            yield pa.Table.from_batches([batch.slice(start, PLACED_ROWS)])
+
+
 def _place(dim: int, bits: int, bands: int):
     """The task that puts each vector under its bucket of every band."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         buckets = _hasher(dim, bits, bands)
-        for batch in batches:
-            rows = pa.Table.from_batches([batch])
-            if rows.num_rows:
-                for keys in buckets(rows["vec"]).T:
-                    yield from rows.append_column("bucket", pa.array(keys)).to_batches()
+        for rows in _slices(batches):
+            keys = buckets(rows["vec"]).T
+            for start in range(0, bands, PLACED_BANDS):
+                some = keys[start : start + PLACED_BANDS]
+                copied = rows.take(pa.array(np.tile(np.arange(rows.num_rows), len(some))))
+                yield from copied.append_column("bucket", pa.array(some.ravel())).combine_chunks().to_batches()
 
     return run
 
@@ -168,10 +232,9 @@ def _count(dim: int, bits: int, bands: int):
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         buckets = _hasher(dim, bits, bands)
-        for batch in batches:
-            if batch.num_rows:
-                keys, n = np.unique(buckets(pa.Table.from_batches([batch])["vec"]), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], ["bucket", "n"])
+        for rows in _slices(batches):
+            keys, n = np.unique(buckets(rows["vec"]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], ["bucket", "n"])
 
     return run
 
@@ -181,17 +244,15 @@ def _cell(k: int):
 
     def one_way(a: pa.Table, b: pa.Table) -> Iterator[pa.Table]:
         ids, others = a["vec_id"].to_numpy(), b["vec_id"].to_numpy()
-        scores = _cosines(_directions(_unpack(a["vec"])), _directions(_unpack(b["vec"])))
         # a vector meets itself only where it stands for copies
         alone = pc.list_value_length(a["ids"]).to_numpy() == 1
-        scores[(ids[:, None] == others[None, :]) & alone[:, None]] = -np.inf
+        query, row = _equal(ids, np.argsort(ids, kind="stable"), others)
+        omit = query[alone[query]], row[alone[query]]
         rows = pa.table({"neighbour": others, "ids": b["ids"], "cost": np.ones(len(others), dtype=np.int64)})
-        best = BestRows(len(ids), k, ["neighbour"])
-        best.offer(rows, scores)
-        found = best.result()
-        if found is not None:
-            query = pa.array(ids[found["query"].to_numpy()])
-            yield found.select(["neighbour", "ids", "score"]).append_column("query", query)
+        best = _tiles(len(ids), k)
+        _offer(best, _directions(_unpack(a["vec"])), rows, _directions(_unpack(b["vec"])), omit)
+        for found in _found(best, ids):
+            yield found.select(["neighbour", "ids", "score", "query"])
 
     def run(rows: pa.Table) -> pa.Table:
         left = pc.equal(rows["block"], rows["cell_i"])

@@ -1,4 +1,8 @@
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 from seekwell.functions import sign_planes
@@ -177,3 +181,54 @@ def test_recall_is_what_the_hyperplanes_promise(spark):
     assert recall >= 0.9
     near = 1 - np.arccos(0.8) / np.pi
     assert 1 - (1 - near**BITS) ** BANDS > 0.999
+
+
+def test_hashing_holds_few_sides_of_planes_at_once():
+    """A batch is hashed in slices: all its sides of 2,304 planes at once were 150 MB of doubles, and as much again as integers."""
+    m = unit(np.random.default_rng(2), 8_000, 64)
+    vec = pa.array([row.tobytes() for row in m], pa.binary())
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(8_000)), vec], ["vec_id", "vec"])
+    tracemalloc.start()
+    placed = sum(out.num_rows for out in vectors._place(64, 9, 256)([batch]))
+    counted = sum(pc.sum(out["n"]).as_py() for out in vectors._count(64, 9, 256)([batch]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert placed == counted == 8_000 * 256
+    assert peak < 100 << 20
+
+
+@pytest.mark.parametrize(("tile", "cells"), [(1024, 1 << 21), (7, 70)])
+def test_tiles_rank_what_single_precision_cannot_tell_apart(monkeypatch, tile, cells):
+    monkeypatch.setattr(vectors, "TILE_ROWS", tile)
+    monkeypatch.setattr(vectors, "SLICE_CELLS", cells)
+    rng = np.random.default_rng(4)
+    m = unit(rng, 60, 64)[rng.integers(0, 6, 60)].astype(np.float64) + rng.normal(size=(60, 64)) * 1e-6
+    m = vectors._directions(m)
+    ids = rng.permutation(1000)[:60]
+    best = vectors._tiles(60, 5)
+    rows = pa.table({"neighbour": ids, "cost": np.ones(60, dtype=np.int64)})
+    for start in range(0, 60, 25):
+        own = np.arange(start, min(start + 25, 60))
+        vectors._offer(best, m, rows.slice(start, 25), m[own], (own, own - start))
+    got = {(q, n): s for t in vectors._found(best, ids) for q, n, s in zip(*(t[c].to_pylist() for c in ("query", "neighbour", "score")))}
+    scores = np.round(m @ m.T, 6)
+    want = {}
+    for a, q in enumerate(ids):
+        first = sorted((-scores[a, b], int(n)) for b, n in enumerate(ids) if n != q)[:5]
+        want |= {(int(q), n): -s for s, n in first}
+    assert got == want
+
+
+def test_queries_of_a_task_are_bounded(spark, copies, monkeypatch):
+    """All against all: the default block holds few queries, so that a task does not grow with them."""
+    sizes = []
+    blocks = vectors.query_blocks
+
+    def seen(queries, size, max_bytes):
+        sizes.append(max_bytes)
+        return blocks(queries, size, max_bytes)
+
+    monkeypatch.setattr(vectors, "query_blocks", seen)
+    df = frame(spark, *copies)
+    assert knn_topk(df, df, 2).count() == 480
+    assert sizes[0] // (64 * 8 + 16) < 20_000
