@@ -20,13 +20,17 @@ def postings(documents: DataFrame) -> DataFrame:
     )
 
 
-def dictionary(items: DataFrame, vocab: DataFrame | None = None) -> DataFrame:
+def dictionary(items: DataFrame, vocab: DataFrame | None = None, entries: DataFrame | None = None) -> DataFrame:
     """term, df, total_len: document frequencies in one scan.
 
     The row of the empty term counts all items and their words. With `vocab`, a
     table small enough to broadcast, only its terms are counted. Map tasks count
     first, so a term that every item holds is one row per task afterwards.
+    With `entries`, a stored index of just these items, those are counted in place
+    of words: the same rows, and no text is read.
     """
+    if entries is not None:
+        return _counted(items, vocab, entries)
     terms = (
         items.select(words(F.col("text")).alias("ws"))
         .select("ws", F.size("ws").alias("len"))
@@ -42,6 +46,15 @@ def dictionary(items: DataFrame, vocab: DataFrame | None = None) -> DataFrame:
     )
 
 
+def _counted(items: DataFrame, vocab: DataFrame | None, entries: DataFrame) -> DataFrame:
+    """The dictionary of `items` from their index, which has a row per item and term, and none for an item without words."""
+    terms = entries.groupBy("term").agg(F.count("*").alias("df")).withColumn("total_len", F.lit(None).cast("long"))
+    total = entries.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("total_len"))
+    whole = items.agg(F.count("*").alias("df")).where("df > 0").crossJoin(total)
+    found = terms.unionByName(whole.withColumn("term", F.lit("")))
+    return found if vocab is None else found.join(F.broadcast(vocab), "term", "left_semi")
+
+
 def with_df(entries: DataFrame, terms: DataFrame) -> DataFrame:
     """term, doc_id, tf, df, doc_len: each term's df next to its entries."""
     facts = terms.where(F.col("term") != "").select("term", "df")

@@ -167,7 +167,8 @@ def scan_better(shared, marks, methods: list[str]):
 
 
 def scan_entries(shared, methods: list[str], budget: int):
-    """The task over index entries, each document's together: the same scores, without its text."""
+    """The task over index entries, each document's together and terms by their number in the block: the same scores,
+    without its text."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q = QueryBlock(**shared.value)
@@ -175,9 +176,8 @@ def scan_entries(shared, methods: list[str], budget: int):
         step = q.slice_rows(len(methods))
 
         def score(rows: pa.Table) -> None:
-            vocab = pa.array(q.vocab, rows["term"].type)
             doc, item = np.unique(rows["doc_id"].to_numpy(), return_inverse=True)
-            term = pc.index_in(rows["term"], value_set=vocab).to_numpy().astype(np.int64)
+            term = rows["number"].to_numpy().astype(np.int64)
             # one order of adding up, whatever the order of arrival
             order = np.lexsort((term, item))
             item, term = item[order], term[order]

@@ -39,7 +39,7 @@ def _blocks(
     max_block_bytes: int,
     row_bytes: int = 0,
 ) -> Iterator[tuple[Broadcast, DataFrame]]:
-    """Broadcast blocks of queries with their weights, and the vocabulary of each.
+    """Broadcast blocks of queries with their weights, and the vocabulary of each (term, number in the block).
 
     `count` gives the dictionary rows of a vocabulary, which is no larger than
     its block; the empty term is in it. `row_bytes` is what else a query will take in its block.
@@ -50,7 +50,8 @@ def _blocks(
     for table in query_blocks(tokenized, size, max_block_bytes):
         block = QueryBlock.of(table)
         if block.vocab:
-            vocab = spark.createDataFrame(pa.table({"term": pa.array(["", *block.vocab], pa.string())}))
+            numbers = pa.array(range(-1, len(block.vocab)), pa.int32())
+            vocab = spark.createDataFrame(pa.table({"term": pa.array(["", *block.vocab], pa.string()), "number": numbers}))
             known = {r["term"]: (r["df"], r["total_len"]) for r in count(vocab).collect()}
             # plain values, which executors can read without this package
             yield spark.sparkContext.broadcast(vars(block.weighed(known, k1, b))), vocab
@@ -113,7 +114,8 @@ def rank_index(
     """The same ranking from a stored index and its dictionary; no text is read.
 
     Only entries of the queries' terms are shuffled, once, by document, so that
-    no term gathers them: query, method, rank, doc_id, score.
+    no term gathers them, and with the term's number in the block for the term:
+    query, method, rank, doc_id, score.
     """
     ids = [T.StructField("doc_id", T.LongType()), T.StructField("cost", T.LongType())]
     schema = T.StructType(ids + FOUND)
@@ -121,10 +123,10 @@ def rank_index(
     for block, vocab in _blocks(queries, _stored(stats), k1, b, max_block_bytes):
         wanted = (
             entries.select("doc_id", "term", "tf", "doc_len")
-            .join(F.broadcast(vocab), "term", "left_semi")
+            .join(F.broadcast(vocab), "term")
             .repartition("doc_id")
             .sortWithinPartitions("doc_id")
-            .select("doc_id", "term", "tf", "doc_len")
+            .select("doc_id", "number", "tf", "doc_len")
         )
         found.append(wanted.mapInArrow(scan_entries(block, list(methods), k), schema))
     best = _merged(found, schema, entries.sparkSession, ["doc_id"], k)

@@ -81,9 +81,10 @@ def dictionary(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def rank_index(spark: SparkSession, folder: str) -> DataFrame:
-    """BM25 from a stored index and its dictionary, which are written first."""
+    """BM25 from a stored index and its dictionary, which are written first. Texts are tokenized once, for the index."""
     docs = _documents(spark, folder)
-    entries, terms = written(op.inverted_index(docs), "index"), written(op.dictionary(docs), "terms")
+    entries = written(op.inverted_index(docs), "index")
+    terms = written(op.dictionary(docs, entries=entries), "terms")
     return op.rank_index(_questions(spark, folder), entries, terms).select("query", "rank", "doc_id", "score")
 
 

@@ -133,6 +133,26 @@ def test_index_gives_the_same_ranking(spark, queries, docs):
     assert rank_index(queries.limit(0), postings(docs), dictionary(docs)).count() == 0
 
 
+def test_dictionary_of_an_index_is_that_of_its_texts(spark, docs):
+    wordless = spark.createDataFrame([(1, ""), (2, None), (2, "!")], "doc_id long, text string")
+    vocab = spark.createDataFrame([("",), ("cat",), ("nowhere",)], "term string")
+    for items in (docs, docs.unionAll(docs.limit(3)), wordless, docs.limit(0)):
+        for some in (None, vocab, vocab.where("term = 'cat'")):
+            want, got = dictionary(items, some), dictionary(items, some, inverted_index(items))
+            assert got.schema.names == want.schema.names
+            assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    plan = dictionary(docs, entries=inverted_index(docs))._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" not in plan  # no text is tokenized again
+
+
+def test_index_is_shuffled_without_its_terms(spark, queries, docs, monkeypatch):
+    scanned = []
+    plain = type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda df, *a: scanned.append(df.dtypes) or plain(df, *a))
+    rank_index(queries, postings(docs), dictionary(docs)).count()
+    assert [dict(d) for d in scanned if "tf" in dict(d)] == [{"doc_id": "bigint", "number": "int", "tf": "bigint", "doc_len": "bigint"}]
+
+
 def test_no_queries_or_no_documents(queries, docs):
     assert bm25_topk(queries.limit(0), docs).count() == 0
     assert bm25_topk(queries, docs.limit(0)).count() == 0
