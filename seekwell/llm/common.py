@@ -7,6 +7,7 @@ import types
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
+from functools import wraps
 from typing import Any, TypeVar
 
 import pyarrow as pa
@@ -36,6 +37,30 @@ def worker_state(key: tuple[str, ...], make: Callable[[], T]) -> T:
     return kept[key]
 
 
+def give_back() -> None:
+    """Returns memory that this process has freed, and its allocators have kept, to the system."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not the GNU C library
+        pass
+
+
+def tidy(task: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """The task, after which the worker gives memory back: workers outlive their tasks, and idle ones count beside those at work."""
+
+    @wraps(task)
+    def run(batches):
+        try:
+            yield from task(batches)
+        finally:
+            give_back()
+
+    return run
+
+
 def documents(spark: SparkSession, folder: str) -> DataFrame:
     """`doc_id` and whole text of every document; a null text is empty."""
     return read_table(spark, folder, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seekwell.llm.common import written
+from seekwell.llm.common import tidy, written
 from seekwell.operators.joins import join_facts
 
 # The characters that a normalised text leaves out, x20 and x09 to x0D.
@@ -149,14 +149,14 @@ def exact_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     )
     named, owners = rows.where("doc_id is not null"), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     coded = named.select("doc_id", "n_chars", F.col("text").cast("binary").alias("text"))
-    parts = written(coded.mapInArrow(_parts(owners), PART), "parts")
+    parts = written(coded.mapInArrow(tidy(_parts(owners)), PART), "parts")
     sent = parts.select("part", F.explode("sent").alias("to")).select("to.owner", "part", "to.code")
     dealt = sent.repartitionById(owners, "owner").sortWithinPartitions("owner", "part")
-    answers = dealt.mapInArrow(_answer, "part long, owner int, n int, bitmap binary")
+    answers = dealt.mapInArrow(tidy(_answer), "part long, owner int, n int, bitmap binary")
     per_part = answers.groupBy("part").agg(F.sort_array(F.collect_list(F.struct("owner", "n", "bitmap"))).alias("answers"))
     marked = parts.join(per_part, "part").select("doc_ids", "sizes", "digests", "places", "answers")
     facts = written(
-        marked.mapInArrow(_marked, "doc_id long, n_chars long, text_sha256 string, suspect boolean"), "facts"
+        marked.mapInArrow(tidy(_marked), "doc_id long, n_chars long, text_sha256 string, suspect boolean"), "facts"
     )
     # the suspects' bytes: copies of a task are collapsed before they are moved
     suspects = written(facts.where("suspect").select("doc_id").distinct(), "suspects")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seekwell.llm.common import small, worker_state
+from seekwell.llm.common import small, tidy, worker_state
 
 BITS = 18
 SIZE = 1 << BITS
@@ -128,7 +128,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: in
         weights, bias = train((*features.of(text), label) for text, label in rows)
         yield pa.RecordBatch.from_pydict({"weights": [weights.astype("<f4").tobytes()], "bias": [bias]})
 
-    found = rows.select("text", "label").mapInArrow(learn, "weights binary, bias double").first()
+    found = rows.select("text", "label").mapInArrow(tidy(learn), "weights binary, bias double").first()
     return tuple(found) if found else (np.zeros(SIZE, "<f4").tobytes(), 0.0)
 
 

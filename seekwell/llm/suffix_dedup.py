@@ -29,11 +29,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seekwell.llm.common import file_system, fresh_folder, worker_state, written
+from seekwell.llm.common import file_system, fresh_folder, small, tidy, worker_state, written
 
 GRAM = 32
-PIECE = 1 << 20  # bytes that are looked at together
-BATCH = 1 << 22  # bytes of a new suffix array
+PIECE = 1 << 20  # bytes of a text that are looked at together, at most
+GROUP = 1 << 18  # bytes of short texts that are
+STORED_ROWS = 512  # rows of a part's file that are written and read together
+HASHED = 1 << 17  # strings that are hashed together
+BATCH = 1 << 21  # bytes of a new suffix array
 LATEST = (1 << 63) - 1
 FILE, OWN, SENT, COVER, ASK = range(5)  # kinds of message
 MESSAGE = "owner int, part int, kind int, path string, payload binary"
@@ -99,7 +102,7 @@ def phrases(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray
 
 
 def _pieces(rows: Iterator[tuple[int, bytes]], length: int) -> Iterator[list[tuple[int, int, bytes]]]:
-    """Texts as (row, offset, bytes) in groups of about `PIECE` bytes; a longer text goes in several, overlapping
+    """Texts as (row, offset, bytes) in groups of about `GROUP` bytes; one longer than `PIECE` goes in several, overlapping
     so that each string of it lies in exactly one."""
     group, size = [], 0
     for row, text in rows:
@@ -107,7 +110,7 @@ def _pieces(rows: Iterator[tuple[int, bytes]], length: int) -> Iterator[list[tup
             piece = text[offset : offset + PIECE + length - 1]
             group.append((row, offset, piece))
             size += len(piece)
-            if size >= PIECE:
+            if size >= GROUP:
                 yield group
                 group, size = [], 0
     if group:
@@ -179,7 +182,8 @@ def _send(root: str, owners: int, length: int):
             if file is None:
                 out = fs.open_output_stream(path)
                 file = pa.ipc.new_stream(out, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd"))
-            file.write_batch(batch)
+            for at in range(0, batch.num_rows, STORED_ROWS):
+                file.write_batch(batch.slice(at, STORED_ROWS))
             first = len(doc_ids)
             doc_ids += [LATEST if d is None else d for d in batch.column(0).to_pylist()]
             rows = ((first + i, t.as_py() or b"") for i, t in enumerate(batch.column(1)))
@@ -190,6 +194,7 @@ def _send(root: str, owners: int, length: int):
         out.close()
         yield message(part % owners, part, FILE, path, b"")
         records = np.concatenate(found) if found else np.zeros(0, RECORD)
+        found.clear()
         records = in_order(records, "key", "digest", "doc_id", "row", "start")
         again = np.zeros(len(records), bool)
         again[1:] = (records["key"][1:] == records["key"][:-1]) & (records["digest"][1:] == records["digest"][:-1])
@@ -324,7 +329,11 @@ class SuffixIndex:
         if not counts.sum():
             return [np.zeros(0, bool)] * len(texts)
         local = np.repeat(begins - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
-        hashes = rolling(np.frombuffer(self.data, np.uint8)[base:], self.length, np.uint64)[local]
+        hashes = np.empty(len(local), np.uint64)
+        for at in range(0, len(local), HASHED):
+            some = local[at : at + HASHED]
+            near = np.frombuffer(self.data, np.uint8)[base + some[0] : base + some[-1] + self.length]
+            hashes[at : at + HASHED] = rolling(near, self.length, np.uint64)[some - some[0]]
         sorting = np.argsort(hashes, kind="stable")
         array, starts = hashes[sorting], local[sorting] + base
         seen = np.zeros(len(array), bool)
@@ -447,17 +456,17 @@ def remove_repeats(
     )
     if len(set(result.names)) < len(result):
         raise ValueError("a column to come along has the name of a column of the result")
-    sent = rows.mapInArrow(_send(root, owners, length), MESSAGE)
+    sent = rows.mapInArrow(tidy(_send(root, owners, length)), MESSAGE)
     dealt = sent.repartitionById(owners, "owner").sortWithinPartitions("owner", "part")
-    answers = written(dealt.mapInArrow(_judge(length), MESSAGE), "answers").select("part", "kind", "path", "payload")
+    answers = written(dealt.mapInArrow(tidy(_judge(length)), MESSAGE), "answers").select("part", "kind", "path", "payload")
     # messages are small and what they stand for is not: a task for each part, which AQE leaves alone
     parts = (answers.agg(F.max("part")).first()[0] or 0) + 1
     asked = answers.where(F.col("kind").isin(FILE, ASK)).repartitionById(parts, "part").sortWithinPartitions("part")
-    phrase = asked.mapInArrow(_fetch(root, length), "key long, doc_id long, part int, row long, start long, phrase binary")
+    phrase = asked.mapInArrow(tidy(_fetch(root, length)), "key long, doc_id long, part int, row long, start long, phrase binary")
     ordered = phrase.repartition("key").sortWithinPartitions("doc_id", "part", "row", "start").select("part", "row", "start", "phrase")
-    compared = ordered.mapInArrow(_index(length), MESSAGE).select("part", "kind", "path", "payload")
+    compared = ordered.mapInArrow(tidy(_index(length)), MESSAGE).select("part", "kind", "path", "payload")
     all_spans = answers.where(F.col("kind") != ASK).unionAll(compared).repartitionById(parts, "part").sortWithinPartitions("part")
-    return all_spans.mapInArrow(_cut(root), result)
+    return all_spans.mapInArrow(tidy(_cut(root)), result)
 
 
 def whole_characters(kept: Column) -> Column:
@@ -465,7 +474,7 @@ def whole_characters(kept: Column) -> Column:
 
     @F.arrow_udf("string")
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for column in batches:
+        for column in small(batches):
             yield pa.array([(k.as_py() or b"").decode("utf-8", "ignore") for k in column], pa.string())
 
     return decode(kept)

@@ -234,6 +234,18 @@ def test_index_of_batches(batches):
     assert sum(sizes) + len(index.odd) == len(seen)
 
 
+def test_index_hashes_few_strings_at_once(monkeypatch):
+    import seekwell.llm.suffix_dedup as module
+
+    texts = [t.encode() for t in fuzz(9, 60)]
+    want = [x.tolist() for x in SuffixIndex(70).add(texts)]
+    sizes = []
+    monkeypatch.setattr(module, "HASHED", 50)
+    monkeypatch.setattr(module, "rolling", lambda data, *a, f=module.rolling: sizes.append(len(data)) or f(data, *a))
+    assert [x.tolist() for x in SuffixIndex(70).add(texts)] == want
+    assert len(sizes) > 10 and max(sizes) < len(b"".join(texts)) / 2
+
+
 def test_strings_of_equal_hash(monkeypatch):
     """A match of hashes alone is none."""
     import seekwell.llm.suffix_dedup as module

@@ -308,6 +308,26 @@ def test_stages(spark, corpus):
     ]
 
 
+def test_suffix_stage_has_one_python_step_at_a_time(spark, corpus):
+    folder, _ = corpus
+    left = corpus_pipeline.suffix_dedup(spark, spark.read.parquet(f"{folder}/documents.parquet"), folder)
+    plan = left._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "MapInArrow" not in plan
+
+
+def test_tasks_give_memory_back(monkeypatch):
+    import seekwell.llm.common as module
+
+    given = []
+    monkeypatch.setattr(module, "give_back", lambda: given.append(1))
+    task = module.tidy(lambda batches: (b + 1 for b in batches))
+    assert list(task(iter([1, 2]))) == [2, 3] and given == [1]
+    begun = task(iter([1, 2]))
+    next(begun)
+    begun.close()
+    assert given == [1, 1]
+
+
 def test_stages_of_nothing(spark, corpus):
     folder, _ = corpus
     docs = spark.read.parquet(f"{folder}/documents.parquet").where("false").withColumn("_extra", F.lit(1))
