@@ -64,6 +64,21 @@ def test_hot_groups(spark, monkeypatch, edits, blocks):
     assert 5 < len({c for _, c in want}) < len(texts)
 
 
+def test_rows_of_a_hot_group_grow_with_its_texts(spark, monkeypatch):
+    """Hundreds of texts that are near each other and not alike: each is compared with few centres, and blocks are copied as rows, not texts."""
+    rng, n, seen, links = random.Random(3), 600, [], near_texts._links
+
+    def counted(cells, *more):
+        seen.append(cells.count())
+        return links(cells, *more)
+
+    monkeypatch.setattr(near_texts, "_links", counted)
+    data = list(enumerate(edited(long_text(1, 200).split(), n, 7, rng)))
+    got = near_text_components(frame(spark, data).repartition(5))
+    assert sorted(map(tuple, got.collect()), key=repr) == plain(data)
+    assert len(seen) == 2 and seen[0] < 15 * n and seen[1] < n
+
+
 def test_nothing(spark):
     assert near_text_components(frame(spark, [])).count() == 0
     assert [tuple(r) for r in near_text_components(frame(spark, [(None, None)])).collect()] == [(None, None)]
