@@ -1,27 +1,34 @@
-"""Token ids of whole texts, as a file of the tokenizers library gives them, each word encoded once per worker.
+"""Token ids of whole texts, as a file of the tokenizers library gives them, each word looked up once in some MB of texts.
 
 For tokenizers that drop white space before any merge: a text's ids are then those of its words, one after the other.
+Arrow splits the texts, numbers the distinct words and puts their ids together; Python sees distinct words only, without the
+capitals and the punctuation at their end where these make no difference, and encodes those that its cache does not have.
 """
 
 from __future__ import annotations
 
 import json
+import re
+import string
 import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seekwell.llm.bpe import byte_letters
-from seekwell.llm.common import file_bytes, small, worker_state
+from seekwell.llm.common import file_bytes, worker_state
 
 LONGEST_KEPT = 64
-CACHE_WORDS = 200_000
-CACHE_CORES = 350_000
-LATIN_END = "\u0250"
-TORN = "\u0130"  # the one Latin letter below whose lower case ends in a mark
+CACHE_WORDS = 250_000  # of each of two generations
+CACHE_ENDS = 10_000
+BATCH_BYTES = 8 << 20
+LETTERS = "A-Za-zÀ-ÖØ-öø-įı-ɏ"  # Latin ones, but for the one whose lower case ends in a mark
+LETTERS_ALONE = re.compile(f"[{LETTERS}]+")
+LETTERS_AND_END = f"^(?P<stem>[{LETTERS}]+)(?P<end>[{re.escape(string.punctuation)}]*)$"
 
 
 def load(definition: bytes):
@@ -46,17 +53,17 @@ def load(definition: bytes):
 class Words(dict):
     """Word -> its ids as little-endian unsigned 32-bit numbers.
 
-    A word of Latin letters that is new goes straight to the library's model, in lower case where the tokenizer ignores
-    case, and a full stop or comma after it by itself, as it is a pre-token of its own there.
+    A word of Latin letters that is new goes straight to the library's model. A cache that is full becomes the older
+    generation, from which words come back when they are met again, so that frequent ones stay.
     """
 
     def __init__(self, definition: bytes):
         super().__init__()
         self.tokenizer = load(definition)
-        self.cores: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.letter = {b: c for c, b in byte_letters().items()}
         self.straight = all(self.direct(w) == self.encoded(w) for w in ("ab", "Ab", "ÉÇ", "straßeŷ", "Ñandú", "ªʰə"))
-        self.stops = {s: self.encoded(s) for s in ".," if self.encoded("ab" + s) == self.encoded("ab") + self.encoded(s)}
+        self.ends: dict[str, bytes | None] = {"": b""}
 
     def encoded(self, word: str) -> bytes:
         return self.ids_to_bytes(self.tokenizer.encode(word, add_special_tokens=False).ids)
@@ -72,31 +79,60 @@ class Words(dict):
             text = "".join(map(self.letter.__getitem__, text.encode()))
         return self.ids_to_bytes([token.id for token in self.tokenizer.model.tokenize(text)])
 
-    def core(self, word: str, latin: bool) -> bytes:
-        ids = self.cores.get(word)
+    def end(self, marks: str) -> bytes | None:
+        """Ids of punctuation behind Latin letters; None where it is not a pre-token of its own."""
+        if marks in self.ends:
+            return self.ends[marks]
+        ids = self.encoded(marks)
+        found = ids if all(self.encoded(w + marks) == self.encoded(w) + ids for w in ("ab", "é")) else None
+        if len(marks) <= LONGEST_KEPT and len(self.ends) < CACHE_ENDS:
+            self.ends[marks] = found
+        return found
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.older.get(word)
         if ids is None:
-            ids = self.direct(word) if latin and self.straight else self.encoded(word)
-            if len(word) <= LONGEST_KEPT:
-                if len(self.cores) >= CACHE_CORES:
-                    self.cores.clear()
-                self.cores[word] = ids
-        return ids
-
-    def __missing__(self, raw: bytes) -> bytes:
-        word = raw.decode()
-        plain = word.isascii()
-        stop = self.stops.get(word[-1], b"")
-        stem = word[:-1] if stop else word
-        if stem.isalpha() and (plain or max(stem) < LATIN_END and TORN not in stem):
-            ids = self.core(stem.lower() if self.straight else stem, True) + stop
-        else:
-            ids = self.core(word, False)
-        if len(raw) <= LONGEST_KEPT:
+            ids = self.direct(word) if self.straight and LETTERS_ALONE.fullmatch(word) else self.encoded(word)
+        if len(word) <= LONGEST_KEPT:
             if len(self) >= CACHE_WORDS:
+                self.older = dict(self)
                 self.clear()
-            self[raw] = ids
+            self[word] = ids
         return ids
 
+    def of_distinct(self, words: pa.StringArray) -> pa.BinaryArray:
+        """The ids of each of `words`, which hold no white space."""
+        parts = pc.extract_regex(words, LETTERS_AND_END)  # null where a word is anything else
+        ends = pc.struct_field(parts, "end").dictionary_encode()
+        end = pa.array(map(self.end, ends.dictionary.to_pylist()), pa.binary()).take(ends.indices)
+        stem = pc.struct_field(parts, "stem")
+        stem = pc.utf8_lower(stem) if self.straight else stem
+        keys = pc.if_else(end.is_valid(), stem, words).dictionary_encode()
+        ids = pa.array(map(self.__getitem__, keys.dictionary.to_pylist()), pa.binary()).take(keys.indices)
+        return pc.binary_join_element_wise(ids, end.fill_null(b""), b"")
+
+    def of_texts(self, texts: pa.StringArray, end: bytes) -> pa.BinaryArray:
+        """The ids of each of `texts`, none of them null, and `end`."""
+        if not len(texts):
+            return pa.array([], pa.binary())
+        split = pc.ascii_split_whitespace(texts)
+        words = split.flatten().dictionary_encode()
+        ids = pa.concat_arrays([self.of_distinct(words.dictionary), pa.array([end], pa.binary())])
+        stops = np.cumsum(split.value_lengths().to_numpy())
+        # an end behind the words of each text, and the places of all ends in the row of words
+        found = ids.take(pa.array(np.insert(words.indices.to_numpy(), stops, len(ids) - 1)))
+        _, offsets, data = found.buffers()
+        bounds = np.frombuffer(offsets, np.int32)[np.r_[0, stops + np.arange(1, len(texts) + 1)]]
+        return pa.BinaryArray.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(bounds), data])
+
+
+def _batches(column: pa.Array) -> Iterator[pa.Array]:
+    """The rows of a column of strings in slices of `BATCH_BYTES` or so."""
+    size = np.cumsum(pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    cuts = np.flatnonzero(np.diff(size // BATCH_BYTES)) + 1
+    for start, stop in zip([0, *cuts], [*cuts, len(column)]):
+        yield column.slice(start, stop - start)
+
 
 def encode_ids(docs: DataFrame, tokenizer: str, text: str = "text", out: str = "ids", end_id: int | None = None) -> DataFrame:
     """`docs` with the token ids of each whole `text` in column `out`: binary, little-endian unsigned 32-bit numbers.
@@ -112,10 +148,8 @@ def encode_ids(docs: DataFrame, tokenizer: str, text: str = "text", out: str = "
     @F.arrow_udf("binary")
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         words = worker_state(("library ids", hash(shared.value)), lambda: Words(shared.value))
-        for column in small(batches):
-            ids = [
-                b"".join(map(words.__getitem__, (t.as_py() or b"").split())) + end for t in column.cast(pa.binary())
-            ]
-            yield pa.array(ids, pa.binary())
+        for column in batches:
+            for part in _batches(column.cast(pa.string())):
+                yield words.of_texts(part.fill_null(""), end)
 
     return docs.withColumn(out, encode.asNondeterministic()(F.col(text)))

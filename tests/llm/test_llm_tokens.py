@@ -6,6 +6,7 @@ from functools import partial
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from hypothesis import given, settings
@@ -14,9 +15,10 @@ from llm_cases import TEXTS, clashing, frame, fuzz, long_text, rows
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from seekwell.llm import library_ids
 from seekwell.llm.bpe import Units, Vocabulary, bpe_decode, bpe_encode
 from seekwell.llm.common import file_bytes
-from seekwell.llm.library_ids import encode_ids
+from seekwell.llm.library_ids import Words, encode_ids
 from seekwell.llm.packing import cut_pieces, pack, plan, sequences
 from seekwell.llm.token_counts import count_tokens
 from seekwell.llm.token_files import EliasFano, elias_fano, read_token_files, write_token_files
@@ -79,6 +81,46 @@ def test_word_ids_equal_library(spark):
         assert np.frombuffer(r.ids, "<u4").tolist() == encode(ALL[r.doc_id] or "").ids + [1]
 
 
+@pytest.fixture(scope="module")
+def words():
+    return Words(file_bytes(WORD)), library(WORD)
+
+
+ODD = st.text(alphabet=st.sampled_from("abSTsted ABéÉŷİıß×ªµ'.,!<|>_-1²\u0301\u0331\u0307\u200b\xa0\x85\x1c\n\t漢Σσ"), max_size=25)
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(ODD, max_size=6))
+def test_word_ids_of_odd_words(words, texts):
+    got = words[0].of_texts(pa.array(texts, pa.string()), b"\1\0\0\0")
+    assert [np.frombuffer(ids.as_py(), "<u4").tolist() for ids in got] == [words[1](t).ids + [1] for t in texts]
+
+
+def test_a_word_is_encoded_once_whatever_ends_it(monkeypatch):
+    """Copies, capitals and punctuation at a word's end cost the library nothing, also when words have filled the cache in between."""
+    monkeypatch.setattr(library_ids, "CACHE_WORDS", 300)
+    asked, encode = [], library(WORD)
+    fresh = Words(file_bytes(WORD))
+    fresh.direct = lambda letters: asked.append(letters) or Words.direct(fresh, letters)
+    texts = [f"zebra Zebra, ZEBRA%%% zebra.### {' '.join(f'w{chr(97 + i)}{chr(97 + j)}x' for j in range(26))} zebra" for i in range(26)]
+    for text in texts:
+        got = fresh.of_texts(pa.array([text, "", " \n"]), b"")
+        assert [np.frombuffer(ids.as_py(), "<u4").tolist() for ids in got] == [encode(text).ids, [], []]
+    assert asked.count("zebra") == 1 and len(asked) == 26 * 26 + 1
+    assert len(fresh.of_texts(pa.array([], pa.string()), b"")) == 0
+
+
+def test_word_ids_by_slices(spark, monkeypatch):
+    encode = library(WORD)
+    monkeypatch.setattr(library_ids, "BATCH_BYTES", 50)
+    texts = pa.array(ALL[:60], pa.string())
+    parts = list(library_ids._batches(texts))
+    assert len(parts) > 5 and pa.concat_arrays(parts) == texts
+    assert [len(p) for p in library_ids._batches(texts[:0])] == [0]
+    none = encode_ids(frame(spark, [(1, None), (2, "")]), WORD).collect()
+    assert [bytes(r.ids) for r in none] == [b"", b""] and encode("").ids == []
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(0, 5000), max_size=700), st.integers(0, 10**12))
 def test_elias_fano(gaps, first):
