@@ -20,12 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seekwell.llm.bpe import byte_letters
-from seekwell.llm.common import file_bytes, worker_state
+from seekwell.llm.common import file_bytes, tidy, worker_state
 
 LONGEST_KEPT = 64
-CACHE_WORDS = 250_000  # of each of two generations
+CACHE_WORDS = 150_000  # of each of two generations
 CACHE_ENDS = 10_000
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 LETTERS = "A-Za-zÀ-ÖØ-öø-įı-ɏ"  # Latin ones, but for the one whose lower case ends in a mark
 LETTERS_ALONE = re.compile(f"[{LETTERS}]+")
 LETTERS_AND_END = f"^(?P<stem>[{LETTERS}]+)(?P<end>[{re.escape(string.punctuation)}]*)$"
@@ -145,11 +145,15 @@ def encode_ids(docs: DataFrame, tokenizer: str, text: str = "text", out: str = "
     shared = docs.sparkSession.sparkContext.broadcast(definition)
     end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
 
-    @F.arrow_udf("binary")
-    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    @tidy
+    def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         words = worker_state(("library ids", hash(shared.value)), lambda: Words(shared.value))
         for column in batches:
             for part in _batches(column.cast(pa.string())):
                 yield words.of_texts(part.fill_null(""), end)
 
+    @F.arrow_udf("binary")
+    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return encoded(batches)
+
     return docs.withColumn(out, encode.asNondeterministic()(F.col(text)))
