@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seekwell.llm.common import small, worker_state, written
+from seekwell.llm.common import give_back, small, worker_state, written
 from seekwell.llm.components import components, forest
 from seekwell.operators.joins import join_facts
 
@@ -89,8 +89,11 @@ def simhash(docs: DataFrame, text: str = "text", out: str = "fingerprint", words
     @F.arrow_udf("long")
     def prints(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         worker_state(("simhash",), bool)  # drops what other operators have kept
-        for column in small(batches):
-            yield pa.array([fingerprint_of(t or b"", words) for t in column.cast(pa.binary()).to_pylist()], pa.int64())
+        try:
+            for column in small(batches):
+                yield pa.array([fingerprint_of(t or b"", words) for t in column.cast(pa.binary()).to_pylist()], pa.int64())
+        finally:
+            give_back()
 
     return docs.withColumn(out, prints(F.col(text)))
 

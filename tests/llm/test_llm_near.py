@@ -7,10 +7,11 @@ import numpy as np
 import pytest
 from llm_cases import clashing, frame, long_text
 
+import corpus_pipeline
 from seekwell.llm import near_texts
 from seekwell.llm.common import fresh_folder, temporary, written
 from seekwell.llm.near_texts import near_text_components, shared_counts, shingles_of
-from seekwell.llm.simhash import _mixed, wide_simhash
+from seekwell.llm.simhash import _mixed, fingerprint_of, wide_simhash
 from seekwell.session import shared_dir
 
 
@@ -79,6 +80,25 @@ def test_rows_of_a_hot_group_grow_with_its_texts(spark, monkeypatch):
     assert len(seen) == 2 and seen[0] < 15 * n and seen[1] < n
 
 
+def test_the_stage_links_what_simhash_or_resemblance_links(spark):
+    """Texts that are mostly one passage over and over have one SimHash, and ends that make their sets of shingles unlike."""
+    passage, ends = f"{long_text(7, 51)} ", [long_text(8 + i, 40) for i in range(2)]
+    same = [passage * 40 + end for end in ends]  # fingerprints count repeats
+    chained = f"{passage}{ends[1]}"  # resembles the second as a set, and has another fingerprint
+    texts = {5: same[0], 2: "", 7: same[1], 9: chained, 1: long_text(20, 90), 11: None, 12: " \n"}
+    prints = [fingerprint_of(t.encode(), 3) for t in (*same, chained)]
+    assert prints[0] == prints[1] and ((prints[1] ^ prints[2]) & (2**64 - 1)).bit_count() > 2
+    sets = [set(shingles_of(t.encode(), 5).tolist()) for t in (*same, chained)]
+    alike = [5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) for a, b in ((0, 1), (1, 2), (0, 2))]
+    assert alike == [False, True, False]
+    data = [*texts.items(), (None, same[0])]
+    docs = clashing(frame(spark, data).repartition(3), "node", "fingerprint", "a", "b")
+    kept = corpus_pipeline.simhash_dedup(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [1, 2, 5]
+    assert kept.where("doc_id is null").count() == 1
+
+
 def test_nothing(spark):
     assert near_text_components(frame(spark, [])).count() == 0
     assert [tuple(r) for r in near_text_components(frame(spark, [(None, None)])).collect()] == [(None, None)]
