@@ -1,4 +1,4 @@
-"""Nearest neighbours by cosine: exact by one scan, and by sign-hyperplane buckets.
+"""Nearest neighbours by cosine: exact by one scan, and among vectors that share a sign-hyperplane bucket.
 
 Vectors are (vec_id, embedding array<float>), all of one length. A null vector has no
 neighbours and is none; one of zeros has cosine 0 with all. A number that is not finite,
@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from functools import reduce
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +28,15 @@ TILE_ROWS = 1024
 KNN_BLOCK_BYTES = 8 << 20  # of queries that one task ranks, so that its time grows with its share of the vectors only
 PAIRS = 1 << 15  # pairs that are scored exactly at once
 PLACED_ROWS = 1024
+HASHED_ROWS = 256
 PLACED_BANDS = 16
 MAX_BROADCAST_BUCKETS = 1 << 20
+SCAN_SHARE = 1 / 8  # of all pairs: where buckets hold as many, repeats counted, all pairs are scored by tiles for less
+STRIPE_ROWS = 1 << 15  # vectors whose neighbours one task finds
+LEAST_STRIPE_ROWS = 1024
+SPREAD_STRIPES = 16  # stripes that are made for more tasks, beyond those that STRIPE_ROWS asks for
+STRIPE_PARTS = 4
+FIRST_ROWS = 128
 FOUND = "neighbour long, cost long, score double, query long"
 
 
@@ -68,8 +76,30 @@ def _exact(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.nda
     return np.concatenate([np.zeros(0), *(np.einsum("ij,ij->i", a[x[p]], b[y[p]]) for p in parts)])
 
 
-def _offer(best: list[BestRows], queries: np.ndarray, rows: pa.Table, items: np.ndarray, omit: tuple[np.ndarray, np.ndarray]) -> None:
+def _meetings(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether rows of `a` and of `b`, buckets by band, have one in common: a x b."""
+    met = np.zeros((len(a), len(b)), bool)
+    for x, y in zip(np.ascontiguousarray(a.T), np.ascontiguousarray(b.T)):
+        met |= x[:, None] == y
+    return met
+
+
+def _meet(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The same for rows x of `a` with rows y of `b`, a bounded number of them at a time."""
+    parts = (slice(i, i + PAIRS) for i in range(0, len(x), PAIRS))
+    return np.concatenate([np.zeros(0, bool), *((a[x[p]] == b[y[p]]).any(axis=1) for p in parts)])
+
+
+def _offer(
+    best: list[BestRows],
+    queries: np.ndarray,
+    rows: pa.Table,
+    items: np.ndarray,
+    omit: tuple[np.ndarray, np.ndarray],
+    buckets: tuple[np.ndarray, np.ndarray] | None = None,
+) -> None:
     """Offer `rows`, with directions `items`, to all queries, a `BestRows` per `TILE_ROWS` of them; `omit` are pairs that do not count.
+    With the `buckets` of the queries and of the items, pairs that share none do not count either.
 
     All pairs are scored in single precision, by tiles, and those that may be among the best once more in double.
     """
@@ -92,12 +122,20 @@ def _offer(best: list[BestRows], queries: np.ndarray, rows: pa.Table, items: np.
             # cosines are at least -1, and what is left out stays below
             bar = np.maximum(tile.bar - APART - blur, -2).astype(np.float32) - np.float32(2.0**-23)
             near = scores >= bar[:, None]
-            if len(part) > tile.budget and np.count_nonzero(near) > 2 * len(mine) * tile.budget:
+            met = buckets is None
+            if not met and 4 * np.count_nonzero(near) > near.size:
+                near &= _meetings(buckets[0][start : start + TILE_ROWS], buckets[1][first : first + step])
+                scores[~near] = -np.inf
+                met = True
+            if met and len(part) > tile.budget and np.count_nonzero(near) > 2 * len(mine) * tile.budget:
                 least = np.partition(scores, len(part) - tile.budget, axis=1)[:, len(part) - tile.budget]
                 near &= scores >= (least - np.float32(APART + 2 * blur))[:, None]
             query, row = np.divmod(np.flatnonzero(near), len(part))
+            row += first
+            if not met:
+                shared = _meet(buckets[0][start : start + TILE_ROWS], buckets[1], query, row)
+                query, row = query[shared], row[shared]
             if len(query):
-                row += first
                 tile.offer_pairs(rows, query, row, _exact(mine, items, query, row))
 
 
@@ -276,6 +314,67 @@ MET_SCHEMA = pa.schema(
 )
 
 
+def _stripe(k: int, dim: int, bits: int, bands: int):
+    """The task for one stripe: its vectors come first, then as items those that may be near them, of which it keeps the best."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashed = _hasher(dim, bits, bands)
+
+        def buckets(rows: pa.Table) -> np.ndarray:
+            keys = np.empty((rows.num_rows, bands), np.uint16 if bits <= 16 else np.int64)
+            for start in range(0, rows.num_rows, HASHED_ROWS):
+                keys[start : start + HASHED_ROWS] = hashed(rows["vec"].slice(start, HASHED_ROWS)) & ((1 << bits) - 1)
+            return keys
+
+        held, best, width = [], None, FIRST_ROWS
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            n = int(np.count_nonzero(~rows["item"].to_numpy(zero_copy_only=False)))
+            if n:
+                held.append(rows.slice(0, n).select(["vec_id", "ids", "vec"]).combine_chunks())
+            if best is None and n < rows.num_rows and held:
+                asked = pa.concat_tables(held)
+                ids, alone = asked["vec_id"].to_numpy(), pc.list_value_length(asked["ids"]).to_numpy() == 1
+                own, directions, order = buckets(asked), _directions(_unpack(asked["vec"])), np.argsort(ids, kind="stable")
+                best = _tiles(len(ids), k)
+            while best is not None and n < rows.num_rows:
+                # few rows at first, as all are near until a query has its best
+                items = rows.slice(n, width)
+                n, width = n + width, min(4 * width, rows.num_rows)
+                # a vector meets itself only where it stands for copies
+                query, row = _equal(ids, order, items["vec_id"].to_numpy())
+                omit = query[alone[query]], row[alone[query]]
+                offered = items.select(["vec_id", "ids"]).rename_columns(["neighbour", "ids"])
+                offered = offered.append_column("cost", pa.array(np.ones(items.num_rows, dtype=np.int64)))
+                _offer(best, directions, offered, _directions(_unpack(items["vec"])), omit, (own, buckets(items)))
+        for found in _found(best or [], ids if best else np.zeros(0)):
+            yield from found.select(["neighbour", "ids", "score", "query"]).combine_chunks().to_batches()
+
+    return run
+
+
+def _scanned(distinct: DataFrame, k: int, dim: int, bits: int, bands: int) -> DataFrame:
+    """MET: for every vector the best `k` that share a bucket, found by a scan of all.
+
+    Vectors are cut in stripes, each a task's, to which all vectors are sent: a vector is copied once per stripe, and for a task per stripe and
+    part of the vectors where stripes are fewer than cores. A task holds its stripe and what is best for that, whatever the number of vectors.
+    """
+    n, cores = distinct.count(), distinct.sparkSession.sparkContext.defaultParallelism
+    needed = max(1, ceil(n / STRIPE_ROWS))
+    stripes = max(needed, min(2 * cores, SPREAD_STRIPES, ceil(n / LEAST_STRIPE_ROWS)))
+    parts = min(ceil(2 * cores / stripes), STRIPE_PARTS, needed)
+    place = lambda salt, n: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(n)).cast("int")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    carried = ["vec_id", "ids", "vec"]
+    asked = distinct.select(*carried, place(0, stripes).alias("stripe"), upto(parts).alias("part"))
+    items = distinct.select(*carried, upto(stripes).alias("stripe"), place(1, parts).alias("part"))
+    both = asked.withColumn("item", F.lit(False)).unionAll(items.select(*asked.columns).withColumn("item", F.lit(True)))
+    task = F.col("stripe") * parts + F.col("part")
+    dealt = both.select("item", *carried, task.alias("task")).repartitionById(stripes * parts, "task")
+    dealt = dealt.sortWithinPartitions("item").select("item", *carried)
+    return dealt.mapInArrow(_stripe(k, dim, bits, bands), MET)
+
+
 def _distinct(vectors: DataFrame, k: int) -> DataFrame:
     """vec, n, vec_id, ids: each distinct vector, how many hold it, and its lowest k + 1 ids.
 
@@ -298,29 +397,8 @@ def _distinct(vectors: DataFrame, k: int) -> DataFrame:
     return counted.join(lowest, "vec").select("vec", "n", F.col("ids")[0].alias("vec_id"), "ids")
 
 
-def knn_lsh(
-    vectors: DataFrame,
-    k: int = 10,
-    dim: int = 64,
-    *,
-    bits: int,
-    bands: int,
-    block_rows: int = 2048,
-) -> DataFrame:
-    """query, rank, neighbour, score: the nearest among vectors that share a bucket.
-
-    Scores are exact; a neighbour that shares no bucket is missed: one at angle a is met with chance
-    1 - (1 - (1 - a / pi)^bits)^bands. Work is about bands / 2^bits of all pairs where vectors lie evenly, so
-    `bits` has to be chosen for the data: near log2(rows / block_rows) a usual bucket is one cell.
-
-    Copies of a vector are hashed once. A bucket that still holds more than
-    `block_rows` vectors is cut in blocks, and each pair of blocks is a cell and
-    a group of its own: no task holds more than two blocks, and a cell sends at
-    most k + 1 rows per vector, never its pairs.
-    """
-    given = vectors.where(F.col("embedding").isNotNull()).select("vec_id", "embedding")
-    rows = given.mapInArrow(_pack, "vec_id long, vec binary")
-    distinct = durable(_distinct(rows, k))
+def _met_in_buckets(distinct: DataFrame, k: int, dim: int, bits: int, bands: int, block_rows: int) -> DataFrame:
+    """MET: for every vector the best `k` of each cell, in every bucket that it is in. A vector is copied once per band."""
     sizes = (
         distinct.select("vec")
         .mapInArrow(_count(dim, bits, bands), "bucket long, n long")
@@ -348,7 +426,39 @@ def knn_lsh(
             F.greatest("block", "other").alias("cell_j"),
         )
     )
-    met = cells.groupBy("bucket", "cell_i", "cell_j").applyInArrow(_cell(k + 1), MET)
+    return cells.groupBy("bucket", "cell_i", "cell_j").applyInArrow(_cell(k), MET)
+
+
+def knn_lsh(
+    vectors: DataFrame,
+    k: int = 10,
+    dim: int = 64,
+    *,
+    bits: int,
+    bands: int,
+    block_rows: int = 2048,
+) -> DataFrame:
+    """query, rank, neighbour, score: the nearest among vectors that share a bucket.
+
+    Scores are exact; a neighbour that shares no bucket is missed: one at angle a is met with chance
+    1 - (1 - (1 - a / pi)^bits)^bands. Work is about bands / 2^bits of all pairs where vectors lie evenly, so
+    `bits` has to be chosen for the data: near log2(rows / block_rows) a usual bucket is one cell.
+
+    Copies of a vector are hashed once. Where bands / 2^bits is `SCAN_SHARE` or more, a copy of each vector per band and the best rows of each
+    bucket would be far more than the vectors, for as many pairs as a scan has: stripes of vectors scan all then, and the pairs that may be among
+    the best count if they share a bucket. Else vectors meet in their buckets. A bucket that holds more than
+    `block_rows` vectors is cut in blocks, and each pair of blocks is a cell and
+    a group of its own: no task holds more than two blocks, and a cell sends at
+    most k + 1 rows per vector, never its pairs.
+    """
+    given = vectors.where(F.col("embedding").isNotNull()).select("vec_id", "embedding")
+    rows = given.mapInArrow(_pack, "vec_id long, vec binary")
+    distinct = durable(_distinct(rows, k))
+    # a band's buckets hold a share of 2^-bits of all pairs at least, however the vectors lie
+    if bands >= SCAN_SHARE * (1 << bits):
+        met = _scanned(distinct, k + 1, dim, bits, bands)
+    else:
+        met = _met_in_buckets(distinct, k + 1, dim, bits, bands, block_rows)
     # The best k + 1 rows of a query lie in the best k + 1 distinct vectors, ordered by their
     # lowest ids. One shuffle by query serves all of this: a pair met in several bands once,
     # the best vectors, and their copies.

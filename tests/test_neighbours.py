@@ -1,4 +1,5 @@
 import tracemalloc
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -98,6 +99,52 @@ def test_hashed_with_more_buckets_than_may_be_broadcast(spark, copies, monkeypat
     assert lists(got) == brute(ids, m, 4, same_bucket(m, 3, 2))
 
 
+@pytest.mark.parametrize("k", [1, 90])
+@pytest.mark.parametrize(("share", "stripe", "spread", "first"), [(0, 1 << 15, 16, 128), (0, 30, 3, 4), (0, 70, 1, 1), (2, 30, 3, 4)])
+def test_scanned_and_met_in_buckets_are_the_same(spark, copies, monkeypatch, k, share, stripe, spread, first):
+    """Vectors with copies, one of zeros, and one that is alone in its buckets, by stripes in one part and in several, and by buckets."""
+    for name, value in (("SCAN_SHARE", share), ("STRIPE_ROWS", stripe), ("SPREAD_STRIPES", spread), ("FIRST_ROWS", first)):
+        monkeypatch.setattr(vectors, name, value)
+    ids, m = copies
+    m = m.copy()
+    m[5] = 0
+    for bits, bands in ((3, 2), (6, 9)):
+        got = knn_lsh(frame(spark, ids, m).repartition(3), k, dim=16, bits=bits, bands=bands, block_rows=7)
+        assert lists(got) == brute(ids, m, k, same_bucket(m, bits, bands))
+
+
+def test_vectors_are_not_copied_once_per_band(spark, copies, monkeypatch):
+    """256 copies of a vector and the best rows of 256 buckets were 195 MB on disk for the 2,000 vectors of sf0.1."""
+
+    def copied(*_):
+        raise AssertionError("a row per vector and band")
+
+    monkeypatch.setattr(vectors, "_place", copied)
+    ids, m = copies
+    got = knn_lsh(frame(spark, ids, m), 4, dim=16, bits=BITS, bands=BANDS)
+    assert lists(got) == brute(ids, m, 4, same_bucket(m, BITS, BANDS))
+
+
+def test_a_stripe_holds_its_own_vectors_only(spark):
+    """What a task keeps grows with its stripe, and not with the items that pass it."""
+    rng = np.random.default_rng(6)
+
+    def batch(start: int, n: int, item: bool) -> pa.RecordBatch:
+        m = unit(rng, n, 64).astype(np.float32)
+        columns = [pa.array([item] * n), pa.array(np.arange(start, start + n)), pa.array([[i] for i in range(start, start + n)], pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays([*columns, pa.array([row.tobytes() for row in m], pa.binary())], ["item", "vec_id", "ids", "vec"])
+
+    peaks = []
+    for n_items in (10, 40):
+        given = (batch(100 + 500 * i, 500, True) for i in range(n_items))
+        tracemalloc.start()
+        found = sum(out.num_rows for out in vectors._stripe(4, 64, 9, 256)(chain([batch(0, 100, False)], given)))
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert found == 400
+    assert peaks[1] < 1.2 * peaks[0] and peaks[0] < 100 << 20
+
+
 def test_other_queries_may_share_ids_with_the_vectors(spark):
     asked = frame(spark, [1], np.array([[1.0, 0.0]]))
     df = frame(spark, [1, 2], np.array([[1.0, 0.0], [0.0, 1.0]]))
