@@ -32,7 +32,7 @@ HASHED_ROWS = 256
 PLACED_BANDS = 16
 MAX_BROADCAST_BUCKETS = 1 << 20
 SCAN_SHARE = 1 / 8  # of all pairs: where buckets hold as many, repeats counted, all pairs are scored by tiles for less
-STRIPE_ROWS = 1 << 15  # vectors whose neighbours one task finds
+STRIPE_ROWS = 1 << 16  # vectors whose neighbours one task finds
 LEAST_STRIPE_ROWS = 1024
 SPREAD_STRIPES = 16  # stripes that are made for more tasks, beyond those that STRIPE_ROWS asks for
 STRIPE_PARTS = 4
