@@ -36,6 +36,8 @@ STRIPE_ROWS = 1 << 16  # vectors whose neighbours one task finds
 LEAST_STRIPE_ROWS = 1024
 SPREAD_STRIPES = 16  # stripes that are made for more tasks, beyond those that STRIPE_ROWS asks for
 STRIPE_PARTS = 4
+STRIPE_KEPT = 1 << 20  # best rows that a stripe holds, which makes it smaller where they are many per vector
+MAX_KEPT = 1024  # best rows per vector for the sake of ids that vectors share
 FIRST_ROWS = 128
 FOUND = "neighbour long, cost long, score double, query long"
 
@@ -353,14 +355,14 @@ def _stripe(k: int, dim: int, bits: int, bands: int):
     return run
 
 
-def _scanned(distinct: DataFrame, k: int, dim: int, bits: int, bands: int) -> DataFrame:
-    """MET: for every vector the best `k` that share a bucket, found by a scan of all.
+def _scanned(distinct: DataFrame, n: int, k: int, dim: int, bits: int, bands: int) -> DataFrame:
+    """MET: for each of `n` vectors the best `k` that share a bucket, found by a scan of all.
 
     Vectors are cut in stripes, each a task's, to which all vectors are sent: a vector is copied once per stripe, and for a task per stripe and
     part of the vectors where stripes are fewer than cores. A task holds its stripe and what is best for that, whatever the number of vectors.
     """
-    n, cores = distinct.count(), distinct.sparkSession.sparkContext.defaultParallelism
-    needed = max(1, ceil(n / STRIPE_ROWS))
+    cores = distinct.sparkSession.sparkContext.defaultParallelism
+    needed = max(1, ceil(n / min(STRIPE_ROWS, max(LEAST_STRIPE_ROWS, STRIPE_KEPT // k))))
     stripes = max(needed, min(2 * cores, SPREAD_STRIPES, ceil(n / LEAST_STRIPE_ROWS)))
     parts = min(ceil(2 * cores / stripes), STRIPE_PARTS, needed)
     place = lambda salt, n: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(n)).cast("int")
@@ -454,9 +456,12 @@ def knn_lsh(
     given = vectors.where(F.col("embedding").isNotNull()).select("vec_id", "embedding")
     rows = given.mapInArrow(_pack, "vec_id long, vec binary")
     distinct = durable(_distinct(rows, k))
+    held = distinct.groupBy("vec_id").agg(F.count("*").alias("held")).agg(F.sum("held"), F.max("held")).first()
+    n, repeats = held[0] or 0, held[1] or 1
     # a band's buckets hold a share of 2^-bits of all pairs at least, however the vectors lie
-    if bands >= SCAN_SHARE * (1 << bits):
-        met = _scanned(distinct, k + 1, dim, bits, bands)
+    if bands >= SCAN_SHARE * (1 << bits) and (repeats == 1 or (k + 1) * repeats <= MAX_KEPT):
+        # ids should be unique; where several vectors share one, the best k + 1 ids lie in so many more rows
+        met = _scanned(distinct, n, (k + 1) * repeats, dim, bits, bands)
     else:
         met = _met_in_buckets(distinct, k + 1, dim, bits, bands, block_rows)
     # The best k + 1 rows of a query lie in the best k + 1 distinct vectors, ordered by their

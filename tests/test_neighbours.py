@@ -113,6 +113,16 @@ def test_scanned_and_met_in_buckets_are_the_same(spark, copies, monkeypatch, k,
         assert lists(got) == brute(ids, m, k, same_bucket(m, bits, bands))
 
 
+def test_ids_that_vectors_share_are_one_neighbour(spark):
+    """The best of a neighbour's vectors counts, and 12 near vectors of one id leave room for the other ids."""
+    rng = np.random.default_rng(9)
+    m = unit(rng, 60, 16).astype(np.float64)
+    m[:13] = m[0] + rng.normal(size=(13, 16)) * 0.01
+    ids = [100, *[7] * 12, *range(200, 247)]
+    got = lists(knn_lsh(frame(spark, ids, m.astype(np.float32)), 3, dim=16, bits=3, bands=16).where("query = 100"))[100]
+    assert got[0] == 7 and len(got) == len(set(got)) == 3
+
+
 def test_vectors_are_not_copied_once_per_band(spark, copies, monkeypatch):
     """256 copies of a vector and the best rows of 256 buckets were 195 MB on disk for the 2,000 vectors of sf0.1."""
 
